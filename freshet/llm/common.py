@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -167,3 +168,27 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     pairs = cur.select(F.col("u").alias("id"), F.col("v").alias("component_id"))
     roots = cur.select(F.col("v").alias("id"), F.col("v").alias("component_id")).distinct()
     return pairs.unionByName(roots)
+
+
+# --- Arrow batches ----------------------------------------------------------------------------
+
+
+def byte_slices(batch: pa.RecordBatch, column: str = "text", limit: int = 4_000_000):
+    """Slices of a batch with about ``limit`` bytes of text each (one row at least), so that the
+    vectorized work on a batch has bounded memory whatever the texts' lengths."""
+    n, i = batch.num_rows, 0
+    if not n:
+        return
+    texts = batch.column(batch.schema.get_field_index(column))
+    ends = np.cumsum(np.nan_to_num(np.asarray(pa.compute.binary_length(texts).to_numpy(zero_copy_only=False), dtype=float)))
+    while i < n:
+        base = ends[i - 1] if i else 0
+        j = max(i + 1, int(np.searchsorted(ends, base + limit, side="right")))
+        yield batch.slice(i, j - i)
+        i = j
+
+
+def list_array(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    """Arrow lists of ``counts`` consecutive values each."""
+    ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values, type=kind))

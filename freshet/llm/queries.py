@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format
-from .common import read_table
+from . import chat_format, quality
+from .common import read_table, write_scratch
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,18 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(turn_text, 256).alias("turns_sha256"), F.length(loss_text).cast("bigint").alias("loss_chars"), F.sha2(loss_text, 256).alias("loss_sha256"), F.length("formatted").cast("bigint").alias("formatted_chars"))
 
 
+def training_labels(labels: DataFrame) -> DataFrame:
+    """Rows whose crc32(doc_id as text) mod 4 is not 2."""
+    return labels.where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2).select("doc_id", "quality")
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = write_scratch(quality.document_statistics(read_table(spark, sf_dir, "documents")), "quality")
+    model = quality.fit(stats, training_labels(read_table(spark, sf_dir, "labels")))
+    scored = quality.score_statistics(stats, model)
+    return scored.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 4 == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 SQL: dict[str, str] = {}
 
 SQL["op10_chat_format"] = r"""
