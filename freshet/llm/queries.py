@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, quality
+from . import chat_format, ngram_join, quality
 from .common import read_table, write_scratch
 
 
@@ -26,6 +26,10 @@ def training_labels(labels: DataFrame) -> DataFrame:
     return labels.where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2).select("doc_id", "quality")
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(read_table(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = write_scratch(quality.document_statistics(read_table(spark, sf_dir, "documents")), "quality")
     model = quality.fit(stats, training_labels(read_table(spark, sf_dir, "labels")))
