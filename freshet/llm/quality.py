@@ -2,12 +2,12 @@
 
 The statistics of a document come from its text alone. Random Fourier features approximate a Gaussian
 kernel over the standardized statistics; each partition sums its share of the normal equations, the
-driver adds those fixed-size sums and solves the ridge system, and pooled-adjacent-violators turns
+driver solves the ridge system, and pooled-adjacent-violators turns
 out-of-fold scores into probabilities.
 
-Bounds: at most ``max_train_rows`` labelled rows train (chosen by a hash of doc_id), on
-``TRAIN_PARTITIONS`` partitions, so the sums that reach the driver have a fixed size. Everything else
-covers all rows.
+Bounds: at most ``max_train_rows`` labelled rows train (chosen by a hash of doc_id). Partitions' sums are
+added row by row of the matrix in Spark, so what reaches the driver is one matrix for each fold, whatever the
+input. Everything else covers all rows.
 
 Cases: a null or empty text has all-zero statistics and gets a score as any other; labels that are null
 don't train, several labels of one document count by their mean; with no usable label at all every score is
@@ -194,11 +194,17 @@ def fit(stats: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "
             for k in range(FOLDS):
                 a[k] += z[fold == k].T @ z[fold == k]
                 b[k] += z[fold == k].T @ y[fold == k]
-        yield pa.RecordBatch.from_arrays([pa.array([a.tobytes()]), pa.array([b.tobytes()])], names=["a", "b"])
+        if a.any():  # one row for each row of each fold's matrix, with its right-hand side last
+            rows_of = np.concatenate([a, b[:, :, None]], axis=2).reshape(FOLDS * d, d + 1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(FOLDS * d)), list_array(rows_of.ravel(), np.full(FOLDS * d, d + 1), pa.float64())], names=["i", "row"])
 
-    parts = rows.mapInArrow(sums, "a binary, b binary").collect()  # TRAIN_PARTITIONS fixed-size sums
-    a = sum(np.frombuffer(p["a"]).reshape(FOLDS, d, d) for p in parts)
-    b = sum(np.frombuffer(p["b"]).reshape(FOLDS, d) for p in parts)
+    def add(table: pa.Table) -> pa.Table:
+        total = table.column("row").combine_chunks().flatten().to_numpy().reshape(-1, d + 1).sum(0)
+        return pa.table({"i": table.column("i").slice(0, 1), "row": list_array(total, np.array([d + 1]), pa.float64())})
+
+    parts = rows.mapInArrow(sums, "i long, row array<double>").groupBy("i").applyInArrow(add, "i long, row array<double>").orderBy("i").collect()  # FOLDS * d rows, whatever the input
+    both = np.array([p["row"] for p in parts]).reshape(FOLDS, d, d + 1)
+    a, b = both[:, :, :d], both[:, :, d]
     penalty = np.diag(np.full(d, ridge))
     penalty[-1, -1] = 1e-9
     model.weights = np.linalg.solve(a.sum(0) + penalty, b.sum(0))
