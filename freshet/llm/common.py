@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -35,11 +36,18 @@ def write_scratch(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/freshet-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    release_shuffles(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._freshet_path = path
     return out
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of finished queries now, not when memory runs short."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def drop_scratch(*tables: DataFrame) -> None:
     """Delete scratch tables that nothing will read any more."""
     for table in tables:
@@ -173,7 +181,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 # --- Arrow batches ----------------------------------------------------------------------------
 
 
-def byte_slices(batch: pa.RecordBatch, column: str = "text", limit: int = 4_000_000):
+def byte_slices(batch: pa.RecordBatch, column: str = "text", limit: int = 1_000_000):
     """Slices of a batch with about ``limit`` bytes of text each (one row at least), so that the
     vectorized work on a batch has bounded memory whatever the texts' lengths."""
     n, i = batch.num_rows, 0

@@ -86,7 +86,7 @@ def frequent_shingles(docs: DataFrame, k: int, at_least: int, max_frequent: int)
     def run(batches):
         for batch in batches:
             found = []
-            for part in byte_slices(batch, limit=8_000_000):
+            for part in byte_slices(batch):
                 h, sizes = shingle_sets(part.column(0), k)
                 _, first = np.unique(_set_hash(h, sizes), return_index=True)
                 mask = np.zeros(len(sizes), bool)
@@ -148,8 +148,8 @@ def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame
 
     def run(batches):
         for batch in batches:
-            for part in byte_slices(batch, limit=2_000_000):
-                for small in byte_slices(part, "other", limit=2_000_000):
+            for part in byte_slices(batch):
+                for small in byte_slices(part, "other"):
                     h1, n1 = shingle_sets(small.column(2), k)
                     h2, n2 = shingle_sets(small.column(3), k)
                     row = np.arange(len(n1))
