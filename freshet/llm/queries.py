@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, ngram_join, quality, suffix_dedup
+from . import chat_format, line_dedup, ngram_join, quality, suffix_dedup
 from .common import read_table, write_scratch
 
 
@@ -42,8 +42,42 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 4 == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = line_dedup.drop_repeated_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 SQL: dict[str, str] = {}
 
+SQL["op7_line_dedup"] = r"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS spot
+  FROM documents WHERE text IS NOT NULL),
+s AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY spot) AS i,
+         lead(line) OVER (PARTITION BY doc_id ORDER BY spot) AS after
+  FROM l WHERE regexp_matches(line, '[^ 	
+]')),
+p AS (
+  SELECT doc_id, i, line, after, after IS NOT NULL AND row_number() OVER (PARTITION BY line, after ORDER BY doc_id, i) > 1 AS late
+  FROM s),
+g AS (
+  SELECT doc_id, i, late OR coalesce(lag(late) OVER (PARTITION BY doc_id ORDER BY i), false) AS gone FROM p),
+o AS (
+  SELECT doc_id, i, gone, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS opens FROM g),
+b AS (
+  SELECT l.doc_id, l.spot, l.line, coalesce(o.gone, false) AS gone, coalesce(o.opens, false) AS opens
+  FROM l LEFT JOIN s ON l.doc_id = s.doc_id AND l.spot = s.spot LEFT JOIN o ON s.doc_id = o.doc_id AND s.i = o.i),
+r AS (
+  SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (WHERE gone))::BIGINT AS n_removed,
+         (count(*) FILTER (WHERE opens))::BIGINT AS n_runs,
+         sha256(coalesce(string_agg(line, chr(10) ORDER BY spot) FILTER (WHERE NOT gone), '')) AS kept_sha256
+  FROM b GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(n_runs, 0) AS n_runs,
+       coalesce(kept_sha256, sha256('')) AS kept_sha256
+FROM documents d LEFT JOIN r ON d.doc_id = r.doc_id
+"""
+
 SQL["op10_chat_format"] = r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
