@@ -35,7 +35,7 @@ def write_scratch(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage of ``df`` with a Parquet table in the shared folder and read it back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/freshet-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     release_shuffles(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._freshet_path = path

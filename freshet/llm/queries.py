@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, line_dedup, ngram_join, quality, suffix_dedup
+from . import chat_format, line_dedup, ngram_join, packing, quality, suffix_dedup
 from .common import read_table, write_scratch
 
 
@@ -26,6 +26,10 @@ def training_labels(labels: DataFrame) -> DataFrame:
     return labels.where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2).select("doc_id", "quality")
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("ids")
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return suffix_dedup.kept_digest(suffix_dedup.remove_repeats(docs))
