@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import _BYTE, byte_slices, drop_scratch, list_array, mix64, signed, text_buffers, write_scratch
+from .common import _BYTE, byte_slices, list_array, mix64, signed, text_buffers, write_scratch
 
 _MUL = mix64(np.arange(64, dtype=np.uint64)) | np.uint64(1)
 _SHIFT = np.uint64(31)
@@ -106,7 +106,8 @@ def _length_hash(grams: Grams, start: np.ndarray, length: np.ndarray) -> np.ndar
 def anchor_rows(docs: DataFrame, span: int, k: int) -> DataFrame:
     """(key, whole, doc_id, place): anchor hash, chunk hash, first window << 8 | number of windows.
 
-    key is null for chunks that a smaller doc_id of the same slice holds too: copies already.
+    A chunk that a smaller doc_id of the same slice holds too is a copy already: its place is negated, and its
+    key is spread by its position, as it needs no rank.
     """
 
     def run(batches):
@@ -128,7 +129,9 @@ def anchor_rows(docs: DataFrame, span: int, k: int) -> DataFrame:
                 least = d[np.flatnonzero(head)][np.cumsum(head) - 1]
                 copy = np.zeros(len(w), bool)
                 copy[order] = d > least
-                yield pa.RecordBatch.from_arrays([pa.array(signed(key), mask=copy), pa.array(signed(whole)), pa.array(doc), pa.array(place)], names=["key", "whole", "doc_id", "place"])
+                key[copy] = mix64(key[copy] + place[copy].astype(np.uint64))
+                place[copy] *= -1
+                yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(signed(whole)), pa.array(doc), pa.array(place)], names=["key", "whole", "doc_id", "place"])
 
     # the positions in a slice fit 23 bits: a longer text is cut below, with its pieces overlapping
     return docs.where("doc_id is not null and octet_length(text) >= " + str(span)).select("doc_id", "text").mapInArrow(_long_texts(run, span), "key long, whole long, doc_id long, place long")
@@ -159,7 +162,7 @@ def _long_texts(run, span: int):
                 for at in range(0, len(raw) - span + 1, MAX_TEXT - span + 1):
                     piece = pa.RecordBatch.from_arrays([pa.array([row["doc_id"]], pa.int64()), pa.array([raw[at : at + MAX_TEXT]], pa.binary())], names=["doc_id", "text"])
                     for out in run([piece]):
-                        yield out.set_column(3, "place", pa.array(out.column(3).to_numpy() + (at << 8)))
+                        yield out.set_column(3, "place", pa.array(out.column(3).to_numpy() + np.sign(out.column(3).to_numpy()) * (at << 8)))
 
     return outer
 
@@ -167,8 +170,8 @@ def _long_texts(run, span: int):
 def window_rows(docs: DataFrame, chunks: DataFrame, span: int, k: int) -> DataFrame:
     """The windows of open chunks, in groups of one side: (rank, doc_id, first, windows: their hashes)."""
     half = k + (span - k) // 2
-    lists = chunks.groupBy("doc_id").agg(F.collect_list(F.struct("key", "place")).alias("c"))
-    both = docs.select("doc_id", "text").join(lists, "doc_id").select("doc_id", "text", F.transform("c", lambda x: x["place"]).alias("places"))
+    lists = chunks.groupBy("doc_id").agg(F.collect_list("place").alias("places"))
+    both = docs.select("doc_id", "text").join(lists, "doc_id").select("doc_id", "text", "places")
 
     def run(batches):
         for batch in batches:
@@ -221,17 +224,17 @@ def repeated_spans(docs: DataFrame, span: int = 50, k: int = 20) -> DataFrame:
     """(doc_id, place): ``place >> 8`` is the first byte of ``place & 255`` consecutive repeated windows."""
     if not 32 <= k + (span - k) // 2 <= 64 or not 16 <= k <= 32 or span + span - k > 96:
         raise ValueError("span and k must keep every length within two or three hash blocks")
-    rows = anchor_rows(docs, span, k)
+    rows = anchor_rows(docs, span, k).repartition("key")  # one shuffle serves both windows
     inner, outer = W.partitionBy("key", "whole"), W.partitionBy("key")
     ranked = rows.withColumn("least", F.min("doc_id").over(inner)).withColumn("low", F.min("least").over(outer)).withColumn("high", F.max("least").over(outer))
-    copy = F.col("key").isNull() | (F.col("doc_id") > F.col("least"))
-    hits = write_scratch(ranked.where(copy | (F.col("low") < F.col("high"))).select("doc_id", "place", F.when(~copy, F.col("key")).alias("key")), "hits")
+    copy = (F.col("place") < 0) | (F.col("doc_id") > F.col("least"))
+    hits = write_scratch(ranked.where(copy | (F.col("low") < F.col("high"))).select("doc_id", F.abs("place").alias("place"), F.when(~copy, F.col("key")).alias("key")), "hits")
     windows = window_rows(docs, hits.where("key is not null"), span, k)
     by_rank = W.partitionBy("rank")
     open_windows = windows.withColumn("low", F.min("doc_id").over(by_rank)).withColumn("high", F.max("doc_id").over(by_rank)).where("low < high")
     single = open_windows.select("rank", "doc_id", "first", F.posexplode("windows").alias("i", "window"))
     late = single.withColumn("least", F.min("doc_id").over(W.partitionBy("rank", "window"))).where("doc_id > least").select("doc_id", F.shiftleft(F.col("first") + F.col("i"), 8).bitwiseOR(F.lit(1)).alias("place"))
-    return hits.where("key is null").select("doc_id", "place").unionByName(late)
+    return hits.where("key is null").select("doc_id", "place").unionByName(write_scratch(late, "late"))
 
 
 def _cut(raw: bytes, places: np.ndarray | None, span: int) -> tuple[bytes, int, int]:
