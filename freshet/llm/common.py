@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -44,8 +45,10 @@ def write_scratch(df: DataFrame, name: str) -> DataFrame:
 
 def release_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner delete the shuffle files of finished queries now, not when memory runs short."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for wait in (0.5, 0):  # the listeners let go of a query's plan a little after its end
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(wait)
 
 
 def drop_scratch(*tables: DataFrame) -> None:
