@@ -95,6 +95,8 @@ def frequent_shingles(docs: DataFrame, k: int, at_least: int, max_frequent: int)
             if not found:
                 continue
             h, c = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
+            h, group = np.unique(h, return_inverse=True)
+            c = np.bincount(group, weights=c).astype(np.int64)
             many = c > 1
             yield pa.RecordBatch.from_arrays([pa.array(signed(h[many])), pa.array(c[many])], names=["h", "c"])
 
@@ -179,9 +181,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, frequent_
     rows = rep.select("doc_id", "n", band.alias("band"), F.explode("first").alias("h"))
     buckets = rows.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("h")
     shared = write_scratch(rows.join(buckets, "h"), "shared")  # rows of shingles that at least two documents select
-    leaders = shared.groupBy("h", "band").agg(F.min_by(F.struct("doc_id", "n"), F.xxhash64("doc_id")).alias("leader"))
     # a set's partners have sizes in its own band or a neighbouring one
-    met = shared.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))).join(leaders, ["h", "band"])
+    leaders = shared.groupBy("h", "band").agg(F.min_by(F.struct("doc_id", "n"), F.xxhash64("doc_id")).alias("leader"))
+    near = leaders.select("h", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), "leader")
+    met = shared.join(near, ["h", "band"])
     fits = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
     star = met.where((F.col("doc_id") != F.col("leader.doc_id")) & fits(F.col("n"), F.col("leader.n"))).select(F.least("doc_id", "leader.doc_id").alias("a"), F.greatest("doc_id", "leader.doc_id").alias("b")).distinct()
 
