@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_search, chat_format, line_dedup, ngram_join, packing, quality, suffix_dedup, topk_search
+from . import ann_search, chat_format, line_dedup, ngram_join, packing, quality, sentencepiece_viterbi, suffix_dedup, topk_search
 from .common import read_table, write_scratch
 
 
@@ -61,6 +61,13 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = sentencepiece_viterbi.PieceModel.read()
+    encoded = sentencepiece_viterbi.encode(read_table(spark, sf_dir, "documents"), model)
+    read = sentencepiece_viterbi.decode(encoded, model)
+    return read.select("doc_id", "n_ids", F.crc32("ids").alias("ids_crc32"), F.length("text").cast("bigint").alias("decoded_chars"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
 SQL: dict[str, str] = {}
 
 SQL["op2_topk_search"] = """
