@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_search, chat_format, line_dedup, ngram_join, packing, quality, sentencepiece_viterbi, suffix_dedup, topk_search
+from . import ann_search, chat_format, line_dedup, ngram_join, packing, quality, sentencepiece_viterbi, substring_dedup, suffix_dedup, topk_search
 from .common import read_table, write_scratch
 
 
@@ -49,6 +49,10 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(read_table(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.fuzzy_passages(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = write_scratch(quality.document_statistics(read_table(spark, sf_dir, "documents")), "quality")
     model = quality.fit(stats, training_labels(read_table(spark, sf_dir, "labels")))
