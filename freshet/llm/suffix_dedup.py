@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import _BYTE, byte_slices, list_array, mix64, signed, text_buffers, write_scratch
 
@@ -270,7 +271,7 @@ def remove_repeats(docs: DataFrame, span: int = 50, k: int = 20) -> DataFrame:
             columns = [batch.column(j) for j in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(kept, pa.binary()), *(pa.array(x, pa.int64()) for x in (n, gone, runs))], names=[*batch.schema.names[:-1], "kept_bytes", "n_bytes", "n_removed", "n_spans"])
 
-    out = docs.schema
+    out = T.StructType(list(docs.schema.fields))
     for name, kind in (("kept_bytes", "binary"), ("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long")):
         out = out.add(name, kind)
     return both.mapInArrow(run, out)
@@ -278,3 +279,20 @@ def remove_repeats(docs: DataFrame, span: int = 50, k: int = 20) -> DataFrame:
 
 def kept_digest(removed: DataFrame) -> DataFrame:
     return removed.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
+def cut_texts(docs: DataFrame, span: int = 50, k: int = 20) -> DataFrame:
+    """``docs`` with their columns, where text is what :func:`remove_repeats` keeps, less characters that a cut
+    splits; n_chars, if there is one, follows. A null text stays null."""
+    removed = remove_repeats(docs, span, k)
+    text = F.when(F.col("text").isNull(), None).when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
+    columns = {"text": text, "n_chars": F.when(F.col("n_removed") > 0, F.length("kept").cast("bigint")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
+    at = removed.columns.index("kept_bytes")
+
+    def run(batches):
+        for batch in batches:
+            kept = pa.array([x.decode("utf-8", "ignore") for x in batch.column(at).to_pylist()])
+            yield batch.append_column("kept", kept).drop_columns(["kept_bytes"])
+
+    schema = T.StructType([f for f in removed.schema if f.name != "kept_bytes"]).add("kept", "string")
+    return removed.mapInArrow(run, schema).select(*(columns.get(c).alias(c) if columns.get(c) is not None else F.col(c) for c in docs.columns))
