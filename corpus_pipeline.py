@@ -1,8 +1,56 @@
-"""Corpus cleaning pipeline (stages follow)."""
+"""Corpus pipeline: quality classifier, line dedup, near-duplicate join, suffix-array dedup, packing.
 
-STAGES: list = []
+Each stage works on all rows that its predecessor kept, and its decisions take effect. All but the last return
+the columns of ``documents``; packing returns one row for each piece. Labels are looked up by doc_id.
+Rows with a null doc_id or text pass every stage as their operators define it.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from freshet.llm import line_dedup, ngram_join, packing, quality, suffix_dedup
+from freshet.llm.common import read_table, write_scratch
+from freshet.llm.queries import training_labels
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose quality score reaches 0.7; the rest go."""
+    labels = training_labels(read_table(spark, sf_dir, "labels"))
+    # only labelled documents are needed to fit; every document is scored
+    model = quality.fit(write_scratch(quality.document_statistics(docs), "quality"), labels)
+    return quality.keep_good(docs, model)
+
+
+def no_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of line runs leave their texts; n_chars follows. Documents stay, if empty."""
+    cut = line_dedup.drop_repeated_lines(docs)
+    return cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the smallest doc_id stays."""
+    return ngram_join.keep_one(docs)
+
+
+def no_repeated_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bytes of repeated 50-byte strings leave their texts; a character that a cut splits goes with them."""
+    return suffix_dedup.cut_texts(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs).drop("ids")
+
+
+STAGES = [("quality", good_quality), ("lines", no_repeated_lines), ("near_copies", no_near_copies), ("substrings", no_repeated_bytes), ("packing", packed)]
+#: The classifier and the tokenizer have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written as Parquet and read again."""
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = write_scratch(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
