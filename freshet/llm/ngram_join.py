@@ -11,8 +11,8 @@ documents have last, and differ in a hash:
 
 No bucket is expanded into all its pairs. First every member of a bucket is paired with the bucket's
 leaders only (one for each class of set sizes), verified, and linked documents get a component. Then
-pairs inside one bucket whose components still differ are verified too, so that no link between two
-components is lost; a hot bucket of near copies is one component by then.
+buckets that still hold several components are compared as groups, in blocks inside the tasks, so that no link
+between two components is lost; a pair is never written out as a row unless it joins two components.
 
 Which shingles are frequent is found over all documents: every batch of a task reports those it saw more
 than once and the counts are added. At most ``max_frequent`` go to the tasks (8 bytes each). This set
@@ -167,6 +167,78 @@ def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame
     return both.mapInArrow(run, "a long, b long")
 
 
+def link_components(groups: DataFrame, docs: DataFrame, k: int, percent: int, block: int = 512) -> DataFrame:
+    """Links (a, b) that join different components within groups (lead, doc_id, component_id).
+
+    A group is cut into blocks of about ``block`` documents and every pair of blocks is one unit of work, so a task holds
+    two blocks. Inside it, whole sets are compared by a product of their incidence matrices; pairs are not written out,
+    only the links that still join components.
+    """
+    sizes = groups.groupBy("lead").agg(F.ceil(F.count("*") / block).alias("blocks"))
+    mine = groups.join(sizes, "lead").withColumn("own", F.pmod(F.xxhash64("doc_id"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    keyed = mine.select("lead", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc_id", "component_id")
+    texts = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
+    rows = keyed.join(texts, "doc_id").select("lead", "i", "j", "doc_id", "component_id", "text").repartition("lead", "i", "j").sortWithinPartitions("lead", "i", "j")
+
+    def links(group: pa.Table) -> tuple[list[int], list[int]]:
+        ids, comps = group.column("doc_id").to_numpy(), group.column("component_id").to_numpy()
+        if comps.min() == comps.max():
+            return [], []
+        h, n = shingle_sets(group.column("text"), k)
+        tokens, count = np.unique(h, return_counts=True)
+        tokens = tokens[count > 1]
+        at = np.searchsorted(tokens, h)
+        hit = (at < len(tokens)) & (tokens[np.minimum(at, max(len(tokens) - 1, 0))] == h) if len(tokens) else np.zeros(len(h), bool)
+        row, at = np.repeat(np.arange(len(ids)), n)[hit], at[hit]
+        common = np.zeros((len(ids), len(ids)), np.float32)  # exact up to 2 ** 24 shingles
+        width = max(1, 8_000_000 // len(ids))
+        for low in range(0, len(tokens), width):
+            part = (at >= low) & (at < low + width)
+            x = np.zeros((len(ids), min(width, len(tokens) - low)), np.float32)
+            x[row[part], at[part] - low] = 1
+            common += x @ x.T
+        good = (common > 0) & (100 * common >= percent * (n[:, None] + n[None, :] - common)) & (comps[:, None] != comps[None, :])
+        a, b = np.nonzero(np.triu(good, 1))
+        root: dict[int, int] = {}
+
+        def find(c: int) -> int:
+            while root.get(c, c) != c:
+                c = root[c]
+            return c
+
+        out: tuple[list[int], list[int]] = ([], [])
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            p, q = find(int(comps[x])), find(int(comps[y]))
+            if p != q:
+                root[max(p, q)] = min(p, q)
+                out[0].append(int(ids[x]))
+                out[1].append(int(ids[y]))
+        return out
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        key = None
+
+        def close():
+            a, b = links(pa.Table.from_batches(held)) if held else ([], [])
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy() for c in range(3)])
+            cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1
+            for low, high in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+                now = tuple(keys[:, low]) if batch.num_rows else key
+                if held and now != key:
+                    yield close()
+                key = now
+                if high > low:
+                    held.append(batch.slice(low, high - low))
+        yield close()
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, frequent_at_least: int = 24, max_frequent: int = 1 << 18) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id."""
     docs = docs.select("doc_id", "text")
@@ -201,15 +273,13 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, frequent_
     links = write_scratch(verify(tested, docs, k, percent), "links")
     copies = write_scratch(copies, "copies")
     found = components(links.unionByName(copies))
-    # pairs of one bucket whose components still differ
+    # documents of one bucket whose components still differ
     named = shared.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    mixed = named.groupBy("h").agg(F.min("component_id").alias("low"), F.max("component_id").alias("high")).where("low < high").select("h")
-    open_rows = write_scratch(named.join(mixed, "h"), "open")
-    x, y = open_rows.alias("x"), open_rows.alias("y")
-    rest = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component_id") != F.col("y.component_id")) & fits(F.col("x.n"), F.col("y.n"))).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-    more = write_scratch(verify(filtered(rest), docs, k, percent), "links")
+    mixed = named.groupBy("h").agg(F.min("component_id").alias("low"), F.max("component_id").alias("high"), F.min_by("doc_id", F.xxhash64("doc_id")).alias("lead")).where("low < high").select("h", "lead")
+    groups = write_scratch(named.join(mixed, "h").select("lead", "doc_id", "component_id").distinct(), "groups")
+    drop_scratch(shared)
+    more = write_scratch(link_components(groups, docs, k, percent), "links")
     final = components(links.unionByName(more).unionByName(copies).distinct())
-    drop_scratch(shared, open_rows)
     out = sets.select("doc_id", F.col("n").alias("n_shingles")).join(final.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
