@@ -160,7 +160,7 @@ def request_rollup(samples: DataFrame) -> DataFrame:
     q = lambda c: F.percentile(F.when(ok, F.col(c)), F.array(F.lit(0.5), F.lit(0.95)))
     rows = samples.groupBy("provider", "endpoint").agg(F.count("*").alias("total"), F.count_if(ok).alias("ok"), q("duration_ms").alias("d"), q("payload_bytes").alias("b"))
     item = lambda c, i: F.try_element_at(c, F.lit(i))
-    return rows.select("provider", "endpoint", "total", "ok", (F.col("total") - F.col("ok")).alias("errors"), F.round(item("d", 1), 2).alias("p50_ms"), F.round(item("d", 2), 2).alias("p95_ms"), F.floor(item("b", 1)).alias("p50_bytes"), F.floor(item("b", 2)).alias("p95_bytes"))
+    return rows.select("provider", "endpoint", "total", "ok", (F.col("total") - F.col("ok")).alias("errors"), F.round(item("d", 1) + F.lit(1e-9), 2).alias("p50_ms"), F.round(item("d", 2) + F.lit(1e-9), 2).alias("p95_ms"), F.floor(item("b", 1)).alias("p50_bytes"), F.floor(item("b", 2)).alias("p95_bytes"))
 
 
 def prepare_stats(tagged: DataFrame, rp: DataFrame, provider: str) -> DataFrame:

@@ -41,10 +41,15 @@ def gumbel_fit(samples: np.ndarray) -> tuple[float, float]:
     return low - scale * np.log(np.exp(-(x - low) / scale).mean()), scale
 
 
-@F.pandas_udf("loc double, scale double")
-def _fit(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for lists in batches:
-        yield pd.DataFrame([gumbel_fit(np.asarray(x, dtype=float)) for x in lists], columns=["loc", "scale"])
+def _fit(samples: str) -> Column:
+    """struct(loc, scale) of an array column, fitted batch by batch."""
+
+    @F.pandas_udf("loc double, scale double")
+    def fit(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for lists in batches:
+            yield pd.DataFrame([gumbel_fit(np.asarray(x, dtype=float)) for x in lists], columns=["loc", "scale"])
+
+    return fit(samples)
 
 
 def gumbel_quantile(loc: Column, scale: Column, period: float) -> Column:

@@ -217,11 +217,11 @@ def _(spark, d):
     return A.reach_summary(stats(spark, d), ladders(spark, d), "max_first", requested(spark, d))
 
 
-COUNTS = """, some AS (SELECT * FROM sums WHERE right(provider_reach_id, 1) <> '7' AND run_id <> '1996010100'),
+COUNTS = """, held AS (SELECT * FROM sums WHERE right(provider_reach_id, 1) <> '7' AND run_id <> '1996010100'),
 counts AS (
   SELECT provider, run_id, coalesce(timeseries_rows, 0) AS timeseries_rows, coalesce(reaches, 0) AS reaches, coalesce(summary_rows, 0) AS summary_rows, supported_reaches
   FROM (SELECT provider, run_id, count(*) AS timeseries_rows, count(DISTINCT provider_reach_id) AS reaches FROM ts GROUP BY ALL)
-  FULL JOIN (SELECT provider, run_id, count(*) AS summary_rows FROM some GROUP BY ALL) USING (provider, run_id)
+  FULL JOIN (SELECT provider, run_id, count(*) AS summary_rows FROM held GROUP BY ALL) USING (provider, run_id)
   LEFT JOIN (SELECT provider, count(DISTINCT provider_reach_id) AS supported_reaches FROM fx_ladders GROUP BY ALL) USING (provider))"""
 
 
@@ -310,7 +310,7 @@ def _(spark, d):
     """WITH s AS (SELECT CASE WHEN user_id % 2 = 0 THEN 'reach' ELSE 'grid' END AS provider, event_type AS endpoint, CASE WHEN event_id % 10 = 0 THEN 500 ELSE 200 END AS status_code, value::DOUBLE AS duration_ms, event_id AS payload_bytes FROM events)
 ---
 SELECT provider, endpoint, count(*) AS total, count(*) FILTER (WHERE status_code = 200) AS ok, count(*) FILTER (WHERE status_code <> 200) AS errors,
-       round(quantile_cont(duration_ms, 0.5) FILTER (WHERE status_code = 200), 2) AS p50_ms, round(quantile_cont(duration_ms, 0.95) FILTER (WHERE status_code = 200), 2) AS p95_ms,
+       round(quantile_cont(duration_ms, 0.5) FILTER (WHERE status_code = 200) + 1e-9, 2) AS p50_ms, round(quantile_cont(duration_ms, 0.95) FILTER (WHERE status_code = 200) + 1e-9, 2) AS p95_ms,
        floor(quantile_cont(payload_bytes, 0.5) FILTER (WHERE status_code = 200))::BIGINT AS p50_bytes, floor(quantile_cont(payload_bytes, 0.95) FILTER (WHERE status_code = 200))::BIGINT AS p95_bytes
 FROM s GROUP BY provider, endpoint""",
 )
@@ -600,7 +600,7 @@ def _(spark, d):
     return P.backfill_reach_area(rows).select("reach_id", "reach_upstream_area_km2")
 
 
-@query("jn11_runs_with_data", FULL + COUNTS + OPS + "\n---\nSELECT * FROM fx_runs WHERE run_id IN (SELECT run_id FROM some)")
+@query("jn11_runs_with_data", FULL + COUNTS + OPS + "\n---\nSELECT * FROM fx_runs WHERE run_id IN (SELECT run_id FROM held)")
 def _(spark, d):
     return J.runs_with_data(runs(spark, d), some_summaries(spark, d))
 
@@ -627,7 +627,7 @@ def _(spark, d):
 # --- windows, top lists, sets -------------------------------------------------------------------
 
 
-@query("win2_latest_run", FULL + COUNTS + OPS + "\n---\nSELECT * FROM fx_runs WHERE run_id IN (SELECT run_id FROM some) ORDER BY run_date_utc DESC LIMIT 1")
+@query("win2_latest_run", FULL + COUNTS + OPS + "\n---\nSELECT * FROM fx_runs WHERE run_id IN (SELECT run_id FROM held) ORDER BY run_date_utc DESC LIMIT 1")
 def _(spark, d):
     return N.latest_run(runs(spark, d), some_summaries(spark, d))
 
@@ -664,7 +664,7 @@ def _(spark, d):
     return N.reach_timeseries(stats(spark, d), "reach", "1996010100", "7", 5)
 
 
-@query("srt4_bounded_reaches", BASE + "\n---\nSELECT * FROM ts WHERE provider_reach_id::BIGINT <= 40", FLOWS)
+@query("srt4_bounded_reaches", BASE + "\n---\nSELECT * FROM ts WHERE provider_reach_id IN (SELECT provider_reach_id FROM (SELECT DISTINCT provider_reach_id FROM fx_members) ORDER BY provider_reach_id::BIGINT LIMIT 40)", FLOWS)
 def _(spark, d):
     rows = stats(spark, d).withColumn("reach_ordinal", F.col("provider_reach_id").cast("bigint"))
     return N.bounded_reaches(rows, 40).drop("reach_ordinal")
