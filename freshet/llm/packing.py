@@ -18,9 +18,10 @@ only doc_id and text are read.
 
 from __future__ import annotations
 
+import json
 import os
-import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +31,9 @@ from pyspark.sql import functions as F
 
 from .common import byte_slices, write_scratch
 
-CACHE_WORDS = 600_000
-_UNEVEN = re.compile(r" \s|\n |[^\S \n]")
-_tokenizers: dict[str, CachedTokenizer] = {}
+# Fixed value: how byte-level vocabularies cut a text into pieces
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_tokenizers: dict[str, FastTokenizer] = {}
 
 
 def default_tokenizer() -> str:
@@ -41,9 +42,13 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-class CachedTokenizer:
-    """Ids of texts as bytes. A byte-level vocabulary never joins a word with the space after it, so texts with
-    single spaces and line ends only are looked up word by word; others are encoded whole."""
+class FastTokenizer:
+    """Ids of texts as bytes, as the ``tokenizers`` library gives them.
+
+    A plain byte-level vocabulary is merged by ``tiktoken``, about three times faster, from the same file; it is
+    compared with the library at the start. Texts with a special token's string, and any other tokenizer, go through the
+    library itself.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -52,38 +57,44 @@ class CachedTokenizer:
         self.inner = Tokenizer.from_file(path)
         self.size = self.inner.get_vocab_size(with_added_tokens=True)
         self.kind = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
-        import json
-
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
-        pre = spec.get("pre_tokenizer") or {}
-        self.by_word = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer")
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
-        self.words: dict[str, bytes] = {}
+        self.merge = self._merger(spec)
+
+    def _merger(self, spec: dict):
+        """encode(text) -> ids for a plain byte-level vocabulary whose ids follow its merges; else None."""
+        pre, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
+        if pre.get("type") != "ByteLevel" or not pre.get("use_regex", True) or pre.get("add_prefix_space") or spec.get("normalizer") or model.get("type") != "BPE":
+            return None
+        import tiktoken
+        from tokenizers import pre_tokenizers
+
+        # the printable stand-ins of bytes, read off the library: one byte for each character
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        stand_in = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
+        if set(stand_in) != set(pre_tokenizers.ByteLevel.alphabet()):
+            return None
+        special = set(self.special)
+        ranks = {bytes(stand_in[c] for c in t): i for t, i in model["vocab"].items() if t not in special}
+        encode = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        probe = " it's 12 the, Élan\tñ 日本 😀 THEREFORE!! aaaaaaa  don't_stop\n\n x" + "".join(map(chr, range(32, 1500)))
+        return encode if encode(probe) == self.inner.encode(probe, add_special_tokens=False).ids else None
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.inner.encode_batch(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.split(" ") if self.by_word and not _UNEVEN.search(t) and not any(s in t for s in self.special) else None for t in texts]
-        missing = {w for ws in split if ws for w in ws[1:]}.difference(self.words)
-        if missing:
-            if len(self.words) + len(missing) > CACHE_WORDS:
-                self.words.clear()
-                missing = {w for ws in split if ws for w in ws[1:]}
-            new = list(missing)
-            self.words.update(zip(new, self.whole([" " + w for w in new]), strict=True))
-        get = self.words.__getitem__
-        first = self.whole([ws[0] for ws in split if ws])
-        rest = self.whole([t for t, ws in zip(texts, split, strict=True) if not ws])
-        a, b = iter(first), iter(rest)
-        return [next(a) + b"".join(map(get, ws[1:])) if ws else next(b) for ws in split]
-
-
-def tokenizer(path: str) -> CachedTokenizer:
+        if self.merge is None:
+            return self.whole(texts)
+        code = "H" if self.kind.itemsize == 2 else "I"
+        return [self.whole([t])[0] if any(s in t for s in self.special) else array(code, self.merge(t)).tobytes() for t in texts]
+
+
+def tokenizer(path: str) -> FastTokenizer:
     """One for each worker process."""
     if path not in _tokenizers:
-        _tokenizers[path] = CachedTokenizer(path)
+        _tokenizers[path] = FastTokenizer(path)
     return _tokenizers[path]
 
 
