@@ -4,7 +4,8 @@ Components become integers, floor(scale * x). Candidates are dealt into blocks b
 into blocks of their own, and every pair of blocks is one group. Inside it each dimension has its list of
 candidates sorted by value. For a query the lists are read in step from the end that helps it, new candidates are
 scored in full, and reading stops once the bound, the query's product with the values at the current
-depths, is below the k-th score (an equal bound goes on, for ties). Blocks' results are merged by score, then
+depths, is below the k-th score (an equal bound goes on, for ties), or nothing unseen is worth another step of
+reading. Blocks' results are merged by score, then
 smaller id.
 
 This is a stated query set against all rows, so its work is their product; a group holds one block of
@@ -54,16 +55,21 @@ class SortedLists:
         depth, step = 0, 4
         while depth < n:
             end = min(n, depth + step)
-            found = np.concatenate([self.order[n - end : n - depth, up].ravel(), self.order[depth:end, down].ravel()])
-            if not len(up) and not len(down):  # a zero query: every score is zero
-                found, end = np.arange(n), n
-            new = np.zeros(n, bool)
-            new[found] = True
-            new &= ~seen
-            fresh = np.flatnonzero(new)
+            unseen = n - int(np.count_nonzero(seen))
+            if unseen <= (end - depth) * (len(up) + len(down)) // 8 or not len(up) + len(down):
+                # few are left, against what the next step reads: score them all, which ends the search
+                fresh, end = np.flatnonzero(~seen), n
+            else:
+                new = np.zeros(n, bool)
+                new[self.order[n - end : n - depth, up]] = True
+                new[self.order[depth:end, down]] = True
+                fresh = np.flatnonzero(new & ~seen)
             seen[fresh] = True
             rows = np.concatenate([rows, fresh])
             scores = np.concatenate([scores, self.values[fresh] @ q])
+            if len(rows) > 2 * k:  # all that reach the k-th score, ties included
+                reach = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
+                rows, scores = rows[reach], scores[reach]
             best = np.lexsort((rows, -scores))[:k]
             rows, scores = rows[best], scores[best]
             depth, step = end, step * 2
