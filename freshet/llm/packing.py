@@ -8,6 +8,8 @@ remnants, and the best fill its window greedily. The neighbour that doesn't fit
 seeds the next window. What is left at a shard's end is cut into sequences whose lengths are powers of two,
 which need no padding.
 
+Ids that more than ``stop_share`` of all remnants hold tell little and have no postings.
+
 Bounds: a shard has at most ``shard_docs`` remnants; the frequencies have one row for each vocabulary entry.
 Ids travel as 16-bit (or 32-bit) binaries. sequence_id is the partition's number and a counter in it.
 
@@ -127,8 +129,7 @@ def frequencies(tokens: DataFrame, kind: np.dtype, window: int) -> tuple[np.ndar
             parts = [x for x in _remnants(batch, kind, window) if len(x)]
             n, size = n + len(parts), size + sum(map(len, parts))
             if parts:
-                flat = np.unique(np.concatenate([x.astype(np.int64) + (i << 32) for i, x in enumerate(parts)])) & 0xFFFFFFFF
-                more = np.bincount(flat)
+                more = np.bincount(np.concatenate([np.unique(x) for x in parts]))
                 df = np.pad(df, (0, max(0, len(more) - len(df))))
                 df[: len(more)] += more
         seen = np.flatnonzero(df)
@@ -152,6 +153,8 @@ class Shard:
         sizes = np.array([len(x) for x in parts], np.int64)
         doc = np.repeat(np.arange(self.n), sizes)
         key, tf = np.unique(np.concatenate(parts).astype(np.int64) << 24 | doc, return_counts=True) if self.n else (np.zeros(0, np.int64), np.zeros(0))
+        tells = idf[key >> 24] > 0  # stop terms have no postings
+        key, tf = key[tells], tf[tells]
         self.term, self.doc = key >> 24, key & 0xFFFFFF
         self.weight = idf[self.term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * sizes[self.doc] / mean)) if self.n else np.zeros(0)
         order = np.argsort(self.doc, kind="stable")
@@ -217,14 +220,14 @@ def powers_of_two(pieces: list[tuple[int, int, int]]):
                 out, room = [], sizes.pop(0) if sizes else 0
 
 
-def pack(docs: DataFrame, tokenizer_path: str | None = None, window: int = 1024, end_id: int = 0, shard_docs: int = 1024) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str | None = None, window: int = 1024, end_id: int = 0, shard_docs: int = 1024, stop_share: float = 0.1) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (the piece's
     ids, little-endian binary of the tokenizer's width)."""
     path = tokenizer_path or default_tokenizer()
     kind = tokenizer(path).kind
     tokens = write_scratch(tokenize(docs, path, end_id), "tokens")
     df, n, mean = frequencies(tokens, kind, window)
-    idf = np.log1p((n - df + 0.5) / (df + 0.5))
+    idf = np.where(df > stop_share * n, 0, np.log1p((n - df + 0.5) / (df + 0.5))) if n >= 1 / stop_share else np.log1p((n - df + 0.5) / (df + 0.5))
     shared = docs.sparkSession.sparkContext.broadcast((df, idf))  # as long as the vocabulary
 
     def sign(batches):
