@@ -58,7 +58,7 @@ def gumbel_quantile(loc: Column, scale: Column, period: float) -> Column:
 
 def gumbel_thresholds(maxima: DataFrame, periods: Sequence[int] = (2, 5, 20), min_n: int = 5, samples: str = "maxima") -> DataFrame:
     """Quantiles rp_<period> of a fit for rows with at least min_n maxima; failed fits are left out."""
-    rows = maxima.where(F.size(samples) >= min_n).withColumn("fit", _fit(samples)).where(~F.isnan("fit.scale"))
+    rows = maxima.where(F.size(samples) >= min_n).withColumn("fit", _fit(samples)).where((F.col("fit.scale") > 0) & ~F.isnan("fit.scale"))
     quantiles = [gumbel_quantile(F.col("fit.loc"), F.col("fit.scale"), p).alias(f"rp_{p}") for p in periods]
     return rows.select(*(c for c in maxima.columns if c != samples), *quantiles, F.size(samples).alias("sample_count"))
 
@@ -70,7 +70,7 @@ def reach_thresholds_from_history(cells: DataFrame, history: DataFrame, provider
     """
     values = history.where(X.finite("flow_cms")).groupBy("lat", "lon").agg(F.collect_list("flow_cms").alias("x"))
     rows = cells.select("provider_reach_id", "lat", "lon").join(values, ["lat", "lon"]).withColumn("n", F.size("x"))
-    many = rows.where(F.col("n") >= gumbel_from).withColumn("fit", _fit("x")).where(~F.isnan("fit.scale"))
+    many = rows.where(F.col("n") >= gumbel_from).withColumn("fit", _fit("x")).where((F.col("fit.scale") > 0) & ~F.isnan("fit.scale"))
     fitted = many.select("provider_reach_id", "n", *(gumbel_quantile(F.col("fit.loc"), F.col("fit.scale"), 1 / (1 - p)).alias(r) for r, p in (("rp_2", 0.5), ("rp_5", 0.8), ("rp_25", 0.95))))
     few = rows.where(F.col("n") < gumbel_from).withColumn("s", F.array_sort("x"))
 

@@ -69,7 +69,7 @@ def read_threshold_grid(spark: SparkSession, path: str) -> DataFrame:
 
 def read_stream_features(spark: SparkSession, path: str) -> DataFrame:
     """GeoJSON lines as (props, geometry), both JSON text; lines that don't parse are skipped."""
-    feature = F.from_json("value", T.StructType().add("type", "string").add("properties", "map<string,string>"))
+    feature = F.from_json("value", T.StructType().add("type", "string").add("properties", T.MapType(T.StringType(), T.StringType())))
     rows = spark.read.text(path).withColumn("f", feature).where(F.col("f.properties").isNotNull())
     return rows.select(F.get_json_object("value", "$.properties").alias("props"), F.get_json_object("value", "$.geometry").alias("geometry"))
 
