@@ -8,7 +8,6 @@ from pyspark.sql import SparkSession
 ROOT = Path(__file__).resolve().parent.parent
 sys.path.insert(0, str(ROOT))
 os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
-DATA = os.environ.get("TESTDATA", "/root/testdata")
 
 
 @pytest.fixture(scope="session")
