@@ -11,8 +11,10 @@ documents have last, and differ in a hash:
 
 No bucket is expanded into all its pairs. First every member of a bucket is paired with the bucket's
 leaders only (one for each class of set sizes), verified, and linked documents get a component. Then
-buckets that still hold several components are compared as groups, in blocks inside the tasks, so that no link
-between two components is lost; a pair is never written out as a row unless it joins two components.
+buckets that still hold several components are looked at again, so that no link between two components is lost.
+Of buckets up to ``small_bucket`` documents the pairs are counted, and those that share enough of their prefixes
+verified; larger buckets are compared as groups, in blocks inside the tasks, and only links that join two components
+are written out.
 
 Which shingles are frequent is found over all documents: every batch of a task reports those it saw more
 than once and the counts are added. At most ``max_frequent`` go to the tasks (8 bytes each). This set
@@ -239,7 +241,7 @@ def link_components(groups: DataFrame, docs: DataFrame, k: int, percent: int, bl
     return rows.mapInArrow(run, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, frequent_at_least: int = 24, max_frequent: int = 1 << 18) -> DataFrame:
+def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, frequent_at_least: int = 24, max_frequent: int = 1 << 18, small_bucket: int = 32) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id."""
     docs = docs.select("doc_id", "text")
     frequent = frequent_shingles(docs, k, frequent_at_least, max_frequent)
@@ -275,10 +277,21 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, frequent_
     found = components(links.unionByName(copies))
     # documents of one bucket whose components still differ
     named = shared.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    mixed = named.groupBy("h").agg(F.min("component_id").alias("low"), F.max("component_id").alias("high"), F.min_by("doc_id", F.xxhash64("doc_id")).alias("lead")).where("low < high").select("h", "lead")
-    groups = write_scratch(named.join(mixed, "h").select("lead", "doc_id", "component_id").distinct(), "groups")
+    mixed = named.groupBy("h").agg(F.min("component_id").alias("low"), F.max("component_id").alias("high"), F.min_by("doc_id", F.xxhash64("doc_id")).alias("lead"), F.count("*").alias("size")).where("low < high").select("h", "lead", "size")
+    still = write_scratch(named.join(mixed, "h").select("h", "lead", "size", "doc_id", "n", "component_id"), "mixed")
     drop_scratch(shared)
-    more = write_scratch(link_components(groups, docs, k, percent), "links")
+    small = still.where(F.col("size") <= small_bucket)
+    x, y = small.alias("x"), small.alias("y")
+    met = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component_id") != F.col("y.component_id")) & fits(F.col("x.n"), F.col("y.n")))
+    counted = met.groupBy(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).agg(F.count("*").alias("c"), F.max("x.n").alias("n"), F.max("y.n").alias("m"))
+    # two sets of this similarity share so many of the shorter-reaching prefix; pairs of a large bucket are compared below
+    overlap = F.ceil(percent * (F.col("n") + F.col("m")) / (100 + percent))
+    prefix = lambda n: n - F.ceil(percent * n / 100) + 1
+    enough = F.least(prefix(F.col("n")) - F.col("n") + overlap, prefix(F.col("m")) - F.col("m") + overlap)
+    likely = counted.where(F.col("c") >= enough).select("a", "b").join(tested, ["a", "b"], "left_anti")
+    near = write_scratch(verify(filtered(likely), docs, k, percent), "links")
+    groups = write_scratch(still.where(F.col("size") > small_bucket).select("lead", "doc_id", "component_id").distinct(), "groups")
+    more = near.unionByName(write_scratch(link_components(groups, docs, k, percent), "links"))
     final = components(links.unionByName(more).unionByName(copies).distinct())
     out = sets.select("doc_id", F.col("n").alias("n_shingles")).join(final.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
