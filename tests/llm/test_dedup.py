@@ -69,6 +69,8 @@ def brute_components(corpus):
 def test_ngram_join(docs, corpus, no_docs, spark):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(docs, frequent_at_least=3).collect()}
     assert got == brute_components(corpus)
+    large = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(docs, frequent_at_least=3, small_bucket=2).collect()}
+    assert large == got
     assert ngram_join.jaccard_components(no_docs).count() == 0
     kept = ngram_join.keep_one(docs)
     want = {i for i, (_, c) in got.items() if i == c}
