@@ -22,6 +22,7 @@ from freshet.operators import thresholds as T
 from freshet.operators import upserts as U
 from freshet.operators import windows as N
 from freshet.plans import workflows as C
+from freshet.sources import tables as R
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -770,6 +771,88 @@ def _(spark, d):
     return view(spark, d, "fx_reaches").groupBy(X.bbox_key(lon - 3, lat - 3, lon + 3, lat + 3).alias("bbox")).agg(F.count("*").alias("n"))
 
 
+@query("scl6_reach_id_fallback", "SELECT s_suppkey::BIGINT AS k, CASE s_suppkey % 4 WHEN 0 THEN s_suppkey::VARCHAR WHEN 1 THEN (s_suppkey + 1)::VARCHAR WHEN 2 THEN NULL ELSE (s_suppkey * 2)::VARCHAR END AS reach_id FROM supplier")
+def _(spark, d):
+    k = F.col("s_suppkey")
+    text = lambda c: c.cast("string")
+    props = F.when(k % 4 == 0, F.concat(F.lit('{"reach_id": " ", "LINKNO": '), text(k), F.lit(".9}"))).when(k % 4 == 1, F.concat(F.lit('{"provider_reach_id": "'), text(k + 1), F.lit('"}'))).when(k % 4 == 2, F.lit('{"COMID": "nan"}')).otherwise(F.concat(F.lit('{"HYRIV_ID": '), text(k * 2), F.lit(', "reach_id": ""}')))
+    return table(spark, d, "supplier").select(k.cast("bigint").alias("k"), X.reach_id_fallback(props).alias("reach_id"))
+
+
+@query("win1_nearest_k", CROSSWALK + "\n---\nSELECT reach_id, grid_lat, grid_lon, n::INTEGER AS nth FROM k WHERE n <= 3", "grid_lat grid_lon")
+def _(spark, d):
+    near = J.knn_candidates(view(spark, d, "fx_reaches"), view(spark, d, "fx_cells").where("rp_2 >= 1")).drop("nth")
+    return N.nearest_k(near, 3).select("reach_id", "grid_lat", "grid_lon", "nth")
+
+
+@query("jn6_expand_cells_to_reaches", ctes("fx_members") + GRID + """
+---
+SELECT cast(s_suppkey AS VARCHAR) AS provider_reach_id, run_id, product, forecast_time_utc, flow_mean_cms FROM grid_stats, supplier
+WHERE round(lat * 1000) = round((10 + 0.05 * (s_suppkey % 40)) * 1000) AND round(lon * 1000) = round((20 + 0.05 * (s_suppkey % 7)) * 1000)""", "flow_mean_cms")
+def _(spark, d):
+    key = F.col("s_suppkey")
+    cells = table(spark, d, "supplier").select(key.cast("string").alias("provider_reach_id"), (F.lit(10.0) + F.lit(0.05) * (key % 40)).alias("lat"), (F.lit(20.0) + F.lit(0.05) * (key % 7)).alias("lon"))
+    rows = J.expand_cells_to_reaches(A.grid_ensemble_stats(grid_members(spark, d)), cells)
+    return rows.select("provider_reach_id", "run_id", "product", "forecast_time_utc", "flow_mean_cms")
+
+
+@query("prj3_normalize_summary", "SELECT 'reach' AS provider, '2026010100' AS run_id, user_id::VARCHAR AS provider_reach_id, date_trunc('second', ts)::TIMESTAMP AS peak_time_utc, value::DOUBLE AS peak_mean_cms, CASE WHEN event_id % 4 <> 0 THEN value::DOUBLE * 2 END AS peak_max_cms FROM events WHERE event_id % 6 <> 0", "peak_mean_cms peak_max_cms")
+def _(spark, d):
+    e = F.col("event_id")
+    raw = table(spark, d, "events").select(F.when(e % 6 == 0, "  ").otherwise(F.col("user_id").cast("string")).alias("river_id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("peak_time_utc"), F.col("value").cast("string").alias("peak_mean_cms"), F.when(e % 4 == 0, "null").otherwise((F.col("value").cast("double") * 2).cast("string")).alias("peak_max_cms"))
+    return P.normalize_summary(raw, "reach", "2026010100").select("provider", "run_id", "provider_reach_id", "peak_time_utc", "peak_mean_cms", "peak_max_cms")
+
+
+@query("prj4_normalize_rest_stats", "SELECT date_trunc('second', ts)::TIMESTAMP AS forecast_time_utc, value::DOUBLE AS flow_mean_cms, (event_id / 2e0)::DOUBLE AS flow_min FROM events", "flow_mean_cms flow_min")
+def _(spark, d):
+    raw = table(spark, d, "events").select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("time"), F.col("value").cast("double").alias("flow_avg"), (F.col("event_id") / 2).alias("flow_min"), F.lit(None).cast("double").alias("high_res"))
+    rows = P.normalize_rest_stats(raw, "reach", "2026010100", "760021611")
+    return rows.select("forecast_time_utc", "flow_mean_cms", F.get_json_object("raw_payload_json", "$.flow_min").cast("double").alias("flow_min"))
+
+
+# --- sources and sinks --------------------------------------------------------------------------
+
+
+@query("src1_read_raw_forecast_jsonl", "WITH one AS (SELECT 1)" + RAW + "\n---\nSELECT provider_reach_id, forecast_time_utc, flow_mean_cms, flow_max_cms FROM norm", "flow_mean_cms flow_max_cms")
+def _(spark, d):
+    path = R.scratch_path(spark, "raw")
+    raw_records(spark, d).drop("event_id").write.json(path)
+    rows = P.normalize_timeseries(R.read_raw_forecast_jsonl(spark, path, "2026010100").drop("source_path"), "reach")
+    return rows.select("provider_reach_id", "forecast_time_utc", "flow_mean_cms", "flow_max_cms")
+
+
+@query("src2_snk1_timeseries_artifact", BASE + "\n---\nSELECT *, NULL::VARCHAR AS raw_payload_json FROM ts", FLOWS)
+def _(spark, d):
+    path = R.scratch_path(spark, "timeseries")
+    R.write_timeseries_artifact(stats(spark, d).withColumn("raw_payload_json", F.lit(None).cast("string")), path)
+    return R.read_timeseries_artifact(spark, path)
+
+
+@query("src3_snk2_summary_artifact", FULL + "\n---\nSELECT * FROM sums WHERE run_id <> '1996010100'", PEAKS)
+def _(spark, d):
+    path = R.scratch_path(spark, "summary")
+    rows = summaries(spark, d)
+    R.write_summary_artifact(rows.where("run_id <> '1996010100'"), path)
+    R.write_summary_artifact(rows.where("run_id = '1997010100'"), path)  # replaces that run only
+    return R.read_summary_artifact(spark, path).drop("first_exceedance_time_utc", "metadata_json")
+
+
+@query("src7_read_stream_features", "SELECT s_suppkey::VARCHAR AS link, concat('{\"type\":\"Point\",\"k\":', s_suppkey, '}') AS geometry FROM supplier WHERE s_suppkey % 5 <> 0")
+def _(spark, d):
+    path = R.scratch_path(spark, "features")
+    k = F.col("s_suppkey").cast("string")
+    line = F.concat(F.lit('{"type":"Feature","properties":{"LINKNO":'), k, F.lit('},"geometry":{"type":"Point","k":'), k, F.lit("}}"))
+    table(spark, d, "supplier").select(F.when(F.col("s_suppkey") % 5 == 0, "not json").otherwise(line).alias("value")).write.text(path)
+    return R.read_stream_features(spark, path).select(F.get_json_object("props", "$.LINKNO").alias("link"), "geometry")
+
+
+@query("snk4_artifact_stats", FULL + "\n---\nSELECT count(*) AS row_count, true AS has_bytes FROM sums")
+def _(spark, d):
+    path = R.scratch_path(spark, "stats")
+    R.write_summary_artifact(summaries(spark, d), path)
+    return R.artifact_stats(spark.read.schema(S.SUMMARY_ARTIFACT).parquet(path)).select("row_count", (F.col("size_bytes") > 0).alias("has_bytes"))
+
+
 # --- composite jobs -----------------------------------------------------------------------------
 
 

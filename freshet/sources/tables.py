@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -109,3 +112,9 @@ def artifact_stats(rows: DataFrame) -> DataFrame:
 def numbers(df: DataFrame, *names: str) -> DataFrame:
     """Columns through safe_double."""
     return df.withColumns({n: X.safe_double(n) for n in names})
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder of ``spark.checkpoint.dir``; where that is unset (tests), a temporary one."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-freshet-")
+    return f"{top}/freshet-{name}-{uuid.uuid4().hex}"
