@@ -144,6 +144,26 @@ def test_fuzzy_passages(docs, corpus, no_docs):
     assert substring_dedup.fuzzy_passages(no_docs).count() == 0
 
 
+def test_fuzzy_passages_of_a_mosaic(spark):
+    """A repeat whose seeds first occur in different documents, each under 50 words, meets the document that holds it all."""
+    first, second = ([f"{c}{i}" for i in range(30)] for c in "pq")
+    around = lambda i: [f"x{i}n{j}" for j in range(20)]
+    texts = [first, second, first + second, first + second, around(4) + second + first, around(5) + second + first + around(6)]
+    texts += [around(7) + first[5:] + second[:24], around(8) + first[6:] + second[:26] + around(9)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows = substring_dedup.fuzzy_passages(docs).collect()
+    covered = defaultdict(set)
+    for r in rows:
+        assert r.first_doc_id < r.doc_id and r.stop - r.start >= 50 and 0.8 <= r.identity <= 1
+        covered[r.doc_id] |= set(range(r.start, r.stop))
+    seen: dict = {}
+    for i, words in enumerate(texts):
+        for s in range(len(words) - 49):
+            if seen.setdefault(tuple(words[s : s + 50]), i) < i:
+                assert set(range(s, s + 50)) <= covered[i], (i, s)
+    assert covered[3] == set(range(60)) and 4 not in covered
+
+
 def test_chain_and_align():
     import numpy as np
 
