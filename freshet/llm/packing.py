@@ -8,9 +8,10 @@ remnants, and the best fill its window greedily. The neighbour that doesn't fit
 seeds the next window. What is left at a shard's end is cut into sequences whose lengths are powers of two,
 which need no padding.
 
-Ids that more than ``stop_share`` of all remnants hold tell little and have no postings.
+Every id counts. For those that many of a shard's remnants hold, one matrix product gives their part of all scores in
+the shard; the others have postings.
 
-Bounds: a shard has at most ``shard_docs`` remnants; the frequencies have one row for each vocabulary entry.
+Bounds: a shard has at most ``shard_docs`` remnants, and a score for each pair of them; the frequencies have one row for each vocabulary entry.
 Ids travel as 16-bit (or 32-bit) binaries. sequence_id is the partition's number and a counter in it.
 
 Cases: a null or empty text is the end id alone; texts of any length are cut freely; equal rows are
@@ -145,6 +146,11 @@ def frequencies(tokens: DataFrame, kind: np.dtype, window: int) -> tuple[np.ndar
     return df, n, max(1.0, found.get(-2, 0) / max(1, n))
 
 
+def weights(df: np.ndarray, n: int) -> np.ndarray:
+    """BM25's weight of each id: low for frequent ones, never zero."""
+    return np.log1p((n - df + 0.5) / (df + 0.5))
+
+
 class Shard:
     """Inverted index of a shard's remnants with BM25 weights; greedy windows from it."""
 
@@ -153,13 +159,20 @@ class Shard:
         sizes = np.array([len(x) for x in parts], np.int64)
         doc = np.repeat(np.arange(self.n), sizes)
         key, tf = np.unique(np.concatenate(parts).astype(np.int64) << 24 | doc, return_counts=True) if self.n else (np.zeros(0, np.int64), np.zeros(0))
-        tells = idf[key >> 24] > 0  # stop terms have no postings
-        key, tf = key[tells], tf[tells]
         self.term, self.doc = key >> 24, key & 0xFFFFFF
         self.weight = idf[self.term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * sizes[self.doc] / mean)) if self.n else np.zeros(0)
+        top = int(self.term.max()) + 2 if len(self.term) else 1
+        held = np.bincount(self.term, minlength=top)
+        common = np.flatnonzero(held * 16 > max(self.n, 16))
+        column = np.full(top, -1, np.int64)
+        column[common] = np.arange(len(common))
+        dense = column[self.term] >= 0
+        weights = np.zeros((self.n, len(common)))
+        weights[self.doc[dense], column[self.term[dense]]] = self.weight[dense]
+        self.common = (weights != 0).astype(float) @ weights.T  # by seed, then remnant
+        self.term, self.doc, self.weight = self.term[~dense], self.doc[~dense], self.weight[~dense]
         order = np.argsort(self.doc, kind="stable")
         self.terms_of = np.split(self.term[order], np.cumsum(np.bincount(self.doc, minlength=self.n))[:-1]) if self.n else []
-        top = int(self.term.max()) + 2 if len(self.term) else 1
         self.begin = np.searchsorted(self.term, np.arange(top))
 
     def ranked(self, seed: int, unused: np.ndarray) -> np.ndarray:
@@ -168,7 +181,7 @@ class Shard:
         lo, hi = self.begin[terms], self.begin[terms + 1]
         size = hi - lo
         at = np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum())
-        scores = np.bincount(self.doc[at], weights=self.weight[at], minlength=self.n)
+        scores = np.bincount(self.doc[at], weights=self.weight[at], minlength=self.n) + self.common[seed]
         left = np.flatnonzero(unused)
         return left[np.argsort(-scores[left], kind="stable")]
 
@@ -220,14 +233,14 @@ def powers_of_two(pieces: list[tuple[int, int, int]]):
                 out, room = [], sizes.pop(0) if sizes else 0
 
 
-def pack(docs: DataFrame, tokenizer_path: str | None = None, window: int = 1024, end_id: int = 0, shard_docs: int = 1024, stop_share: float = 0.1) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str | None = None, window: int = 1024, end_id: int = 0, shard_docs: int = 1024) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (the piece's
     ids, little-endian binary of the tokenizer's width)."""
     path = tokenizer_path or default_tokenizer()
     kind = tokenizer(path).kind
     tokens = write_scratch(tokenize(docs, path, end_id), "tokens")
     df, n, mean = frequencies(tokens, kind, window)
-    idf = np.where(df > stop_share * n, 0, np.log1p((n - df + 0.5) / (df + 0.5))) if n >= 1 / stop_share else np.log1p((n - df + 0.5) / (df + 0.5))
+    idf = weights(df, n)
     shared = docs.sparkSession.sparkContext.broadcast((df, idf))  # as long as the vocabulary
 
     def sign(batches):
@@ -244,7 +257,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, window: int = 1024,
     dealt = tokens.mapInArrow(sign, f"doc_id {id_type}, ids binary, sig long").repartitionByRange("sig", F.hash("doc_id"), "doc_id").sortWithinPartitions("sig", "doc_id")
 
     def run(batches):
-        _, weights = shared.value
+        _, idf = shared.value
         number = TaskContext.get().partitionId() << 36
         out: list[list] = [[] for _ in range(8)]
 
@@ -267,7 +280,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, window: int = 1024,
 
         def close(shard):
             parts = [x[len(x) - len(x) % window :] for _, x in shard]
-            index = Shard(parts, weights, mean)
+            index = Shard(parts, idf, mean)
             at = lambda p: (shard[p[0]][0], shard[p[0]][1], len(shard[p[0]][1]), len(shard[p[0]][1]) - len(parts[p[0]]) + p[1], p[2])
             for pieces in index.windows([len(x) for x in parts], window):
                 if sum(p[2] for p in pieces) == window:

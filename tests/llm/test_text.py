@@ -51,6 +51,30 @@ def test_packing_fills_windows_with_lexical_neighbours():
     assert [sum(p[2] for p in s) for s in packing.powers_of_two([(0, 0, 5), (1, 0, 6)])] == [8, 2, 1]
 
 
+def test_packing_scores_are_bm25_over_all_ids():
+    rng = np.random.default_rng(3)
+    parts = [np.minimum(rng.zipf(1.3, rng.integers(5, 60)), 400) for _ in range(90)]
+    n, size = len(parts), np.array([len(x) for x in parts])
+    idf = np.log1p((n - 3.0) / (np.arange(401) + 1))
+    shard = packing.Shard(parts, idf, size.mean())
+    for seed in range(0, n, 7):
+        want = [sum(idf[t] * (x == t).sum() * 2.2 / ((x == t).sum() + 1.2 * (0.25 + 0.75 * len(x) / size.mean())) for t in set(parts[seed]) & set(x)) for x in parts]
+        got = shard.ranked(seed, np.ones(n, bool))
+        assert (np.diff(np.array(want)[got]) < 1e-9).all()
+
+
+def test_packing_frequent_ids_count(spark):
+    """Ids that half of all rows hold outweigh one rare id that a row shares with its neighbour in the shard."""
+    base = ["river bank flow gauge level reach basin storm rain delta", "lock tide lake pond marsh creek brook spring ford weir"]
+    rows = [(i, f" {base[i % 2]} {1000 + i // 2 * 37}") for i in range(60)]
+    pieces = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), window=28).where("length > 4").collect()
+    windows: dict = {}
+    for p in sorted(pieces, key=lambda p: (p.sequence_id, p.offset)):
+        windows.setdefault(p.sequence_id, []).append(p.doc_id % 2)
+    pairs = [w[0] == w[1] for w in windows.values() if len(w) > 1]
+    assert len(pairs) > 10 and sum(pairs) / len(pairs) > 0.8
+
+
 def test_tokenizer_is_the_librarys(corpus):
     tok = packing.FastTokenizer(packing.default_tokenizer())
     assert tok.merge is not None
