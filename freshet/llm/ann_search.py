@@ -2,9 +2,10 @@
 
 Centroids are fitted by k-means on a bounded sample of unit vectors and linked into a neighbour graph. Every vector
 goes to the posting list of its nearest centroid, and, near a boundary, to those of further centroids whose
-distance is within ``1 + closure`` times the nearest's. A query walks the graph for its nearest centroids, and
-searches the lists whose distance is within ``1 + prune`` times the nearest's (and the ``min_lists`` nearest in any
-case). Lists longer than ``list_rows`` are dealt out in parts, so tasks stay even. Scores are exact
+distance is within ``1 + closure`` times the nearest's. A query searches the lists whose distance is within
+``1 + prune`` times the nearest's, ``max_lists`` of them (and the ``min_lists`` nearest in any case). Both bounds grow as
+far as it takes: up to ``held_out`` queries, left out of the sample, are first compared with every vector, and the lists
+that hold their true neighbours give the least prune and max_lists that find the share ``recall`` of them. Lists longer than ``list_rows`` are dealt out in parts, so tasks stay even. Scores are exact
 cosines of the original vectors in double precision.
 
 Bounds: the sample has at most ``sample_rows`` rows and the graph at most ``max_centroids`` nodes; they go to the
@@ -84,6 +85,10 @@ class CentroidGraph:
     def search(self, q: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         """Best-first walk for all rows of q at once: (nodes, cosines), best first, -1 where none."""
         width = min(width, len(self.centroids))
+        if width * self.links.shape[1] >= len(self.centroids):  # the walk would look at most of them
+            cos = q @ self.centroids.T
+            order = np.argsort(-cos, axis=1, kind="stable")[:, :width]
+            return order, np.take_along_axis(cos, order, 1)
         rows = np.arange(len(q))[:, None]
         cos = q @ self.centroids[self.entries].T
         order = np.argsort(-cos, axis=1, kind="stable")[:, :width]
@@ -114,6 +119,59 @@ def _distance(cos: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(2 - 2 * cos, 0))
 
 
+def _kept(nodes: np.ndarray, cos: np.ndarray, ratio: float, least: int, most: int) -> np.ndarray:
+    """Which of the nearest centroids' lists are taken."""
+    dist = _distance(cos)
+    keep = (nodes >= 0) & ((dist <= dist[:, :1] * (1 + ratio) + 1e-6) | (np.arange(nodes.shape[1]) < least))
+    keep[:, most:] = False
+    return keep
+
+
+def true_neighbours(kept: DataFrame, ids: np.ndarray, vectors: np.ndarray, k: int) -> list:
+    """Rows (query, v): vectors of the k nearest in ``kept`` for each of a few queries, none of its own id."""
+    width = vectors.shape[1]
+    shared = kept.sparkSession.sparkContext.broadcast((ids, vectors))
+
+    def run(batches):
+        own, q = shared.value
+        best, at = np.full((len(q), k), -np.inf, np.float32), np.zeros((len(q), k), np.int64)
+        for batch in batches:
+            for i in range(0, batch.num_rows, 4096):
+                part = batch.slice(i, 4096)
+                found = part.column(0).to_numpy()
+                cos = q @ _unit(_vectors(part.column(1), width)).T
+                cos[own[:, None] == found[None, :]] = -np.inf
+                every = np.hstack([best, cos])
+                names = np.hstack([at, np.broadcast_to(found, cos.shape)])
+                pick = np.argpartition(-every, k - 1, axis=1)[:, :k]
+                best, at = np.take_along_axis(every, pick, 1), np.take_along_axis(names, pick, 1)
+        some = best > -np.inf
+        yield pa.RecordBatch.from_arrays([pa.array(np.nonzero(some)[0]), pa.array(at[some]), pa.array(best[some].astype(float))], names=["query", "id", "score"])
+
+    rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "id"))
+    top = kept.select("id", "v").mapInArrow(run, "query long, id long, score double").withColumn("rank", rank).where(F.col("rank") <= k)
+    return top.join(kept.select("id", "v"), "id").select("query", "v").collect()  # k for each of the few queries
+
+
+def bounds_for_recall(graph: CentroidGraph, queries: np.ndarray, query: np.ndarray, neighbours: np.ndarray, postings: tuple[int, float, int], prune: float, least: int, most: int, recall: float) -> tuple[float, int]:
+    """The prune and max_lists, no less than given, that reach a list of the share ``recall`` of the neighbours."""
+    n = len(graph.centroids)
+    if not len(query) or n <= least:
+        return prune, most
+    beam, ratio, replicas = postings
+    cos = queries @ graph.centroids.T
+    order = np.argsort(-cos, axis=1, kind="stable")
+    place = np.argsort(order, axis=1)
+    dist = np.take_along_axis(_distance(cos), order, 1)
+    nodes, near = graph.search(neighbours, beam)
+    held = _kept(nodes, near, ratio, 1, replicas)
+    rank = np.where(held, place[query[:, None], np.maximum(nodes, 0)], n).min(1)  # of the nearest list with the neighbour
+    need = np.where(rank < least, 0, dist[query, np.minimum(rank, n - 1)] / np.maximum(dist[query, 0], 1e-9) - 1)
+    spare = (1 + recall) / 2  # each bound takes half of what may be lost
+    quantile = lambda x: np.sort(x)[min(len(x), int(np.ceil(spare * len(x)))) - 1]
+    return max(prune, float(quantile(need)) + 1e-6), max(most, int(quantile(rank)) + 1)
+
+
 def _lists(rows: DataFrame, shared, width: int, beam: int, ratio: float, least: int, most: int) -> DataFrame:
     """(id, v, list) of each vector for its nearest centroid and those within the distance ratio."""
 
@@ -123,16 +181,14 @@ def _lists(rows: DataFrame, shared, width: int, beam: int, ratio: float, least:
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)
                 nodes, cos = graph.search(_unit(_vectors(part.column(1), width)), beam)
-                dist = _distance(cos)
-                keep = (nodes >= 0) & ((dist <= dist[:, :1] * (1 + ratio) + 1e-6) | (np.arange(nodes.shape[1]) < least))
-                keep[:, most:] = False
+                keep = _kept(nodes, cos, ratio, least, most)
                 at = np.repeat(np.arange(len(nodes)), keep.sum(1))
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), part.column(1).take(pa.array(at)), pa.array(nodes[keep])], names=["id", "v", "list"])
 
     return rows.mapInArrow(run, "id long, v array<double>, list long")
 
 
-def nearest(candidates: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", list_rows: int = 256, sample_rows: int = 32_768, max_centroids: int = 16_384, closure: float = 0.1, replicas: int = 4, prune: float = 0.35, min_lists: int = 16, max_lists: int = 64, seed: int = 5) -> DataFrame:
+def nearest(candidates: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", list_rows: int = 256, sample_rows: int = 32_768, max_centroids: int = 16_384, closure: float = 0.1, replicas: int = 4, prune: float = 0.35, min_lists: int = 16, max_lists: int = 64, recall: float = 0.95, held_out: int = 256, seed: int = 5) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest candidates found for each query."""
     valid = lambda rows: one_vector(rows, key, vector).where(F.exists("v", lambda x: x != 0))
     rows, wanted = valid(candidates), valid(queries)
@@ -142,9 +198,15 @@ def nearest(candidates: DataFrame, queries: DataFrame, k: int, key: str = "vec_i
     width = max(1, info["d"] or 0, wanted.agg(F.max(F.size("v"))).first()[0] or 0)
     share = min(1.0, sample_rows / max(1, info["n"]))
     taken = kept.where((F.col("copy") == 1) & (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000)) < int(share * 1e6))).orderBy("id").limit(sample_rows)
-    sample = _unit(_vectors(pa.array([r["v"] for r in taken.select("v").collect()], pa.list_(pa.float64())), width))
+    unit = lambda found: _unit(_vectors(pa.array([r["v"] for r in found], pa.list_(pa.float64())), width))
+    tried = wanted.select("id", "v").orderBy(F.xxhash64("id", F.lit(seed + 1)), "id").limit(held_out).collect()
+    tried_ids, tried_v = np.array([r["id"] for r in tried], np.int64), unit(tried)
+    sample = unit(taken.where(~F.col("id").isin(tried_ids.tolist())).select("v").collect())
     graph = CentroidGraph.build(sample, min(max_centroids, max(1, info["n"] // list_rows)), seed=seed)
     shared = kept.sparkSession.sparkContext.broadcast(graph)
+    if len(tried) and len(graph.centroids) > min_lists:
+        true = true_neighbours(kept, tried_ids, tried_v, k)
+        prune, max_lists = bounds_for_recall(graph, tried_v, np.array([r["query"] for r in true], np.int64), unit(true), (16, closure, replicas), prune, min_lists, max_lists, recall)
     postings = _lists(kept.select("id", "v"), shared, width, 16, closure, 1, replicas)
     probes = _lists(wanted, shared, width, max_lists, prune, min_lists, max_lists)
     # a list's rows lie in parts of about list_rows; its queries go to each part

@@ -63,6 +63,22 @@ def test_ann_recall_and_scores(table, rows):
     assert hits / total >= 0.9
 
 
+def test_ann_recall_with_many_lists(spark):
+    """Random directions, hundreds of lists: the worst case for lists, where a fixed number of them loses recall."""
+    import pandas as pd
+
+    x = np.random.default_rng(4).normal(size=(16_000, 32))
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": range(len(x)), "embedding": x.tolist()})).repartition(4)
+    got: dict = {}
+    for r in ann_search.nearest(df, df.where("vec_id % 100 = 0"), k=5, list_rows=32).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    cos = unit[::100] @ unit.T
+    cos[np.arange(160), np.arange(0, 16_000, 100)] = -2
+    best = np.argsort(-cos, axis=1)[:, :5]
+    assert sum(len(set(b) & got[100 * i]) for i, b in enumerate(best.tolist())) / best.size >= 0.93
+
+
 def test_ann_edges(table, spark):
     few = table.where("vec_id < 3")
     assert ann_search.nearest(few, few, k=5).count() == 6
