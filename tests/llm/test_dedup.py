@@ -164,6 +164,21 @@ def test_fuzzy_passages_of_a_mosaic(spark):
     assert covered[3] == set(range(60)) and 4 not in covered
 
 
+def test_fuzzy_passages_with_regular_changes(spark):
+    """60 words with every 6th to 10th changed (identity 0.83 to 0.9), at each offset, are found."""
+    rows, want = [], {}
+    for every in (6, 7, 8, 10):
+        for offset in range(every):
+            n = len(rows)
+            own = lambda i: [f"o{i}n{j}" for j in range(15)]
+            passage = [f"p{n}n{j}" for j in range(60)]
+            changed = [f"c{n}n{j}" if j % every == offset else x for j, x in enumerate(passage)]
+            rows += [(n, " ".join(own(n) + passage + own(n + 1000))), (n + 1, " ".join(own(n + 1) + changed + own(n + 1001)))]
+            want[n + 1] = n
+    got = substring_dedup.fuzzy_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.first_doc_id for r in got} == want
+
+
 def test_chain_and_align():
     import numpy as np
 
