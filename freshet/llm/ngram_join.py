@@ -130,7 +130,8 @@ def prefixes(docs: DataFrame, k: int, percent: int, frequent: np.ndarray, salts=
                 doc = np.repeat(np.arange(len(sizes)), sizes)
                 marks = _set_hash(h, sizes)
                 once = np.zeros(len(sizes), bool)  # of equal sets in a slice, one takes part
-                once[np.unique(marks, return_index=True)[1]] = True
+                known = np.flatnonzero(part.column(0).is_valid().to_numpy(zero_copy_only=False))  # rows without an id link to nothing
+                once[known[np.unique(marks[known], return_index=True)[1]]] = True
                 take = np.where(once, needed(sizes, percent), 0)
                 starts = np.cumsum(sizes) - sizes
                 inside = np.arange(len(h)) - starts[doc] < take[doc]  # once sorted by document
@@ -299,8 +300,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, frequent_
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` without near copies: of each component only the row(s) of its smallest doc_id,
-    one of them where it repeats. Rows with a null doc_id stay."""
+    one of equal ones where it repeats. Rows with a null doc_id stay."""
     found = jaccard_components(docs, **options).where("doc_id <> component_id").select("doc_id").distinct()
     rest = docs.join(found, "doc_id", "left_anti").select(*docs.columns)
-    known = rest.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
+    known = rest.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id", "text"])
     return known.unionByName(rest.where(F.col("doc_id").isNull()))

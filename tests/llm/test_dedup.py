@@ -79,6 +79,17 @@ def test_ngram_join(docs, corpus, no_docs, spark):
     assert sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(odd).collect()) == [("1", 2, 1), ("2", 2, 1), ("2", 2, 1), ("9", 0, 9), ("None", 2, None)]
 
 
+def test_ngram_join_null_id_before_a_near_copy(spark):
+    """A row without an id doesn't stand for the document with its text; rows of one id with different texts stay."""
+    words = [f"w{i}" for i in range(80)]
+    rows = [(None, " ".join(words)), (5, " ".join(words)), (3, " ".join(words[:79] + ["x"])), (8, "a b c d e f"), (8, "a b c d e f"), (8, "g h i j k l")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {(r.doc_id, r.component_id) for r in ngram_join.jaccard_components(df).collect()}
+    assert got == {(None, None), (5, 3), (3, 3), (8, 8)}
+    kept = sorted((str(r.doc_id), r.text) for r in ngram_join.keep_one(df).collect())
+    assert kept == sorted((str(i), t) for i, t in [rows[0], rows[2], rows[3], rows[5]])
+
+
 def test_group_blocks(spark):
     """Blocks smaller than a group lose no link."""
     base = [f"w{i}" for i in range(60)]
