@@ -296,13 +296,14 @@ def _(spark, d):
 
 def cell_history(spark, d):
     key = F.col("l_suppkey")
-    return table(spark, d, "lineitem").where("l_linenumber = 1 or l_suppkey % 4 = 0").select((F.lit(10.0) + F.lit(0.05) * key).alias("lat"), F.lit(20.0).alias("lon"), F.col("l_extendedprice").cast("double").alias("flow_cms"))
+    return table(spark, d, "lineitem").select((F.lit(10.0) + F.lit(0.05) * key).alias("lat"), (F.lit(20.0) + F.col("l_quantity").cast("int")).alias("lon"), F.col("l_extendedprice").cast("double").alias("flow_cms"))
 
 
 @query("agg14_reach_thresholds_from_history")
 def _(spark, d):
     key = F.col("s_suppkey")
-    cells = table(spark, d, "supplier").select(key.cast("string").alias("provider_reach_id"), (F.lit(10.0) + F.lit(0.05) * key).alias("lat"), F.lit(20.0).alias("lon"))
+    # a cell for each supplier and quantity: about 12 values, so that both fits occur
+    cells = table(spark, d, "supplier").select(key, F.explode(F.sequence(F.lit(1), F.lit(50))).alias("q")).select(F.concat_ws("-", key, "q").alias("provider_reach_id"), (F.lit(10.0) + F.lit(0.05) * key).alias("lat"), (F.lit(20.0) + F.col("q")).alias("lon"))
     return T.reach_thresholds_from_history(cells, cell_history(spark, d), "grid")
 
 

@@ -1,5 +1,6 @@
 """Every core query against its SQL on the smallest tables."""
 
+import json
 import os
 
 import duckdb
@@ -37,3 +38,12 @@ def test_query(spark, db, name):
     assert sorted(names) == columns
     want = sorted(tuple(norm(r[names.index(c)]) for c in columns) for r in cursor.fetchall())
     assert got == want
+
+
+def test_cell_histories_read_every_row(spark):
+    """Each row of lineitem is in a cell's history, and both fits occur."""
+    d = f"{DATA}/sf0.001"
+    rows = Q.queries()["agg14_reach_thresholds_from_history"](spark, d).select("metadata_json").collect()
+    counts = [json.loads(r.metadata_json)["sample_count"] for r in rows]
+    assert sum(counts) == spark.read.parquet(f"{d}/lineitem.parquet").count()
+    assert min(counts) < 10 <= max(counts)
