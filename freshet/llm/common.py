@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
+import re
 import tempfile
-import time
+import threading
 import uuid
+from collections.abc import Collection
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN_DIR: dict[str, str] = {}
+_WAITING: list[threading.Timer] = []
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,20 +26,24 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset (tests), a temporary one."""
+    """The folder in ``spark.checkpoint.dir``. Where that is unset a local master (tests) gets a temporary one; a
+    cluster's executors wouldn't share it, so there it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
-    app = spark.sparkContext.applicationId
-    if app not in _OWN_DIR:
-        _OWN_DIR[app] = "file://" + tempfile.mkdtemp(prefix="spark-freshet-")
-    return _OWN_DIR[app]
+    context = spark.sparkContext
+    if not re.match(r"local(\[|$)", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if context.applicationId not in _OWN_DIR:
+        _OWN_DIR[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="spark-freshet-")
+    return _OWN_DIR[context.applicationId]
 
 
 def write_scratch(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage of ``df`` with a Parquet table in the shared folder and read it back."""
+    """Cut the lineage of ``df`` with a Parquet table in the shared folder and read it back. All tables of an
+    application lie in one folder there, ``freshet-<application id>``."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/freshet-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/freshet-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     release_shuffles(spark)
     out = spark.read.schema(df.schema).parquet(path)
@@ -43,12 +51,21 @@ def write_scratch(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle files of finished queries now, not when memory runs short."""
-    for wait in (0.5, 0):  # the listeners let go of a query's plan a little after its end
+def release_shuffles(spark: SparkSession, wait: float = 0.5) -> None:
+    """Let Spark's cleaner delete the shuffle files of finished queries soon, not when the driver's memory runs
+    short. It runs beside the next query: the listeners let go of a plan a little after its end."""
+
+    def collect() -> None:
+        _WAITING.clear()
         gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(wait)
+        with contextlib.suppress(Exception):  # the session may have stopped meanwhile
+            spark._jvm.System.gc()
+
+    if not _WAITING:
+        timer = threading.Timer(wait, collect)
+        timer.daemon = True
+        _WAITING.append(timer)
+        timer.start()
 
 
 def drop_scratch(*tables: DataFrame) -> None:
@@ -61,12 +78,14 @@ def drop_scratch(*tables: DataFrame) -> None:
             jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
-def require_columns(df: DataFrame, *names: str) -> DataFrame:
-    """Only the columns an operator uses, so that further columns can't clash with its own."""
-    missing = [n for n in names if n not in df.columns]
-    if missing:
-        raise ValueError(f"missing columns {missing}; found {df.columns}")
-    return df.select(*names)
+def packed(df: DataFrame) -> Column:
+    """A row's columns as one struct ``row``, so that no name among them can clash with an operator's own."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")
+
+
+def unpacked(df: DataFrame, skip: Collection[str] = ()) -> list[Column]:
+    """The columns of ``row`` again, but for those in ``skip``, which the operator gives anew."""
+    return [F.col("row").getField(c).alias(c) for c in df.columns if c not in skip]
 
 
 # --- vectorized hashing -----------------------------------------------------------------------

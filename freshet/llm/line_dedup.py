@@ -1,64 +1,117 @@
 """Line dedup: a suffix array over line-ID sequences by distributed prefix doubling.
 
-Each document is its sequence of non-blank lines, each named by a 64-bit hash. The suffixes at all line
-positions are ranked by their first 1, 2, 4 ... lines: Spark joins each surviving position's rank with the rank
-at the current offset, names every distinct pair by its first position (doc_id, then line), and drops
-positions whose pair is unique. The ranks at ``min_lines`` give the suffix array's intervals whose longest
-common prefix reaches ``min_lines``; all members but the first are later copies, and neighbouring ones join
-into maximal repeated runs. Lines of later copies are deleted.
+Each document is its sequence of non-blank lines, each named by a 64-bit hash. Lines that occur once end every repeat, so
+only positions of repeated lines, and those right after them, are suffixes that take part. Their ranks are
+found by prefix doubling: Spark joins each suffix's rank with the rank at the current offset, sorts the distinct
+pairs over range partitions, numbers them in that order and gives the numbers back as ranks of twice the length.
+A suffix whose rank is its own needs no further pair; the end of a document sorts before every line and equals
+nothing. Doubling stops when all ranks are unique, and the last ranks are the suffix array
+(:func:`suffix_ranks`).
+
+The ranks of each round are the array's longest-common-prefix intervals of that length: suffixes of one rank share so many
+lines, and the interval knows its earliest member. A later suffix is compared with the earliest member of the
+longest interval in which it isn't the earliest itself: their longest common prefix comes from the ranks of the
+rounds, longest first, as a sum of lengths. It is a maximal repeated run (:func:`repeated_runs`). Lines in runs of at least
+``min_lines`` lines are deleted; the earliest copy stays.
+
+A hot line is one row of the sort, as distinct pairs are counted before it, with partial sums; the join that hands ranks
+back splits its rows.
 
 Cases: a null or empty text has no lines; blank lines (only spaces, tabs, carriage returns) take no part and
 stay; runs never cross documents, and overlap inside one document counts (of A A A with two lines, the first
 A stays); rows of one doc_id with equal texts count as one document and are all cut alike, with different
 texts as documents in the order of the texts' hashes; rows with a null doc_id stay whole; an empty table gives an
-empty table; further columns are kept by :func:`drop_repeated_lines`.
+empty table. :func:`drop_repeated_lines` keeps further columns, whatever their names; columns named n_lines,
+n_removed or n_runs are replaced by its own.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import write_scratch
+from .common import drop_scratch, packed, unpacked, write_scratch
 
 BLANK = r"^[ \t\r]*$"
+PLACE = ["doc_id", "th", "i"]
 
 
 def line_positions(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, i, at, rank): i-th non-blank line of a document, its place among all lines, its hash."""
-    lines = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("at"), F.when(~x.rlike(BLANK), F.xxhash64(x)).alias("rank")))
-    rows = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("th"), F.filter(lines, lambda x: x["rank"].isNotNull()).alias("x"))
-    return rows.dropDuplicates(["doc_id", "th"]).select("doc_id", "th", F.posexplode("x").alias("i", "l")).select("doc_id", "th", "i", "l.at", "l.rank")
-
-
-def ranks_at(positions: DataFrame, min_lines: int) -> DataFrame:
-    """Positions whose first ``min_lines`` lines repeat: (doc_id, th, i, first: the class's first position)."""
-    place = F.struct("doc_id", "th", "i")
-
-    def rerank(rows: DataFrame, keys: list[str]) -> DataFrame:
-        """Name classes of equal keys by their first position; positions alone in theirs leave."""
-        classes = rows.groupBy(*keys).agg(F.min(place).alias("first"), F.count("*").alias("size")).where("size > 1")
-        named = rows.join(classes.select(*keys, "first"), keys).select("doc_id", "th", "i", "first")
-        return write_scratch(named.withColumn("rank", F.xxhash64("first")), "ranks")
-
-    ranks, h = rerank(positions, ["rank"]), 1
-    while h < min_lines:
-        step = min(h, min_lines - h)  # the last pair may overlap
+    """(doc_id, th, i, line, after): i-th non-blank line of a document, its hash and that of the next."""
+    lines = F.filter(F.transform(F.split("text", "\n", -1), lambda x: F.when(~x.rlike(BLANK), F.xxhash64(x))), lambda x: x.isNotNull())
+    rows = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("th"), lines.alias("x")).dropDuplicates(["doc_id", "th"])
+    pairs = F.transform("x", lambda line, i: F.struct(line.alias("line"), F.try_element_at("x", (i + 2).cast("int")).alias("after")))
+    return rows.select("doc_id", "th", pairs.alias("x")).select("doc_id", "th", F.posexplode("x").alias("i", "l")).select(*PLACE, "l.line", "l.after")
+
+
+def _ranked(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with rank, first and size of their class of equal ``keys``; ranks follow the order of the keys."""
+    classes = rows.groupBy(*keys).agg(F.min(F.struct(*PLACE)).alias("first"), F.count("*").alias("size"))
+    named = classes.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("new", F.monotonically_increasing_id())
+    return write_scratch(rows.join(named, keys).select(*PLACE, F.col("new").alias("rank"), "first", "size"), "ranks")
+
+
+def suffix_ranks(positions: DataFrame, min_lines: int) -> list[tuple[int, DataFrame]]:
+    """(length, ranks) of each round: (doc_id, th, i, rank, first, size). Lengths double, from 1 to ``min_lines`` and on from
+    there, until all ranks are unique. The last one's order is the suffix array's."""
+    positions = write_scratch(positions, "positions")
+    again = positions.groupBy("line").agg(F.count("*").alias("n")).where("n > 1").select("line")
+    repeated = write_scratch(positions.join(again, "line", "left_semi"), "repeated")
+    drop_scratch(positions)
+    here = repeated.select(*PLACE, "line")
+    after = repeated.where("after is not null").select("doc_id", "th", (F.col("i") + 1).alias("i"), F.col("after").alias("line"))
+    ranks, length, rounds = _ranked(here.unionByName(after).dropDuplicates(PLACE), ["line"]), 1, []
+    drop_scratch(repeated)
+    while True:
+        rounds.append((length, ranks))
+        if ranks.where("size > 1").isEmpty():
+            return rounds
+        step = min(length, min_lines - length if length < min_lines else length)
         later = ranks.select("doc_id", "th", (F.col("i") - step).alias("i"), F.col("rank").alias("next"))
-        ranks = rerank(ranks.select("doc_id", "th", "i", "rank").join(later, ["doc_id", "th", "i"]), ["rank", "next"])
-        h += step
-    return ranks.select("doc_id", "th", "i", "first")
+        both = ranks.join(later, PLACE, "left")
+        same = F.col("size") > 1
+        next_rank = F.when(same, F.coalesce("next", F.lit(-1))).otherwise(F.lit(-1))
+        end = F.when(same & F.col("next").isNull(), F.concat_ws("/", *PLACE)).otherwise(F.lit(""))
+        ranks = _ranked(both.select(*PLACE, "rank", next_rank.alias("next"), end.alias("end")), ["rank", "next", "end"])
+        length += step
 
 
 def repeated_runs(docs: DataFrame, min_lines: int = 2) -> DataFrame:
-    """Maximal runs of later copies: (doc_id, th, start, stop), numbers of non-blank lines, stop exclusive."""
-    late = ranks_at(line_positions(docs), min_lines).where(F.struct("doc_id", "th", "i") != F.col("first"))
-    per_doc = late.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("i")).alias("s"))
-    # a start opens a run unless the windows of the start before it reach it
-    opens = F.filter(F.transform("s", lambda x, k: F.struct(x.alias("start"), ((k == 0) | (x > F.element_at("s", F.greatest(k, F.lit(1))) + min_lines)).alias("opens"), k.alias("k"))), lambda x: x["opens"])
-    runs = per_doc.select("doc_id", "th", "s", opens.alias("o")).select("doc_id", "th", "s", "o", F.posexplode("o").alias("n", "r"))
-    last = F.when(F.col("n") + 1 < F.size("o"), F.try_element_at("s", F.try_element_at("o", F.col("n") + 2)["k"])).otherwise(F.element_at("s", -1))
-    return runs.select("doc_id", "th", F.col("r.start").alias("start"), (last + min_lines).alias("stop"))
+    """Runs that an earlier position has too: (doc_id, th, start, stop, first), numbers of non-blank lines, stop
+    exclusive, and the earlier position. Runs inside another with the same earlier copy are left out."""
+    rounds = suffix_ranks(line_positions(docs), min_lines)
+    place = F.struct(*PLACE)
+    shared = [(length, ranks.where("size > 1").select(*PLACE, "rank", "first")) for length, ranks in rounds]
+    late = None
+    for k, (length, ranks) in enumerate(shared):
+        if length >= min_lines:
+            part = ranks.where(place != F.col("first")).select(*PLACE, F.struct(F.lit(k).alias("round"), F.lit(length).cast("long").alias("length"), "first").alias("top"))
+            late = part if late is None else late.unionByName(part)
+    if late is None:
+        return shared[0][1].select("doc_id", "th", F.col("i").cast("long").alias("start"), F.col("i").cast("long").alias("stop"), "first").limit(0)
+    tops = late.groupBy(*PLACE).agg(F.max("top").alias("top")).select(*PLACE, "top.*")
+    by_doc = W.partitionBy("doc_id", "th").orderBy("i")
+    before = F.lag(F.struct("i", "first")).over(by_doc)
+    follows = (before["i"] == F.col("i") - 1) & (before["first"]["doc_id"] == F.col("first.doc_id")) & (before["first"]["th"] == F.col("first.th")) & (before["first"]["i"] == F.col("first.i") - 1)
+    runs = write_scratch(tops.withColumn("inside", F.coalesce(follows, F.lit(False))).where("not inside").drop("inside"), "runs")
+    for k in range(len(shared) - 2, -1, -1):  # the longest common prefix with the earlier position, longest lengths first
+        length, ranks = shared[k]
+        own = ranks.select("doc_id", "th", F.col("i").alias("spot"), F.col("rank").alias("own"))
+        other = ranks.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), F.col("i").alias("s"), F.col("rank").alias("other"))
+        met = runs.withColumn("spot", F.when(F.col("round") > k, F.col("i") + F.col("length"))).join(own, ["doc_id", "th", "spot"], "left")
+        met = met.join(other, (F.col("first.doc_id") == F.col("d")) & (F.col("first.th") == F.col("t")) & (F.col("first.i") + F.col("length") == F.col("s")), "left")
+        longer = F.col("length") + F.when(F.col("own") == F.col("other"), F.lit(length)).otherwise(F.lit(0))
+        runs = met.select(*PLACE, "round", longer.alias("length"), "first")
+    return runs.select("doc_id", "th", F.col("i").cast("long").alias("start"), (F.col("i") + F.col("length")).cast("long").alias("stop"), "first")
+
+
+def merged_runs(runs: DataFrame) -> DataFrame:
+    """(doc_id, th, start, stop): overlapping and adjacent runs of a document as one."""
+    before = W.partitionBy("doc_id", "th").orderBy("start", "stop").rowsBetween(W.unboundedPreceding, -1)
+    so_far = W.partitionBy("doc_id", "th").orderBy("start", "stop").rowsBetween(W.unboundedPreceding, 0)
+    opens = runs.withColumn("opens", F.coalesce(F.col("start") > F.max("stop").over(before), F.lit(True)).cast("int"))
+    return opens.withColumn("n", F.sum("opens").over(so_far)).groupBy("doc_id", "th", "n").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("n")
 
 
 def drop_repeated_lines(docs: DataFrame, min_lines: int = 2) -> DataFrame:
@@ -66,17 +119,15 @@ def drop_repeated_lines(docs: DataFrame, min_lines: int = 2) -> DataFrame:
 
     The text of rows without a later copy is as it was; a text whose lines all go is empty.
     """
-    taken = {"n_lines", "n_removed", "n_runs", "th", "runs"} & set(docs.columns)
-    if taken:
-        raise ValueError(f"columns {sorted(taken)} are the operator's own; rename them first")
-    runs = repeated_runs(docs.select("doc_id", "text"), min_lines).groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "stop")).alias("runs"))
-    rows = docs.withColumn("th", F.xxhash64("text")).join(runs, ["doc_id", "th"], "left")
+    own = ("n_lines", "n_removed", "n_runs")
+    runs = merged_runs(repeated_runs(docs.select("doc_id", "text"), min_lines)).groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "stop")).alias("runs"))
+    rows = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text"), F.xxhash64("text").alias("th"), packed(docs)).join(runs, ["doc_id", "th"], "left")
     lines = F.split("text", "\n", -1)
-    solid = F.filter(F.transform(lines, lambda x, i: F.when(~x.rlike(BLANK), i)), lambda i: i.isNotNull())
-    gone = F.flatten(F.transform("runs", lambda r: F.slice("solid", r["start"] + 1, r["stop"] - r["start"])))
+    solid = F.filter(F.transform("lines", lambda x, i: F.when(~x.rlike(BLANK), i)), lambda i: i.isNotNull())
+    gone = F.flatten(F.transform("runs", lambda r: F.slice("solid", (r["start"] + 1).cast("int"), (r["stop"] - r["start"]).cast("int"))))
     kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
     text = F.when(F.col("runs").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.element_at("lines", i + 1)), "\n"))
     out = rows.withColumn("lines", F.when(F.col("text").isNotNull(), lines)).withColumn("solid", F.when(F.col("runs").isNotNull(), solid)).withColumn("gone", F.when(F.col("runs").isNotNull(), gone))
-    cut = [text.alias("text") if c == "text" else F.col(c) for c in docs.columns]
+    columns = dict(zip([c for c in docs.columns if c not in own], unpacked(docs, own), strict=True)) | {"text": text.alias("text")}
     count = lambda c: F.coalesce(F.when(F.col(c).isNotNull(), F.size(c)), F.lit(0)).cast("bigint")
-    return out.select(*cut, count("lines").alias("n_lines"), count("gone").alias("n_removed"), count("runs").alias("n_runs"))
+    return out.select(*columns.values(), *(count(c).alias(n) for c, n in zip(("lines", "gone", "runs"), own, strict=True)))
