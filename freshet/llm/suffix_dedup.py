@@ -1,27 +1,29 @@
-"""Substring dedup on sparse suffixes by distributed prefix doubling.
+"""Substring dedup: prefix doubling over sparse suffixes.
 
 Removes each byte covered by a ``span``-byte string that also starts in a document with a smaller doc_id.
-Ranks name equal prefixes of suffixes; Spark sorts (rank, position) rows, names each class by the
-smallest doc_id that holds it, drops what is unique and goes on with the survivors at a greater length,
-until the threshold ``span`` is reached:
+A rank names the suffixes that begin with the same bytes. Spark sorts pairs of a suffix's rank and the key of the bytes at the
+next offset, drops pairs that one document alone has, and numbers the others in their order as ranks of the greater
+length, until the threshold ``span`` is reached:
 
-* length ``k`` (20): not every suffix takes part. Every ``span``-byte window has one anchor, the position of
-  its least ``k``-byte hash, and equal windows have equal anchors, so only anchors are ranked: about
-  one position in 15. Consecutive windows of one anchor form a chunk. A chunk whose whole text a smaller
+* length ``k`` (20): not every suffix takes part, as that would be a row for each byte. Every ``span``-byte window has
+  one anchor, the position of its least ``k``-byte key, and equal windows have equal anchors, so only anchors are
+  sorted: about one position in 15. Consecutive windows of one anchor form a chunk. A chunk whose whole text a smaller
   document also has is a copy: all its windows are, and no byte of it is looked at again. Anchors
-  in one document only are unique and leave.
-* length ``k + (span - k) / 2`` (35): windows reach past their anchor by at least half the rest on one side,
-  so the rank is paired with the bytes at that offset, on the left or on the right. Unique ones leave.
-* length ``span`` (50): the survivors' windows themselves, paired with the rank before. The class's smallest
-  doc_id decides.
-
-Ranks are 64-bit hashes built by doubling (1, 2, 4 ... bytes); the last comparison is on 128 bits.
+  in one document only leave.
+* length ``k + (span - k) / 2`` (35): windows reach past their anchor by at least half the rest on one side. The pairs are the
+  anchor's rank and the key of the ``k`` bytes at that offset, on the left or on the right.
+* length ``span`` (50): the pairs are the rank before and the key of the whole window, one for each window that is left. The
+  class's smallest doc_id decides.
+
+The keys at an offset are 64-bit hashes (doubled inside the task from 1, 2, 4 ... bytes) and are made where the text is, so
+that no row is needed for a position only because another looks it up; the last comparison is on two of them, 128 bits.
 Identical chunks of one slice of the input are merged before the shuffle, which keeps groups of copies small.
 
 Cases: a null or empty text has no bytes; a text shorter than ``span`` is kept; matches never cross
 documents; strings are judged on the input. Rows with a null doc_id are kept whole and match nothing.
 Rows that repeat a doc_id don't match each other and share their removed spans (a doc_id is meant to name
-one text). An empty table gives an empty table. Further columns are kept by :func:`remove_repeats`.
+one text); doc_id is a long. An empty table gives an empty table. Further columns are kept by :func:`remove_repeats` and
+:func:`cut_texts`, whatever their names; columns named kept_bytes, n_bytes, n_removed or n_spans are replaced by the former's own.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _BYTE, byte_slices, list_array, mix64, signed, text_buffers, write_scratch
+from .common import _BYTE, byte_slices, drop_scratch, list_array, mix64, packed, signed, text_buffers, unpacked, write_scratch
 
 _MUL = mix64(np.arange(64, dtype=np.uint64)) | np.uint64(1)
 _SHIFT = np.uint64(31)
@@ -169,9 +171,10 @@ def _long_texts(run, span: int):
 
 
 def window_rows(docs: DataFrame, chunks: DataFrame, span: int, k: int) -> DataFrame:
-    """The windows of open chunks, in groups of one side: (rank, doc_id, first, windows: their hashes)."""
-    half = k + (span - k) // 2
-    lists = chunks.groupBy("doc_id").agg(F.collect_list("place").alias("places"))
+    """The windows of open chunks, in groups of one side: (rank: the anchor's, next: key of the ``k`` bytes at the
+    offset on that side, doc_id, first, windows: their keys)."""
+    reach = (span - k) // 2
+    lists = chunks.groupBy("doc_id").agg(F.collect_set("place").alias("places"))
     both = docs.select("doc_id", "text").join(lists, "doc_id").select("doc_id", "text", "places")
 
     def run(batches):
@@ -192,17 +195,18 @@ def window_rows(docs: DataFrame, chunks: DataFrame, span: int, k: int) -> DataFr
                 window = grams.at(at, span, 5)
                 # the anchor again: least k-byte hash of each chunk's first window
                 _, _, anchor, _ = _anchors(own, begin, span, k)
-                left = at <= np.repeat(anchor, n) - (half - k)
-                spot = np.repeat(anchor, n) - np.where(left, half - k, 0)
-                rank = _gram_pair(grams, spot, half)
+                anchor = np.repeat(anchor, n)
+                left = at <= anchor - reach
+                rank = _gram_at(grams, anchor, k)
+                beside = _gram_at(grams, np.where(left, anchor - reach, anchor + reach), k) ^ left.astype(np.uint64)
                 doc_place = np.repeat(first - begin, n) + at
                 new = np.ones(len(at), bool)
-                new[1:] = (rank[1:] != rank[:-1]) | (doc_place[1:] != doc_place[:-1] + 1) | (left[1:] != left[:-1])
+                new[1:] = (np.repeat(np.arange(len(n)), n)[1:] != np.repeat(np.arange(len(n)), n)[:-1]) | (left[1:] != left[:-1])
                 heads = np.flatnonzero(new)
                 counts = np.diff(np.concatenate([heads, [len(at)]]))
-                yield pa.RecordBatch.from_arrays([pa.array(signed(rank[heads])), pa.array(np.full(len(heads), batch.column(0)[i].as_py())), pa.array(doc_place[heads]), list_array(signed(window), counts, pa.int64())], names=["rank", "doc_id", "first", "windows"])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(rank[heads])), pa.array(signed(beside[heads])), pa.array(np.full(len(heads), batch.column(0)[i].as_py())), pa.array(doc_place[heads]), list_array(signed(window), counts, pa.int64())], names=["rank", "next", "doc_id", "first", "windows"])
 
-    return both.mapInArrow(run, "rank long, doc_id long, first long, windows array<long>")
+    return both.mapInArrow(run, "rank long, next long, doc_id long, first long, windows array<long>")
 
 
 def _anchors(own: np.ndarray, begin: np.ndarray, span: int, k: int):
@@ -216,9 +220,10 @@ def _anchors(own: np.ndarray, begin: np.ndarray, span: int, k: int):
     return None, None, begin + np.argmin(m[at], axis=1), grams
 
 
-def _gram_pair(grams: Grams, start: np.ndarray, length: int) -> np.ndarray:
-    h = grams.level(5)
-    return mix64(_join_hash(h[start], h[start + length - 32], 24))
+def shared_classes(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, new, low) of pairs that several documents have: their number in the sorted order, and the smallest doc_id."""
+    classes = rows.groupBy(*keys).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").drop("high")
+    return classes.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("new", F.monotonically_increasing_id())
 
 
 def repeated_spans(docs: DataFrame, span: int = 50, k: int = 20) -> DataFrame:
@@ -230,12 +235,16 @@ def repeated_spans(docs: DataFrame, span: int = 50, k: int = 20) -> DataFrame:
     ranked = rows.withColumn("least", F.min("doc_id").over(inner)).withColumn("low", F.min("least").over(outer)).withColumn("high", F.max("least").over(outer))
     copy = (F.col("place") < 0) | (F.col("doc_id") > F.col("least"))
     hits = write_scratch(ranked.where(copy | (F.col("low") < F.col("high"))).select("doc_id", F.abs("place").alias("place"), F.when(~copy, F.col("key")).alias("key")), "hits")
-    windows = window_rows(docs, hits.where("key is not null"), span, k)
-    by_rank = W.partitionBy("rank")
-    open_windows = windows.withColumn("low", F.min("doc_id").over(by_rank)).withColumn("high", F.max("doc_id").over(by_rank)).where("low < high")
-    single = open_windows.select("rank", "doc_id", "first", F.posexplode("windows").alias("i", "window"))
-    late = single.withColumn("least", F.min("doc_id").over(W.partitionBy("rank", "window"))).where("doc_id > least").select("doc_id", F.shiftleft(F.col("first") + F.col("i"), 8).bitwiseOR(F.lit(1)).alias("place"))
-    return hits.where("key is null").select("doc_id", "place").unionByName(write_scratch(late, "late"))
+    windows = write_scratch(window_rows(docs, hits.where("key is not null"), span, k), "windows")
+    classes = shared_classes(windows.select("rank", "next", "doc_id"), ["rank", "next"])
+    ranked = windows.join(classes, ["rank", "next"]).select(F.col("new").alias("rank"), "doc_id", "first", F.posexplode("windows").alias("i", "next"))
+    single = write_scratch(ranked.select("rank", "next", "doc_id", (F.col("first") + F.col("i")).alias("first")), "windows")
+    drop_scratch(windows)
+    least = single.groupBy("rank", "next").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
+    late = single.join(least, ["rank", "next"]).where("doc_id > low").select("doc_id", F.shiftleft("first", 8).bitwiseOR(F.lit(1)).alias("place"))
+    found = write_scratch(hits.where("key is null").select("doc_id", "place").unionByName(late), "places")
+    drop_scratch(hits, single)
+    return found
 
 
 def _cut(raw: bytes, places: np.ndarray | None, span: int) -> tuple[bytes, int, int]:
@@ -253,28 +262,27 @@ def _cut(raw: bytes, places: np.ndarray | None, span: int) -> tuple[bytes, int,
 
 def remove_repeats(docs: DataFrame, span: int = 50, k: int = 20) -> DataFrame:
     """``docs`` (doc_id, text and any further columns) with kept_bytes, n_bytes, n_removed, n_spans."""
-    taken = {"places", "kept_bytes", "n_bytes", "n_removed", "n_spans"} & set(docs.columns)
-    if taken:
-        raise ValueError(f"columns {sorted(taken)} are the operator's own; rename them first")
+    own = ("kept_bytes", "n_bytes", "n_removed", "n_spans")
     places = repeated_spans(docs.select("doc_id", "text"), span, k).groupBy("doc_id").agg(F.collect_list("place").alias("places"))
-    both = docs.join(places, "doc_id", "left").select(*docs.columns, "places")
-    at = docs.columns.index("text")
+    others = [c for c in docs.columns if c != "text"]
+    both = docs.select("doc_id", "text", packed(docs.select(*(F.col(f"`{c}`") for c in others)))).join(places, "doc_id", "left").select("row", "text", "places")
 
     def run(batches):
         for batch in batches:
             kept, n, gone, runs = [], [], [], []
-            texts, lists = batch.column(at), batch.column(batch.num_columns - 1)
+            texts, lists = batch.column(1), batch.column(2)
             for i in range(batch.num_rows):
                 raw = (texts[i].as_py() or "").encode()
                 a, b, c = _cut(raw, lists[i].values.to_numpy() if lists[i].is_valid else None, span)
                 kept.append(a), n.append(len(raw)), gone.append(b), runs.append(c)
-            columns = [batch.column(j) for j in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(kept, pa.binary()), *(pa.array(x, pa.int64()) for x in (n, gone, runs))], names=[*batch.schema.names[:-1], "kept_bytes", "n_bytes", "n_removed", "n_spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), texts, pa.array(kept, pa.binary()), *(pa.array(x, pa.int64()) for x in (n, gone, runs))], names=["row", "text", *own])
 
-    out = T.StructType(list(docs.schema.fields))
-    for name, kind in (("kept_bytes", "binary"), ("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long")):
+    out = T.StructType([both.schema["row"], both.schema["text"]])
+    for name, kind in zip(own, ("binary", "long", "long", "long"), strict=True):
         out = out.add(name, kind)
-    return both.mapInArrow(run, out)
+    done = both.mapInArrow(run, out)
+    columns = [F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns if c not in own]
+    return done.select(*columns, *own)
 
 
 def kept_digest(removed: DataFrame) -> DataFrame:
@@ -284,15 +292,19 @@ def kept_digest(removed: DataFrame) -> DataFrame:
 def cut_texts(docs: DataFrame, span: int = 50, k: int = 20) -> DataFrame:
     """``docs`` with their columns, where text is what :func:`remove_repeats` keeps, less characters that a cut
     splits; n_chars, if there is one, follows. A null text stays null."""
-    removed = remove_repeats(docs, span, k)
-    text = F.when(F.col("text").isNull(), None).when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
-    columns = {"text": text, "n_chars": F.when(F.col("n_removed") > 0, F.length("kept").cast("bigint")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
-    at = removed.columns.index("kept_bytes")
+    plain = docs.select("doc_id", "text", packed(docs))
+    removed = remove_repeats(plain, span, k).select("row", "text", "kept_bytes", "n_removed")
 
     def run(batches):
         for batch in batches:
-            kept = pa.array([x.decode("utf-8", "ignore") for x in batch.column(at).to_pylist()])
-            yield batch.append_column("kept", kept).drop_columns(["kept_bytes"])
-
-    schema = T.StructType([f for f in removed.schema if f.name != "kept_bytes"]).add("kept", "string")
-    return removed.mapInArrow(run, schema).select(*(columns.get(c).alias(c) if columns.get(c) is not None else F.col(c) for c in docs.columns))
+            kept = pa.array([x.decode("utf-8", "ignore") for x in batch.column(2).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), kept, batch.column(3)], names=["row", "text", "kept", "n_removed"])
+
+    schema = T.StructType([removed.schema["row"], removed.schema["text"], T.StructField("kept", T.StringType()), removed.schema["n_removed"]])
+    cut = (F.col("n_removed") > 0) & F.col("text").isNotNull()
+    own = {"text": F.when(cut, F.col("kept")).otherwise(F.col("text")).alias("text")}
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        own["n_chars"] = F.when(cut, F.length("kept").cast(kind)).otherwise(F.col("row.n_chars")).alias("n_chars")
+    columns = dict(zip(docs.columns, unpacked(docs), strict=True)) | own
+    return removed.mapInArrow(run, schema).select(*columns.values())
