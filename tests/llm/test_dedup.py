@@ -197,7 +197,37 @@ def test_chain_and_align():
     b = np.concatenate([np.arange(500, 510), a[:40], [900, 901], a[41:]])
     pos = np.array([3, 20, 60, 80, 50])
     other = np.array([13, 30, 71, 91, 5])
-    chains = substring_dedup.chain(pos, other, 5, 0.05, 45)
+    ends = lambda x: (x + 5).tolist()
+    chains = substring_dedup.chain(pos.tolist(), ends(pos), other.tolist(), ends(other), [5] * 5, 5, 0.05, 45)
     assert chains[0] == [0, 1, 2, 3] and [4] in chains
     s, e, s2, e2, same = substring_dedup.align(a, b, pos[:4], other[:4], 5)
     assert (s, e, s2, e2, same) == (0, 100, 10, 111, 99)
+    order, opens = substring_dedup.diagonal_segments(np.array([0, 0, 0, 0, 1]), np.array([9, 1, 4, 30, 31]), np.array([19, 11, 14, 40, 41]), 10)
+    assert order.tolist() == [1, 2, 0, 3, 4] and opens.tolist() == [0, 3, 4]
+
+
+def best_chain(segments, k, gap_cost):
+    """Highest score of any chain, by trying every predecessor."""
+    order = sorted(range(len(segments)), key=lambda i: (segments[i][0], segments[i][2]))
+    score = {}
+    for i in order:
+        p, _, q, _, words = segments[i]
+        gains = [score[j] - gap_cost * (p - segments[j][1] + q - segments[j][3]) for j in score if segments[j][1] - k < p and segments[j][3] - k < q and j != i]
+        score[i] = words + max([0.0, *gains])
+    return max(score.values())
+
+
+def test_chain_is_the_best_of_all():
+    import random
+
+    rng = random.Random(3)
+    for _ in range(200):
+        segments = []
+        for _ in range(rng.randrange(1, 12)):
+            p, q, n = rng.randrange(80), rng.randrange(80), rng.randrange(5, 20)
+            segments.append((p, p + n, q, q + n, n))
+        columns = [list(c) for c in zip(*segments, strict=True)]
+        chains = substring_dedup.chain(*columns, 5, 0.05, 1000)
+        total = lambda c: sum(segments[i][4] for i in c) - 0.05 * sum(segments[b][0] - segments[a][1] + segments[b][2] - segments[a][3] for a, b in zip(c, c[1:], strict=False))
+        assert abs(max(map(total, chains)) - best_chain(segments, 5, 0.05)) < 1e-9
+        assert sorted(i for c in chains for i in c) == list(range(len(segments)))
