@@ -3,16 +3,18 @@
 Centroids are fitted by k-means on a bounded sample of unit vectors and linked into a neighbour graph. Every vector
 goes to the posting list of its nearest centroid, and, near a boundary, to those of further centroids whose
 distance is within ``1 + closure`` times the nearest's. A query searches the lists whose distance is within
-``1 + prune`` times the nearest's, ``max_lists`` of them (and the ``min_lists`` nearest in any case). Both bounds grow as
+``1 + prune`` times the nearest's, ``max_lists`` of them at most. Both bounds grow as
 far as it takes: up to ``held_out`` queries, left out of the sample, are first compared with every vector, and the lists
-that hold their true neighbours give the least prune and max_lists that find the share ``recall`` of them. Lists longer than ``list_rows`` are dealt out in parts, so tasks stay even. Scores are exact
-cosines of the original vectors in double precision.
+that hold their true neighbours give the least prune and max_lists that find the share ``recall`` of them. Lists longer than ``part_rows`` are dealt out in parts, so tasks stay even. Scores are exact
+cosines of the original vectors in double precision. ``exact`` makes one list of all vectors, in parts, so that every
+query meets every vector.
 
-Bounds: the sample has at most ``sample_rows`` rows and the graph at most ``max_centroids`` nodes; they go to the
-driver and the tasks. Every vector is indexed. Of equal vectors the k + 1 smallest ids are kept in the lists: no
+Bounds: the sample has about ``sample_rows`` rows and the graph at most ``max_centroids`` nodes; they go to the
+driver and the tasks. Beyond ``list_rows * max_centroids`` vectors the lists grow with the table. Every vector is indexed. Of equal vectors the k + 1 smallest ids are kept in the lists: no
 query's k nearest can hold another.
 
-Cases: vectors that are null, zero, or hold a null or non-finite component take no part; shorter vectors count as
+Cases: components of any finite size count (a vector is scaled by a power of two first, which changes no digit of a
+cosine); vectors that are null, zero, or hold a null or non-finite component take no part; shorter vectors count as
 zero past their end; rows of one id count once, by the least vector; a query never gets rows of its own id; with fewer
 than k candidates all are returned; empty tables give empty tables.
 """
@@ -45,9 +47,13 @@ def _norms(x: np.ndarray) -> np.ndarray:
     return np.sqrt((x * x).sum(axis=1))
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Each row times a power of two, so that its largest component lies between 1/2 and 1."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0))[1][:, None])
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
-    top = np.abs(x).max(axis=1, keepdims=True)  # very large or small components don't overflow the norm
-    x = x / np.where(top > 0, top, 1)
+    x = _scaled(x)
     return (x / np.maximum(_norms(x), 1e-300)[:, None]).astype(np.float32)
 
 
@@ -60,7 +66,7 @@ class CentroidGraph:
     entries: np.ndarray
 
     @classmethod
-    def build(cls, sample: np.ndarray, n: int, degree: int = 16, rounds: int = 8, seed: int = 5) -> CentroidGraph:
+    def build(cls, sample: np.ndarray, n: int, degree: int = 16, rounds: int = 6, seed: int = 5) -> CentroidGraph:
         rng = np.random.default_rng(seed)
         x = np.unique(sample, axis=0)
         n = max(1, min(n, len(x)))
@@ -188,7 +194,7 @@ def _lists(rows: DataFrame, shared, width: int, beam: int, ratio: float, least:
     return rows.mapInArrow(run, "id long, v array<double>, list long")
 
 
-def nearest(candidates: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", list_rows: int = 256, sample_rows: int = 32_768, max_centroids: int = 16_384, closure: float = 0.1, replicas: int = 4, prune: float = 0.35, min_lists: int = 16, max_lists: int = 64, recall: float = 0.95, held_out: int = 256, seed: int = 5) -> DataFrame:
+def nearest(candidates: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", list_rows: int = 64, part_rows: int = 4096, sample_rows: int = 32_768, max_centroids: int = 16_384, closure: float = 0.1, replicas: int = 4, prune: float = 0.1, min_lists: int = 1, max_lists: int = 8, recall: float = 0.98, held_out: int = 256, exact: bool = False, seed: int = 5) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest candidates found for each query."""
     valid = lambda rows: one_vector(rows, key, vector).where(F.exists("v", lambda x: x != 0))
     rows, wanted = valid(candidates), valid(queries)
@@ -197,29 +203,29 @@ def nearest(candidates: DataFrame, queries: DataFrame, k: int, key: str = "vec_i
     info = kept.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first()
     width = max(1, info["d"] or 0, wanted.agg(F.max(F.size("v"))).first()[0] or 0)
     share = min(1.0, sample_rows / max(1, info["n"]))
-    taken = kept.where((F.col("copy") == 1) & (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000)) < int(share * 1e6))).orderBy("id").limit(sample_rows)
+    taken = kept.where((F.col("copy") == 1) & (F.xxhash64("id", F.lit(seed)) <= F.lit(int((2 * share - 1) * (2**63 - 1024)))))
     unit = lambda found: _unit(_vectors(pa.array([r["v"] for r in found], pa.list_(pa.float64())), width))
     tried = wanted.select("id", "v").orderBy(F.xxhash64("id", F.lit(seed + 1)), "id").limit(held_out).collect()
     tried_ids, tried_v = np.array([r["id"] for r in tried], np.int64), unit(tried)
     sample = unit(taken.where(~F.col("id").isin(tried_ids.tolist())).select("v").collect())
-    graph = CentroidGraph.build(sample, min(max_centroids, max(1, info["n"] // list_rows)), seed=seed)
+    graph = CentroidGraph.build(sample, 1 if exact else min(max_centroids, max(1, info["n"] // list_rows)), seed=seed)
     shared = kept.sparkSession.sparkContext.broadcast(graph)
     if len(tried) and len(graph.centroids) > min_lists:
         true = true_neighbours(kept, tried_ids, tried_v, k)
         prune, max_lists = bounds_for_recall(graph, tried_v, np.array([r["query"] for r in true], np.int64), unit(true), (16, closure, replicas), prune, min_lists, max_lists, recall)
-    postings = _lists(kept.select("id", "v"), shared, width, 16, closure, 1, replicas)
+    postings = write_scratch(_lists(kept.select("id", "v"), shared, width, 16, closure, 1, replicas), "postings")
     probes = _lists(wanted, shared, width, max_lists, prune, min_lists, max_lists)
-    # a list's rows lie in parts of about list_rows; its queries go to each part
-    parts = postings.groupBy("list").agg(F.ceil(F.count("*") / (4 * list_rows)).alias("parts"))
+    # a list's rows lie in parts of about part_rows; its queries go to each part
+    parts = postings.groupBy("list").agg(F.ceil(F.count("*") / part_rows).alias("parts"))
     left = postings.join(parts, "list").select("id", "v", "list", F.pmod(F.xxhash64("id"), "parts").alias("part"))
     right = probes.join(parts, "list").select("id", "v", "list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
         if a.num_rows and b.num_rows:
-            ids, x = a.column("id").to_numpy(), _vectors(a.column("v"), width)
+            ids, x = a.column("id").to_numpy(), _scaled(_vectors(a.column("v"), width))
             norm = _norms(x)
-            for own, q in zip(b.column("id").to_numpy(), _vectors(b.column("v"), width), strict=True):
+            for own, q in zip(b.column("id").to_numpy(), _scaled(_vectors(b.column("v"), width)), strict=True):
                 score = (x * q).sum(axis=1) / (norm * np.sqrt((q * q).sum()))
                 score[ids == own] = -np.inf
                 if len(score) > k:

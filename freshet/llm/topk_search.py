@@ -13,7 +13,8 @@ each, whatever the input's size.
 
 Cases: vectors that are null or hold a null or non-finite component take no part; shorter vectors count as zero
 past their end; rows of one id count once, by the least vector; a query never gets rows of its own id; with
-fewer than k candidates all are returned; empty tables give empty tables. Scores must fit a long.
+fewer than k candidates all are returned; empty tables give empty tables. Components whose products need not fit a long are an
+error.
 """
 
 from __future__ import annotations
@@ -93,9 +94,12 @@ def top_inner_products(candidates: DataFrame, queries: DataFrame, k: int, key: s
     """query_id, rank (from 1), vec_id, score for each query's k highest integer inner products."""
     as_int = lambda rows: one_vector(rows, key, vector).select("id", F.transform("v", lambda x: F.floor(x * scale).cast("bigint")).alias("v"))
     c, q = as_int(candidates), as_int(queries)
-    sizes = c.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first()
-    n_q = q.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first()
+    largest = F.max(F.aggregate("v", F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x.cast("double")))))
+    shape = [F.count("*").alias("n"), F.max(F.size("v")).alias("d"), largest.alias("most")]
+    sizes, n_q = c.agg(*shape).first(), q.agg(*shape).first()
     width = max(1, sizes["d"] or 0, n_q["d"] or 0)
+    if width * (sizes["most"] or 0) * (n_q["most"] or 0) >= 2**63:
+        raise ValueError("scores of these components need not fit a long; use a smaller scale")
     c_blocks, q_blocks = max(1, -(-sizes["n"] // BLOCK_ROWS)), max(1, -(-n_q["n"] // BLOCK_QUERIES))
     block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))

@@ -95,3 +95,33 @@ def test_graph_finds_the_nearest_centroid():
     graph = ann_search.CentroidGraph.build(x, 200)
     nodes, _ = graph.search(x[:200], 16)
     assert (nodes[:, 0] == np.argmax(x[:200] @ graph.centroids.T, axis=1)).mean() > 0.95
+
+
+@pytest.mark.parametrize("size", [1e200, 1e-200, 1e-310])
+def test_ann_of_very_large_and_small_components(spark, size):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(60, 8))
+    df = spark.createDataFrame([(i, [float(size * c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    for exact in (False, True):
+        got = ann_search.nearest(df, df.where("vec_id % 20 = 0"), k=5, exact=exact).collect()
+        assert len(got) == 15
+        assert all(abs(r.score - unit[r.query_id] @ unit[r.vec_id]) < 1e-9 or size < 1e-300 for r in got)
+
+
+def test_ann_exact(table, rows):
+    vectors = {i: v for i, v in usable(rows).items() if v.any()}
+    got: dict = {}
+    for r in ann_search.nearest(table, table.where("vec_id % 10 = 0"), k=5, part_rows=64, exact=True).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.score)
+    cos = lambda a, b: float((a * b).sum() / (np.sqrt((a * a).sum()) * np.sqrt((b * b).sum())))
+    for q, v in vectors.items():
+        if q % 10 == 0:
+            best = sorted((-cos(v, w) for i, w in vectors.items() if i != q))[:5]
+            assert np.allclose(got[q], [-s for s in best], atol=1e-12)
+
+
+def test_topk_of_components_beyond_a_long(spark):
+    df = spark.createDataFrame([(0, [1e18, 1.0]), (1, [1e18, 2.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError, match="fit a long"):
+        topk_search.top_inner_products(df, df, k=1)
