@@ -10,6 +10,9 @@ outside the vocabulary fall back to byte pieces.
 A segmentation is the best by the model file's scores. For a model trained as BPE this can differ from its
 merge order. Nothing is shuffled: encoding and decoding are one pass over the rows.
 
+Words over ``LONG_WORD`` characters (texts without spaces) aren't shared or cached; they are segmented one by one, in
+pieces between positions that no vocabulary piece crosses.
+
 Cases: a null text is empty; an empty text has no ids; several spaces in a row stay one word with several
 marks; decoding drops the dummy mark, turns marks into spaces, and gives back the encoded text exactly, save that
 the mark character itself (U+2581) reads as a space; byte pieces that aren't UTF-8 decode to U+FFFD; repeated rows
@@ -19,6 +22,8 @@ are each encoded; a null id list decodes to an empty text.
 from __future__ import annotations
 
 import re
+from array import array
+from collections import ChainMap
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -29,6 +34,7 @@ from .common import byte_slices
 
 MARK = "▁"
 CACHE_WORDS = 500_000
+LONG_WORD = 2_000
 UNKNOWN_PENALTY = 10.0
 _WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
@@ -125,17 +131,66 @@ class PieceModel:
             before = word
         return out
 
+    def segment_long(self, word: str) -> bytes:
+        """Best ids of one long word, as :func:`segment` gives them. Up to a position that no piece of the vocabulary
+        crosses all is settled and written out; in between a position takes 16 bytes."""
+        root, floor = self.trie, min(s for p, s in zip(self.pieces, self.scores, strict=True) if p) - UNKNOWN_PENALTY
+        out: list[np.ndarray] = []
+        base, best, start_of, id_of = 0, array("d", [0.0]), array("i", [0]), array("i", [0])
+        live: list[tuple[int, dict]] = []
+
+        def settle(end: int) -> None:
+            ids: list[int] = []
+            at = end - base
+            while at:
+                start, i = start_of[at], id_of[at]
+                if i >= 0:
+                    ids.append(i)
+                elif self.byte_ids:
+                    ids.extend(self.byte_ids[b] for b in reversed(word[base + start : base + at].encode()))
+                else:
+                    ids.append(self.unknown)
+                at = start
+            out.append(np.array(ids[::-1], self.kind))
+
+        for at, c in enumerate(word):
+            spot, still, top, how, single = at - base, [], None, (at - base, -1), False
+            for start, node in (*live, (spot, root)):
+                node = node.get(c)
+                if node is None:
+                    continue
+                hit = node.get("")
+                if len(node) > (hit is not None):
+                    still.append((start, node))
+                if hit is not None:
+                    single |= start == spot
+                    score = best[start] + hit[1]
+                    if top is None or score > top:
+                        top, how = score, (start, hit[0])
+            if not single and (top is None or best[spot] + floor > top):
+                top, how = best[spot] + floor, (spot, -1)
+            best.append(top)
+            start_of.append(how[0])
+            id_of.append(how[1])
+            live = still
+            if not live:
+                settle(at + 1)
+                base, best, start_of, id_of = at + 1, array("d", [0.0]), array("i", [0]), array("i", [0])
+        settle(len(word))
+        return np.concatenate(out).tobytes()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of texts, each as a little-endian binary."""
         marked = [_WORD.findall(MARK + t.replace(" ", MARK)) if "  " in t or MARK in t or t[:1] == " " else [MARK + w for w in t.split(" ")] if t else [] for t in texts]
-        missing = {w for ws in marked for w in ws}.difference(self._words)
+        long = {w: self.segment_long(w) for ws in marked for w in ws if len(w) > LONG_WORD}
+        missing = {w for ws in marked for w in ws}.difference(self._words, long)
         if missing:
             if len(self._words) + len(missing) > CACHE_WORDS:
                 self._words.clear()
-                missing = {w for ws in marked for w in ws}
+                missing = {w for ws in marked for w in ws}.difference(long)
             kind = self.kind
             self._words.update((w, np.array(ids, kind).tobytes()) for w, ids in self.segment(list(missing)).items())
-        get = self._words.__getitem__
+        get = ChainMap(long, self._words).__getitem__ if long else self._words.__getitem__
         return [b"".join(map(get, ws)) for ws in marked]
 
     def decode(self, ids: list[np.ndarray]) -> list[str]:
