@@ -5,7 +5,7 @@ kernel over the standardized statistics; each partition sums its share of the no
 driver solves the ridge system, and pooled-adjacent-violators turns
 out-of-fold scores into probabilities.
 
-Bounds: at most ``max_train_rows`` labelled rows train (chosen by a hash of doc_id). Partitions' sums are
+Bounds: about ``max_train_rows`` labelled rows train at most (chosen by a hash of doc_id). Partitions' sums are
 added row by row of the matrix in Spark, so what reaches the driver is one matrix for each fold, whatever the
 input. Everything else covers all rows.
 
@@ -23,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from .common import byte_slices, list_array, mix64, mix_pair, text_buffers, word_hashes
+from .common import byte_slices, list_array, mix64, mix_pair, packed, text_buffers, word_hashes
 
 TRAIN_PARTITIONS = 16
 FOLDS = 3
@@ -146,7 +147,9 @@ class QualityModel:
     def score(self, stats: np.ndarray) -> np.ndarray:
         """Calibrated probability; inside a level, a thousandth of it keeps the raw order."""
         raw = self.raw(stats)
-        level = np.interp(raw, self.knots, self.levels) if len(self.knots) else np.full(len(raw), 0.5)
+        if not len(self.knots):
+            return np.full(len(raw), 0.5)
+        level = np.interp(raw, self.knots, self.levels)
         return np.clip(0.999 * level + 0.001 / (1 + np.exp(-np.clip(4 * (raw - 0.5), -30, 30))), 0, 1)
 
 
@@ -170,7 +173,7 @@ def fit(stats: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "
     rows = stats.join(truth, key).select(F.xxhash64(key).alias("h"), "stats", "y")
     total = rows.count()
     if total > max_train_rows:
-        rows = rows.where(F.pmod(F.hash("h"), F.lit(1_000_000)) < int(1e6 * max_train_rows / total))
+        rows = rows.where(F.xxhash64("h") <= F.lit(int((2 * max_train_rows / total - 1) * (2**63 - 1024))))
     rows = rows.repartition(TRAIN_PARTITIONS, "h").persist()
     rng = np.random.default_rng(seed)
     moments = rows.select(F.posexplode("stats").alias("k", "x")).groupBy("k").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s")).orderBy("k").collect()
@@ -234,16 +237,27 @@ def score_statistics(stats: DataFrame, model: QualityModel, key: str = "doc_id")
     return stats.select(F.col(key).alias("key"), "stats").mapInArrow(run, f"key {kind}, score double").withColumnRenamed("key", key)
 
 
-def keep_good(docs: DataFrame, model: QualityModel, threshold: float = 0.7, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text scores at least ``threshold``, with the columns they came with."""
-    columns = docs.columns
-    at = columns.index(text)
+def with_statistics(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, stats, row): the statistics of every row beside all its columns."""
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), packed(docs))
 
     def run(batches):
         for batch in batches:
-            named = batch.rename_columns([str(i) for i in range(len(columns))])
-            for part in byte_slices(named, str(at)):
-                kept = model.score(text_statistics(part.column(at))) >= threshold
-                yield part.filter(pa.array(kept)).rename_columns(columns)
+            for part in byte_slices(batch, "text"):
+                stats = text_statistics(part.column(1))
+                yield pa.RecordBatch.from_arrays([part.column(0), list_array(stats.ravel(), np.full(len(stats), N_FEATURES), pa.float64()), part.column(2)], names=[key, "stats", "row"])
+
+    kind = StructType([StructField(key, rows.schema["key"].dataType), StructField("stats", ArrayType(DoubleType())), rows.schema["row"]])
+    return rows.mapInArrow(run, kind)
+
+
+def keep_good(rows: DataFrame, model: QualityModel, threshold: float = 0.7) -> DataFrame:
+    """Of rows of :func:`with_statistics`, those that score at least ``threshold``, with the columns they came with."""
+
+    def run(batches):
+        for batch in batches:
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, N_FEATURES)
+            yield batch.select(["row"]).filter(pa.array(model.score(x) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    kept = rows.select("stats", "row").mapInArrow(run, StructType([rows.schema["row"]]))
+    return kept.select(*(F.col("row").getField(c).alias(c) for c in rows.schema["row"].dataType.names))
