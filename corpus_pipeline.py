@@ -18,9 +18,8 @@ from freshet.llm.queries import training_labels
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score reaches 0.7; the rest go."""
     labels = training_labels(read_table(spark, sf_dir, "labels"))
-    # only labelled documents are needed to fit; every document is scored
-    model = quality.fit(write_scratch(quality.document_statistics(docs), "quality"), labels)
-    return quality.keep_good(docs, model)
+    rows = write_scratch(quality.with_statistics(docs), "quality")
+    return quality.keep_good(rows, quality.fit(rows.select("doc_id", "stats"), labels))
 
 
 def no_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
