@@ -51,20 +51,20 @@ def write_scratch(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def release_shuffles(spark: SparkSession, wait: float = 0.5) -> None:
+def release_shuffles(spark: SparkSession, waits: tuple[float, ...] = (0.3, 1.0, 2.0)) -> None:
     """Let Spark's cleaner delete the shuffle files of finished queries soon, not when the driver's memory runs
-    short. It runs beside the next query: the listeners let go of a plan a little after its end."""
+    short. It runs beside the next query, a few times: the listeners let go of a plan a little after its end."""
 
     def collect() -> None:
-        _WAITING.clear()
         gc.collect()
         with contextlib.suppress(Exception):  # the session may have stopped meanwhile
             spark._jvm.System.gc()
 
-    if not _WAITING:
-        timer = threading.Timer(wait, collect)
+    for timer in _WAITING:
+        timer.cancel()
+    _WAITING[:] = [threading.Timer(wait, collect) for wait in waits]
+    for timer in _WAITING:
         timer.daemon = True
-        _WAITING.append(timer)
         timer.start()
 
 
