@@ -84,6 +84,11 @@ def valid_time(base: Column | str, hours: Column | str) -> Column:
     return _col(base) + F.make_dt_interval(F.lit(0), _col(hours).cast("int"))
 
 
+def first_not_null(*columns: Column | str) -> Column:
+    """The first of ``columns`` that isn't null."""
+    return F.coalesce(*map(_col, columns))
+
+
 def interp_linear(x: Column | str, stops: Sequence[tuple[float, float]]) -> Column:
     """Piecewise linear, clamped at both ends."""
     x = _col(x).cast("double")

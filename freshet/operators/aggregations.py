@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from freshet import schemas as S
 from freshet.functions import scalars as X
 
+# Names of the stages of a run, in order
 STAGES = ["discovered", "raw_acquired", "artifact_prepared", "ingested", "summarized", "map_ready"]
 
 
@@ -65,7 +66,7 @@ def grid_bulk_summary(stats: DataFrame, cells: DataFrame, products: tuple[str, .
 
     first = F.min(F.array_position(F.array(*map(F.lit, products)), F.col("product"))).alias("place")
     chosen = stats.groupBy("run_id").agg(first)
-    rows = stats.join(F.broadcast(chosen), "run_id").where(F.col("product") == F.element_at(F.array(*map(F.lit, products)), F.col("place").cast("int"))) if products else stats
+    rows = stats.join(chosen, "run_id").where(F.col("product") == F.element_at(F.array(*map(F.lit, products)), F.col("place").cast("int"))) if products else stats
     return expand_cells_to_reaches(bulk_summary(rows, ["run_id", "lat", "lon"], median=False), cells)
 
 

@@ -40,13 +40,13 @@ def resolve_ladder(df: DataFrame, provider: str) -> DataFrame:
 
 def _present(df: DataFrame, *names: str) -> Column:
     found = [F.col(n) for n in names if n in df.columns]
-    return F.coalesce(*found) if found else F.lit(None).cast("string")
+    return X.first_not_null(*found) if found else F.lit(None).cast("string")
 
 
 def _reach(df: DataFrame) -> Column:
     blank = lambda n: F.nullif(F.trim(F.col(n).cast("string")), F.lit(""))
     found = [blank(n) for n in ("provider_reach_id", "river_id") if n in df.columns]
-    return F.coalesce(*found)
+    return X.first_not_null(*found)
 
 
 def normalize_timeseries(raw: DataFrame, provider: str, run_id: str | None = None, tag: bool = False) -> DataFrame:
@@ -77,8 +77,15 @@ def normalize_rest_stats(stats: DataFrame, provider: str, run_id: str, reach_id:
     return rows.where(F.col("forecast_time_utc").isNotNull())
 
 
-def normalize_rest_ladders(frame: DataFrame, provider: str) -> DataFrame:
-    return resolve_ladder(frame, provider)
+def normalize_rest_ladders(frame: DataFrame, provider: str, index: str | None = None) -> DataFrame:
+    """Per-reach threshold frames as ladder rows; the id is ``rivid``, else ``river_id``, else the ``index`` column."""
+    names = [n for n in ("rivid", "river_id", index) if n in frame.columns]
+    if not names:
+        raise ValueError(f"no id: looked for rivid, river_id and an index column, found {frame.columns}")
+    kinds = dict(frame.dtypes)
+    reach = X.first_not_null(*(X.normalize_reach_id(n, kinds[n] in ("double", "float")) for n in names))
+    rungs = frame.select(*(F.col(f"`{c}`") for c in frame.columns if c not in (*ID_ALIASES, index)), reach.alias("provider_reach_id"))
+    return resolve_ladder(rungs, provider)
 
 
 def backfill_reach_area(crosswalk: DataFrame) -> DataFrame:

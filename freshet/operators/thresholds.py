@@ -20,34 +20,57 @@ def annual_maxima(history: DataFrame, keys: Sequence[str] = ("lat", "lon"), flow
     return yearly.groupBy(*keys).agg(F.array_sort(F.collect_list("top")).alias("maxima"))
 
 
-def gumbel_fit(samples: np.ndarray) -> tuple[float, float]:
-    """Maximum-likelihood (loc, scale): the root of scale - mean + weighted mean, by bisection; NaN if there is none."""
-    x = samples[np.isfinite(samples)]
-    if len(x) < 2 or x.min() == x.max():
-        return np.nan, np.nan
-    low, mean = x.min(), x.mean()
-
-    def excess(scale: float) -> float:
-        w = np.exp(-(x - low) / scale)
-        return scale - mean + (x * w).sum() / w.sum()
-
-    a, b = 1e-9 * max(1.0, x.std()), 4 * (x.max() - low)
-    while excess(b) < 0:
-        b *= 2
+def gumbel_fits(values: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Maximum-likelihood (loc, scale) of consecutive samples of the given sizes, all by one bisection for the root of
+    scale - mean + weighted mean; NaN where there is none. Values that aren't finite don't count."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    good = np.isfinite(values)
+    x, owner = values[good], owner[good]
+    n = np.bincount(owner, minlength=len(sizes))
+    low, high = np.full(len(sizes), np.inf), np.full(len(sizes), -np.inf)
+    np.minimum.at(low, owner, x)
+    np.maximum.at(high, owner, x)
+    fits = (n >= 2) & (low < high)
+    kept = fits[owner]
+    x, owner = x[kept], (np.cumsum(fits) - 1)[owner[kept]]
+    n, low, high = n[fits], low[fits], high[fits]
+    total = lambda y: np.bincount(owner, weights=y, minlength=len(n))
+    mean, above = total(x) / n, x - low[owner]
+    spread = np.sqrt(np.maximum(total(x * x) / n - mean**2, 0))
+
+    def excess(scale: np.ndarray) -> np.ndarray:
+        w = np.exp(-above / scale[owner])
+        return scale - mean + total(x * w) / total(w)
+
+    a, b = 1e-9 * np.maximum(1.0, spread), 4 * (high - low)
+    while len(n) and (short := excess(b) < 0).any():
+        b = np.where(short, 2 * b, b)
     for _ in range(200):
         middle = (a + b) / 2
-        a, b = (a, middle) if excess(middle) > 0 else (middle, b)
+        up = excess(middle) > 0
+        a, b = np.where(up, a, middle), np.where(up, middle, b)
     scale = (a + b) / 2
-    return low - scale * np.log(np.exp(-(x - low) / scale).mean()), scale
+    loc, out = np.full(len(sizes), np.nan), np.full(len(sizes), np.nan)
+    out[fits] = scale
+    loc[fits] = low - scale * np.log(total(np.exp(-above / scale[owner])) / n)
+    return loc, out
+
+
+def gumbel_fit(samples: np.ndarray) -> tuple[float, float]:
+    """(loc, scale) of one sample."""
+    loc, scale = gumbel_fits(np.asarray(samples, float), np.array([len(samples)]))
+    return float(loc[0]), float(scale[0])
 
 
 def _fit(samples: str) -> Column:
-    """struct(loc, scale) of an array column, fitted batch by batch."""
+    """struct(loc, scale) of an array column, fitted a batch at a time."""
 
     @F.pandas_udf("loc double, scale double")
     def fit(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for lists in batches:
-            yield pd.DataFrame([gumbel_fit(np.asarray(x, dtype=float)) for x in lists], columns=["loc", "scale"])
+            parts = [np.asarray(x, dtype=float) for x in lists]
+            loc, scale = gumbel_fits(np.concatenate([np.zeros(0), *parts]), np.array([len(x) for x in parts], dtype=np.int64))
+            yield pd.DataFrame({"loc": loc, "scale": scale})
 
     return fit(samples)
 

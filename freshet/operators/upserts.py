@@ -21,13 +21,27 @@ def perturbed_wins(ts: DataFrame, product: str = "product") -> DataFrame:
     return last_wins(ts, S.TIME_KEYS, F.when(F.col(product) == "pf", 1).otherwise(0))
 
 
+def only_version(df: DataFrame, keys: list[str]) -> DataFrame:
+    """One row for each key; rows that repeat are one, and rows of one key that differ fail the job."""
+    rest = [c for c in df.columns if c not in keys]
+    rows = df.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("r"), F.max(F.struct(*rest)).alias("s"))
+    error = F.raise_error(F.lit(f"rows of one key ({', '.join(keys)}) differ; give an order"))
+    one = rows.select(*keys, F.when(F.col("r").eqNullSafe(F.col("s")), F.col("r")).otherwise(error).alias("r"))
+    return one.select(*(F.col(c) if c in keys else F.col(f"r.{c}").alias(c) for c in df.columns))
+
+
 def upsert(target: DataFrame, updates: DataFrame, keys: list[str], order: Column | str | None = None) -> DataFrame:
     """Rows of ``target`` with those of ``updates`` in place of equal keys; twice is as once.
 
-    For a table partitioned by run, pass only the touched partitions: see plans.write_upsert.
+    Of several updates of one key the one with the greatest ``order`` counts; without an order, updates of one key that
+    differ are an error. Null keys are equal to each other. For a table partitioned by run, pass only the touched
+    partitions: see plans.write_upsert.
     """
-    new = last_wins(updates, keys, F.lit(0) if order is None else order)
-    return target.join(new.select(*keys), keys, "left_anti").unionByName(new.select(*target.columns))
+    columns = [c for c in updates.columns if c in target.columns]
+    new = only_version(updates.select(*columns), keys) if order is None else last_wins(updates, keys, order)
+    new = new.select(*target.columns)
+    same = [F.col(f"t.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys]
+    return target.alias("t").join(new.select(*keys).alias("n"), same, "left_anti").select(*(F.col(f"t.{c}").alias(c) for c in target.columns)).unionByName(new)
 
 
 def upsert_run(runs: DataFrame, discovered: DataFrame) -> DataFrame:

@@ -45,7 +45,7 @@ def high_res_member(members: DataFrame, label: str = "member") -> DataFrame:
     for token in HIGH_RES:
         marked = marked | text.contains(token)
     pick = members.select(*S.RUN_KEYS, label).distinct().groupBy(*S.RUN_KEYS).agg(F.min_by(label, F.struct((~marked).alias("m"), label)).alias(label))
-    return members.join(F.broadcast(pick), [*S.RUN_KEYS, label]).select(*S.TIME_KEYS, F.col("flow_cms").alias("high_res_cms"))  # one row for each run
+    return members.join(pick, [*S.RUN_KEYS, label]).select(*S.TIME_KEYS, F.col("flow_cms").alias("high_res_cms"))  # one row for each run
 
 
 def worst_reaches(s: DataFrame, provider: str, run_id: str, flagged_only: bool = False, min_severity: int | None = None, limit: int | None = None) -> DataFrame:

@@ -47,7 +47,7 @@ def ingest_summaries(artifact: DataFrame, rp: DataFrame, target: DataFrame, repl
     rows = rows.select(*target.columns)
     if not replace:
         return U.upsert(target, rows, S.REACH_KEYS)
-    return target.join(F.broadcast(rows.select(*S.RUN_KEYS).distinct()), S.RUN_KEYS, "left_anti").unionByName(U.last_wins(rows, S.REACH_KEYS, F.lit(0)))  # a row for each run
+    return target.join(rows.select(*S.RUN_KEYS).distinct(), S.RUN_KEYS, "left_anti").unionByName(U.only_version(rows, S.REACH_KEYS))
 
 
 def ingest_timeseries(artifact: DataFrame, rp: DataFrame, target: DataFrame, provider: str) -> tuple[DataFrame, DataFrame]:
@@ -109,7 +109,7 @@ def write_upsert(target_path: str, updates: DataFrame, keys: list[str], scratch_
     """
     spark = updates.sparkSession
     target = spark.read.schema(updates.schema).parquet(target_path)
-    touched = target.join(F.broadcast(updates.select(*S.RUN_KEYS).distinct()), S.RUN_KEYS, "left_semi")  # a row for each run
+    touched = target.join(updates.select(*S.RUN_KEYS).distinct(), S.RUN_KEYS, "left_semi")
     U.upsert(touched, updates, keys).write.mode("overwrite").parquet(scratch_path)
     staged = spark.read.schema(updates.schema).parquet(scratch_path)
     staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(*S.RUN_KEYS).parquet(target_path)

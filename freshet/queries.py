@@ -289,9 +289,32 @@ def A_history(spark, d):
     return table(spark, d, "lineitem").select(F.col("l_suppkey").cast("string").alias("provider_reach_id"), F.col("l_shipdate").alias("time"), F.col("l_extendedprice").cast("double").alias("flow_cms"))
 
 
-@query("agg13_gumbel_thresholds")
+def gumbel_sql(samples: str) -> str:
+    """fits(k, n, loc, scale) for the table ``samples`` (k, x: list, n): two hundred halvings of an interval that holds the
+    root of the likelihood equation."""
+    weight = lambda v, at: f"exp(-({v} - low) / {at})"
+    excess = lambda at: f"{at} - mean + list_sum(list_transform(x, lambda v: v * {weight('v', at)})) / list_sum(list_transform(x, lambda v: {weight('v', at)}))"
+    return f""", stat AS (SELECT k, x, n, list_min(x) AS low, list_avg(x) AS mean, 4 * (list_max(x) - list_min(x)) AS top FROM {samples} WHERE n >= 2 AND list_min(x) < list_max(x)),
+half AS (
+  SELECT k, x, n, low, mean, 1e-9 AS a, top * 16 AS b, 0 AS i FROM stat
+  UNION ALL
+  SELECT k, x, n, low, mean, CASE WHEN e > 0 THEN a ELSE m END, CASE WHEN e > 0 THEN m ELSE b END, i + 1
+  FROM (SELECT *, {excess('m')} AS e FROM (SELECT *, (a + b) / 2 AS m FROM half WHERE i < 80) h) g),
+fits AS (
+  SELECT k, n, low - (a + b) / 2 * ln(list_avg(list_transform(x, lambda v: {weight('v', '((a + b) / 2)')}))) AS loc, (a + b) / 2 AS scale FROM half WHERE i = 80)"""
+
+
+def quantile_sql(p: float) -> str:
+    return f"round(loc - scale * ln(-ln({p!r}::DOUBLE)) + 1e-9, 2)"
+
+
+@query("agg13_gumbel_thresholds", """WITH RECURSIVE y AS (SELECT l_suppkey, year(l_shipdate) AS year, max(l_extendedprice)::DOUBLE AS top FROM lineitem WHERE l_extendedprice > 0 GROUP BY ALL),
+s AS (SELECT cast(l_suppkey AS VARCHAR) AS k, list(top ORDER BY top) AS x, count(*) AS n FROM y GROUP BY l_suppkey HAVING count(*) >= 5)""" + gumbel_sql("s") + f"""
+---
+SELECT k AS provider_reach_id, {quantile_sql(0.5)} AS rp_2, {quantile_sql(0.8)} AS rp_5, {quantile_sql(0.95)} AS rp_20, n::INTEGER AS sample_count FROM fits""")
 def _(spark, d):
-    return T.gumbel_thresholds(T.annual_maxima(A_history(spark, d), ["provider_reach_id"]))
+    rows = T.gumbel_thresholds(T.annual_maxima(A_history(spark, d), ["provider_reach_id"]))
+    return rows.withColumns({r: F.round(F.col(r) + F.lit(1e-9), 2) for r in ("rp_2", "rp_5", "rp_20")})
 
 
 def cell_history(spark, d):
@@ -299,12 +322,19 @@ def cell_history(spark, d):
     return table(spark, d, "lineitem").select((F.lit(10.0) + F.lit(0.05) * key).alias("lat"), (F.lit(20.0) + F.col("l_quantity").cast("int")).alias("lon"), F.col("l_extendedprice").cast("double").alias("flow_cms"))
 
 
-@query("agg14_reach_thresholds_from_history")
+@query("agg14_reach_thresholds_from_history", """WITH RECURSIVE s AS (SELECT concat(l_suppkey::VARCHAR, '-', l_quantity::INTEGER::VARCHAR) AS k, list(l_extendedprice::DOUBLE ORDER BY l_extendedprice) AS x, count(*) AS n FROM lineitem WHERE l_extendedprice IS NOT NULL GROUP BY l_suppkey, l_quantity::INTEGER),
+many AS (SELECT * FROM s WHERE n >= 10)""" + gumbel_sql("many") + f""",
+every AS (
+  SELECT k, n, {quantile_sql(0.5)} AS rp_2, {quantile_sql(0.8)} AS rp_5, {quantile_sql(0.95)} AS rp_25 FROM fits
+  UNION ALL SELECT k, n, """ + ", ".join(f"round(list_aggregate(x, 'quantile_cont', {p}) + 1e-9, 2)" for p in (0.5, 0.8, 0.95)) + """ FROM s WHERE n < 10)
+---
+SELECT 'grid' AS provider, k AS provider_reach_id, rp_2, rp_5, NULL::DOUBLE AS rp_10, rp_25, NULL::DOUBLE AS rp_50, NULL::DOUBLE AS rp_100, concat('{"sample_count":', n, '}') AS metadata_json FROM every""")
 def _(spark, d):
     key = F.col("s_suppkey")
     # a cell for each supplier and quantity: about 12 values, so that both fits occur
     cells = table(spark, d, "supplier").select(key, F.explode(F.sequence(F.lit(1), F.lit(50))).alias("q")).select(F.concat_ws("-", key, "q").alias("provider_reach_id"), (F.lit(10.0) + F.lit(0.05) * key).alias("lat"), (F.lit(20.0) + F.col("q")).alias("lon"))
-    return T.reach_thresholds_from_history(cells, cell_history(spark, d), "grid")
+    rows = T.reach_thresholds_from_history(cells, cell_history(spark, d), "grid")
+    return rows.withColumns({r: F.round(F.col(r) + F.lit(1e-9), 2) for r in ("rp_2", "rp_5", "rp_25")})
 
 
 @query(
@@ -677,23 +707,35 @@ def _(spark, d):
     return N.supported_reach_ids(ladders(spark, d), "reach")
 
 
+def held(spark, d):
+    """Stored rows; one run has no name, as null keys are keys too."""
+    return stats(spark, d).withColumn("run_id", F.when(F.col("run_id") != "1996010100", F.col("run_id")))
+
+
 def updates(spark, d):
-    """Half of the reaches again, with doubled flows, each row twice."""
-    rows = stats(spark, d).where("cast(provider_reach_id as int) % 2 = 0").withColumns({f: F.col(f) * 2 for f in S.FLOWS})
-    return rows.unionByName(rows)
+    """Two batches of half of the reaches again: flows times three, later times two."""
+    batches = F.explode(F.array(*(F.struct(F.lit(b).alias("batch"), F.lit(f).alias("factor")) for b, f in ((1, 3), (2, 2))))).alias("b")
+    rows = held(spark, d).where("cast(provider_reach_id as int) % 2 = 0").select("*", batches)
+    return rows.select(*S.TIME_KEYS, *((F.col(f) * F.col("b.factor")).alias(f) for f in S.FLOWS), "b.batch")
 
 
-UPSERT = BASE + "\n---\nSELECT provider, run_id, provider_reach_id, forecast_time_utc, " + ", ".join(f"{f} * CASE WHEN provider_reach_id::INTEGER % 2 = 0 THEN 2 ELSE 1 END AS {f}" for f in S.FLOWS) + " FROM ts"
+UPSERT = BASE + "\n---\nSELECT provider, CASE WHEN run_id <> '1996010100' THEN run_id END AS run_id, provider_reach_id, forecast_time_utc, " + ", ".join(f"{f} * CASE WHEN provider_reach_id::INTEGER % 2 = 0 THEN 2 ELSE 1 END AS {f}" for f in S.FLOWS) + " FROM ts"
 
 
 @query("set1_upsert", UPSERT, FLOWS)
 def _(spark, d):
-    return U.upsert(stats(spark, d), updates(spark, d), S.TIME_KEYS)
+    return U.upsert(held(spark, d), updates(spark, d), S.TIME_KEYS, "batch")
 
 
 @query("set1_upsert_twice", UPSERT, FLOWS)
 def _(spark, d):
-    return U.upsert(U.upsert(stats(spark, d), updates(spark, d), S.TIME_KEYS), updates(spark, d), S.TIME_KEYS)
+    return U.upsert(U.upsert(held(spark, d), updates(spark, d), S.TIME_KEYS, "batch"), updates(spark, d), S.TIME_KEYS, "batch")
+
+
+@query("set1_upsert_of_repeated_rows", UPSERT, FLOWS)
+def _(spark, d):
+    twice = updates(spark, d).where("batch = 2").drop("batch").select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("copy"))
+    return U.upsert(held(spark, d), twice, S.TIME_KEYS)
 
 
 @query("set2_last_wins", "SELECT user_id, arg_max(value, (ts, event_id))::DOUBLE AS value, max(ts)::TIMESTAMP AS ts FROM events GROUP BY user_id", "value")
@@ -854,6 +896,90 @@ def _(spark, d):
     return R.artifact_stats(spark.read.schema(S.SUMMARY_ARTIFACT).parquet(path)).select("row_count", (F.col("size_bytes") > 0).alias("has_bytes"))
 
 
+@query("src4_read_thresholds_file", ctes("fx_ladders") + ", kinds AS (SELECT unnest(['csv', 'pq']) AS kind)\n---\nSELECT kind, fx_ladders.* FROM fx_ladders, kinds", RUNGS)
+def _(spark, d):
+    rows = ladders(spark, d).withColumnsRenamed({"provider_reach_id": " River_ID ", "rp_2": "return_period_2", "rp_5": "Q5"}).drop("provider")
+    text, binary = R.scratch_path(spark, "ladders") + ".csv", R.scratch_path(spark, "ladders") + ".pq"
+    rows.write.option("header", True).csv(text)
+    rows.write.parquet(binary)
+    read = lambda path, kind: P.resolve_ladder(R.read_thresholds_file(spark, path), "reach").drop("metadata_json").withColumn("kind", F.lit(kind))
+    return read(text, "csv").unionByName(read(binary, "pq"))
+
+
+@query("src5_read_reach_tables", ctes("fx_reaches") + "\n---\nSELECT reach_id, lat, lon, reach_upstream_area_km2 * 1e6 AS \"DSContArea\" FROM fx_reaches", 'lat lon "DSContArea"')
+def _(spark, d):
+    rows = view(spark, d, "fx_reaches")
+    meta, attributes = R.scratch_path(spark, "meta"), R.scratch_path(spark, "attributes")
+    rows.select(F.col("reach_id").cast("bigint").alias("LINKNO"), "lat", "lon").write.parquet(meta)
+    rows.select(F.col("reach_id").cast("bigint").alias("LINKNO"), (F.col("reach_upstream_area_km2") * 1e6).alias("DSContArea")).write.parquet(attributes)
+    left, right = R.read_reach_tables(spark, meta, attributes)
+    return left.join(right, "LINKNO").select(F.col("LINKNO").cast("string").alias("reach_id"), "lat", "lon", "DSContArea")
+
+
+@query("src6_read_members", ctes("fx_members") + "\n---\nSELECT provider_reach_id, count(*) AS members, count(flow_cms) AS flows, sum(flow_cms) AS total FROM fx_members GROUP BY provider_reach_id", "total")
+def _(spark, d):
+    path = R.scratch_path(spark, "members")
+    members(spark, d).withColumn("flow_cms", F.coalesce("flow_cms", F.lit(float("nan")))).write.parquet(path)
+    return R.read_members(spark, path).groupBy("provider_reach_id").agg(F.count("*").alias("members"), F.count("flow_cms").alias("flows"), F.sum("flow_cms").alias("total"))
+
+
+@query("src6_read_grid_members", ctes("fx_members") + GRID + "\n---\nSELECT run_id, product, lat, count(*) AS members, count(flow_cms) AS flows, sum(flow_cms) AS total FROM grid GROUP BY run_id, product, lat", "lat total")
+def _(spark, d):
+    path = R.scratch_path(spark, "grid")
+    grid_members(spark, d).withColumn("flow_cms", F.coalesce("flow_cms", F.lit(float("nan")))).write.parquet(path)
+    return R.read_grid_members(spark, path).groupBy("run_id", "product", "lat").agg(F.count("*").alias("members"), F.count("flow_cms").alias("flows"), F.sum("flow_cms").alias("total"))
+
+
+@query("src6_read_threshold_grid", ctes("fx_cells") + "\n---\nSELECT grid_lat AS lat, grid_lon AS lon, 2::INTEGER AS return_period, rp_2 AS threshold FROM fx_cells", "lat lon threshold")
+def _(spark, d):
+    path = R.scratch_path(spark, "thresholds")
+    view(spark, d, "fx_cells").select(F.col("grid_lat").alias("lat"), F.col("grid_lon").alias("lon"), F.lit(2).alias("return_period"), F.col("rp_2").alias("threshold")).write.parquet(path)
+    return R.read_threshold_grid(spark, path)
+
+
+@query("snk3_preview", BASE + "\n---\nSELECT least(7, count(*)) AS shown, least(7, count(*)) AS of_the_table FROM ts")
+def _(spark, d):
+    path = R.scratch_path(spark, "preview")
+    stats(spark, d).write.parquet(path)
+    rows = spark.read.schema(S.TIMESERIES).parquet(path)
+    first = R.preview(rows, 7)
+    held = first.join(rows.select(*S.TIME_KEYS), S.TIME_KEYS, "left_semi").agg(F.count("*").alias("of_the_table"))
+    return R.preview(rows, 7).agg(F.count("*").alias("shown")).join(held)
+
+
+@query("snk4_signature", FULL + "\n---\nSELECT true AS same_again, true AS other_after_a_change FROM sums LIMIT 1")
+def _(spark, d):
+    path = R.scratch_path(spark, "stats")
+    rows = summaries(spark, d)
+    R.write_summary_artifact(rows, path)
+    read = lambda name: R.artifact_stats(spark.read.schema(S.SUMMARY_ARTIFACT).parquet(path)).select(F.col("signature").alias(name))
+    kept = R.scratch_path(spark, "signature")
+    read("before").join(read("again")).write.parquet(kept)
+    R.write_summary_artifact(rows.where("run_id = '1997010100' and is_flagged"), path)
+    return spark.read.parquet(kept).join(read("after")).select((F.col("before") == F.col("again")).alias("same_again"), (F.col("before") != F.col("after")).alias("other_after_a_change"))
+
+
+@query("prj6_normalize_rest_ladders", """SELECT 'reach' AS provider, CASE WHEN c_custkey % 3 = 0 THEN concat('r', c_custkey) WHEN c_custkey % 3 = 1 THEN concat('v', c_custkey) ELSE c_custkey::VARCHAR END AS provider_reach_id,
+       abs(c_acctbal::DOUBLE) AS rp_2, CASE WHEN c_custkey % 5 <> 0 THEN c_custkey::DOUBLE END AS rp_100 FROM customer""", "rp_2 rp_100")
+def _(spark, d):
+    k = F.col("c_custkey")
+    text = k.cast("string")
+    frame = table(spark, d, "customer").select(k.alias("row"), F.when(k % 3 == 0, F.concat(F.lit("r"), text)).when(k % 3 == 1, " ").alias("rivid"), F.when(k % 3 != 2, F.concat(F.lit("v"), text)).alias("river_id"), F.abs(F.col("c_acctbal").cast("double")).alias("return_period_2"), F.when(k % 5 == 0, "nan").otherwise(text).alias("return_period_100"))
+    return P.normalize_rest_ladders(frame, "reach", "row").select("provider", "provider_reach_id", "rp_2", "rp_100")
+
+
+@query("scl10_first_not_null", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'a' WHEN event_id % 3 = 0 THEN 'b' ELSE event_type END AS found FROM events")
+def _(spark, d):
+    e = F.col("event_id")
+    return table(spark, d, "events").select("event_id", X.first_not_null(F.when(e % 2 == 0, "a"), F.when(e % 3 == 0, "b"), "event_type").alias("found"))
+
+
+@query("scl12_payload_json", """SELECT event_id, concat('{"kind":"', event_type, '"', CASE WHEN event_id % 3 <> 0 THEN concat(',"user":', user_id) ELSE '' END, ',"known":', CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'false' END, '}') AS payload FROM events""")
+def _(spark, d):
+    e = F.col("event_id")
+    return table(spark, d, "events").select("event_id", X.payload_json(kind="event_type", user=F.when(e % 3 != 0, F.col("user_id")), known=e % 2 == 0).alias("payload"))
+
+
 # --- composite jobs -----------------------------------------------------------------------------
 
 
@@ -862,6 +988,12 @@ def _(spark, d):
     return C.prepare_timeseries(members(spark, d), ladders(spark, d), "reach", from_members=True)
 
 
+@query("cmp1_prepare_from_records", ctes("fx_ladders") + RAW + "\n---\nSELECT provider_reach_id, forecast_time_utc, flow_mean_cms, flow_max_cms FROM norm WHERE provider_reach_id IN (SELECT provider_reach_id FROM fx_ladders) AND coalesce(flow_mean_cms, flow_max_cms) IS NOT NULL", "flow_mean_cms flow_max_cms")
+def _(spark, d):
+    raw = raw_records(spark, d).drop("event_id").withColumn("run_id", F.lit("2026010100"))
+    return C.prepare_timeseries(raw, ladders(spark, d), "reach").select("provider_reach_id", "forecast_time_utc", "flow_mean_cms", "flow_max_cms")
+
+
 SUMS = FULL + "\n---\nSELECT * FROM sums WHERE provider_reach_id IN (SELECT provider_reach_id FROM fx_ladders)"
 
 
@@ -908,6 +1040,24 @@ def _(spark, d):
     return C.import_thresholds(target, "reach", long=threshold_long(spark, d), method="logpearson3").drop("metadata_json")
 
 
+@query("cmp7_import_thresholds_table", ctes("fx_ladders") + GUARD + "\n---\nSELECT provider, provider_reach_id, " + ", ".join(f"{r} * 2 AS {r}" for r in S.RUNGS) + " FROM guarded WHERE reason IS NULL", RUNGS)
+def _(spark, d):
+    target = L.sanitize_ladder(ladders(spark, d)).withColumn("metadata_json", F.lit(None).cast("string"))
+    wide = ladders(spark, d).select(F.col("provider_reach_id").alias("rivid"), *((F.col(r) * 2).cast("string").alias(r.replace("rp_", "q")) for r in S.RUNGS))
+    return C.import_thresholds(target, "reach", table=wide).drop("metadata_json")
+
+
+@query("cmp7_import_thresholds_history", """WITH RECURSIVE s AS (SELECT l_suppkey::VARCHAR AS k, list(l_extendedprice::DOUBLE ORDER BY l_extendedprice) AS x, count(*) AS n FROM lineitem WHERE l_extendedprice IS NOT NULL GROUP BY l_suppkey HAVING count(*) >= 10)""" + gumbel_sql("s") + f"""
+---
+SELECT 'grid' AS provider, k AS provider_reach_id, {quantile_sql(0.5)} AS rp_2, {quantile_sql(0.8)} AS rp_5, {quantile_sql(0.95)} AS rp_25, concat('{{"sample_count":', n, '}}') AS metadata_json FROM fits""")
+def _(spark, d):
+    history = table(spark, d, "lineitem").select(F.col("l_suppkey").cast("double").alias("lat"), F.lit(0.0).alias("lon"), F.col("l_extendedprice").cast("double").alias("flow_cms"))
+    cells = table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("provider_reach_id"), F.col("s_suppkey").cast("double").alias("lat"), F.lit(0.0).alias("lon"))
+    old = spark.createDataFrame([], S.RETURN_PERIODS)
+    rows = C.import_thresholds(old, "grid", reach_rows=T.reach_thresholds_from_history(cells, history, "grid"), require_all=False)
+    return rows.select("provider", "provider_reach_id", *(F.round(F.col(r) + F.lit(1e-9), 2).alias(r) for r in ("rp_2", "rp_5", "rp_25")), "metadata_json")
+
+
 @query("cmp9_hydrograph_series", BASE + """, l AS (SELECT provider, provider_reach_id, unnest(['rp_2','rp_5','rp_10','rp_25','rp_50','rp_100']) AS series, unnest([rp_2, rp_5, rp_10, rp_25, rp_50, rp_100]) AS value FROM fx_ladders),
 h AS (SELECT *, bool_or(flow_p25_cms IS NOT NULL) OVER w AND bool_or(flow_p75_cms IS NOT NULL) OVER w AS spread, bool_or(flow_max_cms IS NOT NULL) OVER w AS top FROM ts WINDOW w AS (PARTITION BY provider, run_id, provider_reach_id)),
 k AS (SELECT provider, run_id, provider_reach_id, forecast_time_utc, spread, top, unnest(['flow_mean_cms','flow_p25_cms','flow_p75_cms','flow_max_cms']) AS series, unnest([flow_mean_cms, flow_p25_cms, flow_p75_cms, flow_max_cms]) AS value FROM h)

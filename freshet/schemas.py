@@ -3,12 +3,11 @@
 from pyspark.sql import types as T
 
 
-def _struct(spec: str) -> T.StructType:
-    kinds = {"s": T.StringType(), "d": T.DoubleType(), "t": T.TimestampType(), "i": T.IntegerType(), "l": T.LongType(), "b": T.BooleanType()}
+def _ddl(text: str) -> T.StructType:
+    """Columns of a DDL text; Spark's own parser would need a session when this module is imported."""
     out = T.StructType()
-    for item in spec.split():
-        name, kind = item.split(":")
-        out.add(name, kinds[kind])
+    for column in text.split(", "):
+        out.add(*column.split(" "))
     return out
 
 
@@ -19,15 +18,15 @@ RUN_KEYS = ["provider", "run_id"]
 REACH_KEYS = [*RUN_KEYS, "provider_reach_id"]
 TIME_KEYS = [*REACH_KEYS, "forecast_time_utc"]
 
-RUNS = _struct("provider:s run_id:s run_date_utc:t issued_at_utc:t source_type:s ingest_status:s metadata_json:s")
-RETURN_PERIODS = _struct("provider:s provider_reach_id:s " + " ".join(f"{r}:d" for r in RUNGS) + " metadata_json:s")
-TIMESERIES = _struct("provider:s run_id:s provider_reach_id:s forecast_time_utc:t " + " ".join(f"{f}:d" for f in FLOWS) + " raw_payload_json:s")
-SUMMARY_ARTIFACT = _struct("provider:s run_id:s provider_reach_id:s peak_time_utc:t peak_mean_cms:d peak_median_cms:d peak_max_cms:d now_mean_cms:d now_max_cms:d return_period_band:s severity_score:d is_flagged:b")
-SUMMARIES = _struct("provider:s run_id:s provider_reach_id:s peak_time_utc:t first_exceedance_time_utc:t peak_mean_cms:d peak_median_cms:d peak_max_cms:d now_mean_cms:d now_max_cms:d return_period_band:s severity_score:i is_flagged:b metadata_json:s")
-CROSSWALK = _struct("reach_id:s target_provider:s grid_lat:d grid_lon:d upstream_area_km2:d reach_upstream_area_km2:d grid_upstream_area_km2:d area_ratio:d distance_km:d match_score:d match_method:s is_valid_match:b")
-MEMBERS = _struct("provider:s run_id:s provider_reach_id:s forecast_time_utc:t member:l flow_cms:d")
-GRID_MEMBERS = _struct("run_id:s product:s lat:d lon:d forecast_time_utc:t member:l flow_cms:d")
-THRESHOLD_LONG = _struct("river_id:l return_period:i method:s value:d max_simulated:d")
+RUNS = _ddl("provider string, run_id string, run_date_utc timestamp, issued_at_utc timestamp, source_type string, ingest_status string, metadata_json string")
+RETURN_PERIODS = _ddl("provider string, provider_reach_id string, rp_2 double, rp_5 double, rp_10 double, rp_25 double, rp_50 double, rp_100 double, metadata_json string")
+TIMESERIES = _ddl("provider string, run_id string, provider_reach_id string, forecast_time_utc timestamp, flow_mean_cms double, flow_median_cms double, flow_p25_cms double, flow_p75_cms double, flow_max_cms double, raw_payload_json string")
+SUMMARY_ARTIFACT = _ddl("provider string, run_id string, provider_reach_id string, peak_time_utc timestamp, peak_mean_cms double, peak_median_cms double, peak_max_cms double, now_mean_cms double, now_max_cms double, return_period_band string, severity_score double, is_flagged boolean")
+SUMMARIES = _ddl("provider string, run_id string, provider_reach_id string, peak_time_utc timestamp, first_exceedance_time_utc timestamp, peak_mean_cms double, peak_median_cms double, peak_max_cms double, now_mean_cms double, now_max_cms double, return_period_band string, severity_score integer, is_flagged boolean, metadata_json string")
+CROSSWALK = _ddl("reach_id string, target_provider string, grid_lat double, grid_lon double, upstream_area_km2 double, reach_upstream_area_km2 double, grid_upstream_area_km2 double, area_ratio double, distance_km double, match_score double, match_method string, is_valid_match boolean")
+MEMBERS = _ddl("provider string, run_id string, provider_reach_id string, forecast_time_utc timestamp, member long, flow_cms double")
+GRID_MEMBERS = _ddl("run_id string, product string, lat double, lon double, forecast_time_utc timestamp, member long, flow_cms double")
+THRESHOLD_LONG = _ddl("river_id long, return_period integer, method string, value double, max_simulated double")
 #: Raw records: numbers may come as text, so everything is read as text.
-RAW_FORECAST = _struct("provider_reach_id:s river_id:s forecast_time_utc:s time:s flow_avg:s flow_med:s flow_25p:s flow_75p:s flow_max:s " + " ".join(f"{f}:s" for f in FLOWS))
+RAW_FORECAST = _ddl("provider_reach_id string, river_id string, forecast_time_utc string, time string, flow_avg string, flow_med string, flow_25p string, flow_75p string, flow_max string, flow_mean_cms string, flow_median_cms string, flow_p25_cms string, flow_p75_cms string, flow_max_cms string")
 MAP_VIEW = ["provider", "run_id", "provider_reach_id", "peak_time_utc", "peak_mean_cms", "peak_median_cms", "peak_max_cms", "now_mean_cms", "now_max_cms", "return_period_band", "severity_score", "is_flagged"]

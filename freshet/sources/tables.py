@@ -115,6 +115,11 @@ def numbers(df: DataFrame, *names: str) -> DataFrame:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder of ``spark.checkpoint.dir``; where that is unset (tests), a temporary one."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-freshet-")
+    """A new path in the shared folder of ``spark.checkpoint.dir``. Where that is unset a local master (tests) gets a
+    temporary folder; a cluster's executors wouldn't share it, so there it is an error."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith(("local[", "local*")) and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        top = "file://" + tempfile.mkdtemp(prefix="spark-freshet-")
     return f"{top}/freshet-{name}-{uuid.uuid4().hex}"
