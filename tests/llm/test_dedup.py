@@ -231,3 +231,86 @@ def test_chain_is_the_best_of_all():
         total = lambda c: sum(segments[i][4] for i in c) - 0.05 * sum(segments[b][0] - segments[a][1] + segments[b][2] - segments[a][3] for a, b in zip(c, c[1:], strict=False))
         assert abs(max(map(total, chains)) - best_chain(segments, 5, 0.05)) < 1e-9
         assert sorted(i for c in chains for i in c) == list(range(len(segments)))
+
+
+def test_line_ranks_are_a_suffix_array(spark):
+    """Ranks sort like suffixes, each round's ranks are its longest-common-prefix intervals, runs are longest common prefixes."""
+    import random
+
+    rng = random.Random(5)
+    corpus = [(i, "\n".join(rng.choice("abc") for _ in range(rng.randrange(0, 14)))) for i in range(25)]
+    corpus += [(i + 100, t) for i, t in corpus[:6]]
+    docs = spark.createDataFrame(corpus, "doc_id long, text string")
+    name = {r.text: r.h for r in spark.createDataFrame([("a",), ("b",), ("c",)], "text string").select("text", F.xxhash64("text").alias("h")).collect()}
+    suffix = {(i, k): [name[x] for x in t.split("\n")[k:]] for i, t in corpus if t for k in range(len(t.split("\n")))}
+    for least in (1, 2, 3):
+        rounds = line_dedup.suffix_ranks(line_dedup.line_positions(docs), least)
+        lengths = [n for n, _ in rounds]
+        assert lengths[0] == 1 and least in lengths and lengths[-1] >= max(map(len, suffix.values()))
+        last = sorted((r["rank"], suffix[r.doc_id, r.i]) for r in rounds[-1][1].collect())
+        assert len(last) == len(suffix) == len({r for r, _ in last})
+        assert [s for _, s in last] == sorted(suffix.values())
+        for length, ranks in rounds:
+            groups = defaultdict(set)
+            for r in ranks.where("size > 1").collect():
+                groups[r["rank"]].add((r.doc_id, r.i))
+            want = defaultdict(set)
+            for at, s in suffix.items():
+                if len(s) >= length:
+                    want[tuple(s[:length])].add(at)
+            assert sorted(map(sorted, groups.values())) == sorted(sorted(x) for x in want.values() if len(x) > 1)
+        common = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+        th = {r.doc_id: r.th for r in docs.select("doc_id", F.xxhash64("text").alias("th")).collect()}
+        for r in line_dedup.repeated_runs(docs, least).collect():
+            assert (r["first"].doc_id, th[r["first"].doc_id], r["first"].i) < (r.doc_id, th[r.doc_id], r.start)
+            assert r.stop - r.start == common(suffix[r.doc_id, r.start], suffix[r["first"].doc_id, r["first"].i]) >= least
+
+
+def longest_common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b):
+            last, row[j + 1] = row[j + 1], last + 1 if x == y else max(row[j + 1], row[j])
+    return row[-1]
+
+
+def test_fuzzy_recall_and_precision(spark):
+    """Passages of 60 to 150 words, changed by substitutions, deletions, insertions or moved parts, in documents that share
+    common phrases: nearly all of identity 0.85 and more are found, and what is found is alike, by exhaustive alignment."""
+    import random
+
+    rng = random.Random(11)
+    common = [[f"c{p}w{j}" for j in range(8)] for p in range(30)]
+
+    def filler(n):
+        out = []
+        while len(out) < n:
+            out += rng.choice(common) if rng.random() < 0.3 else [f"f{rng.randrange(10**9)}" for _ in range(8)]
+        return out
+
+    rows, want, words = [], {}, {}
+    for case in range(150):
+        passage = [f"p{case}w{j}" for j in range(rng.randrange(60, 150))]
+        share, changed = rng.choice([0.03, 0.07, 0.12]), []
+        for x in passage:
+            u = rng.random()
+            changed += [] if u < share / 3 else [x, f"n{rng.randrange(10**9)}"] if u < share * 2 / 3 else [f"s{rng.randrange(10**9)}"] if u < share else [x]
+        if case % 5 == 0:
+            half = len(changed) // 2
+            changed = changed[half:] + filler(10) + changed[:half]
+        first, late = 2 * case, 2 * case + 1
+        for i, body in ((first, passage), (late, changed)):
+            words[i] = [*filler(rng.randrange(20, 60)), *body, *filler(rng.randrange(20, 60))]
+            rows.append((i, " ".join(words[i])))
+        alike = longest_common(passage, changed) / max(len(passage), len(changed))
+        if alike >= 0.85:
+            want[late] = first
+    got = substring_dedup.fuzzy_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    for r in got:
+        a, b = words[r.doc_id][r.start : r.stop], words[r.first_doc_id][r.first_start : r.first_stop]
+        assert r.stop - r.start >= 50 and longest_common(a, b) >= r.matches and r.matches / max(len(a), len(b)) >= 0.8
+    found = {(r.doc_id, r.first_doc_id) for r in got}
+    recall = sum(pair in found for pair in want.items()) / len(want)
+    precision = sum(b == a - 1 for a, b in found) / len(found)
+    assert len(want) > 80 and recall >= 0.95 and precision == 1, (recall, precision)

@@ -25,6 +25,53 @@ def test_stages_on_their_own_rows(spark):
         assert stage(spark, odd, d).count() == 2
 
 
+def test_stages_are_the_brute_force(spark, docs, corpus):
+    """The three dedup stages in a row give the texts that exhaustive versions give, and packing covers them."""
+    from test_dedup import brute_components, brute_lines
+    from tokenizers import Tokenizer
+
+    from freshet.llm import packing
+
+    plain = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    d, stages = f"{DATA}/sf0.001", dict(corpus_pipeline.STAGES)
+    lines = stages["lines"](spark, plain, d).cache()
+    cut = brute_lines(corpus, 2)
+    texts = {i: cut[i][0] if i in cut else None for i, _ in corpus}
+    assert {r.doc_id: r.text for r in lines.collect()} == texts
+    assert all(r.n_chars == len(r.text or "") for r in lines.collect())
+    single = stages["near_copies"](spark, lines, d).cache()
+    texts = {i: texts[i] for i, (_, c) in brute_components(texts.items()).items() if i == c}
+    assert {r.doc_id: r.text for r in single.collect()} == texts
+    bare = stages["substrings"](spark, single, d).cache()
+    seen: dict = {}
+    for i in sorted(texts):
+        raw = (texts[i] or "").encode()
+        gone = bytearray(len(raw))
+        for s in range(len(raw) - 49):
+            if seen.setdefault(raw[s : s + 50], i) < i:
+                gone[s : s + 50] = bytes([1]) * 50
+        if texts[i] is not None:
+            texts[i] = bytes(x for x, g in zip(raw, gone, strict=True) if not g).decode("utf-8", "ignore")
+    assert {r.doc_id: r.text for r in bare.collect()} == texts
+    tok = Tokenizer.from_file(packing.default_tokenizer())
+    got: dict = {}
+    for r in stages["packing"](spark, bare, d).collect():
+        got[r.doc_id] = got.get(r.doc_id, 0) + r.length
+    assert got == {i: len(tok.encode(t or "", add_special_tokens=False).ids) + 1 for i, t in texts.items()}
+
+
+def test_quality_stage_is_the_classifier(spark):
+    """The stage keeps exactly the rows whose score, from a model of the same labels, reaches 0.7."""
+    from freshet.llm import quality
+
+    d = f"{DATA}/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    stats = quality.document_statistics(docs)
+    model = quality.fit(stats, Q.training_labels(spark.read.parquet(f"{d}/labels.parquet")))
+    want = sorted(r.doc_id for r in quality.score_statistics(stats, model).where("score >= 0.7").collect())
+    assert sorted(r.doc_id for r in corpus_pipeline.STAGES[0][1](spark, docs, d).collect()) == want
+
+
 def test_run_is_the_stages(spark):
     d = f"{DATA}/sf0.001"
     assert corpus_pipeline.run(spark, d).where("length > 0").count() > 0

@@ -175,3 +175,36 @@ def test_viterbi_of_long_words(model):
     text = "".join(rng.choice("abcdefghij") for _ in range(200_000))
     assert model.decode([np.frombuffer(model.encode([text])[0], "<u2")]) == [text]
     assert not any(len(w) > sentencepiece_viterbi.LONG_WORD for w in model._words)
+
+
+def test_quality_is_the_ridge_and_isotonic_solution(spark):
+    """Weights, out-of-fold bins and calibration levels as one process computes them from all rows."""
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choice(["the", "river", "ran", "BUY", "now!!", "12"]) for _ in range(rng.randrange(1, 60)))) for i in range(400)]
+    labels = [(i, int(len(t) % 7 > 2)) for i, t in rows]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame(labels, "doc_id long, quality int")
+    model = quality.fit(quality.document_statistics(table), marks, n_features=24)
+    import pyarrow as pa
+
+    x, y = quality.text_statistics(pa.array([t for _, t in rows])), np.array([q for _, q in labels], float)
+    assert np.allclose(model.mean, x.mean(0)) and np.allclose(model.scale, np.maximum(x.std(0), 1e-6))
+    z = model.lift(x)
+    penalty = np.diag(np.full(z.shape[1], 3.0))
+    penalty[-1, -1] = 1e-9
+    assert np.allclose(model.weights, np.linalg.solve(z.T @ z + penalty, z.T @ y), atol=1e-6)
+    hashes = {r.doc_id: r.h for r in table.select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+    fold = np.array([hashes[i] for i, _ in rows]) % quality.FOLDS
+    raw = np.zeros(len(rows))
+    for k in range(quality.FOLDS):
+        rest = fold != k
+        raw[fold == k] = z[fold == k] @ np.linalg.solve(z[rest].T @ z[rest] + penalty, z[rest].T @ y[rest])
+    bins = np.clip(np.round(raw * 500), -2000, 3000)
+    edges = np.unique(bins)
+    mean, weight = np.array([y[bins == b].mean() for b in edges]), np.array([(bins == b).sum() for b in edges])
+    # the isotonic mean at i: the largest, over starts up to i, of the smallest mean of a stretch from there to i or beyond
+    stretch = lambda a, b: (mean[a : b + 1] * weight[a : b + 1]).sum() / weight[a : b + 1].sum()
+    want = [max(min(stretch(a, b) for b in range(i, len(edges))) for a in range(i + 1)) for i in range(len(edges))]
+    assert np.allclose(np.unique(np.round(want, 9)), np.unique(np.round(model.levels, 9)), atol=1e-6)
+    raw_all = z @ model.weights
+    assert np.allclose(model.score(x), np.clip(0.999 * np.interp(raw_all, model.knots, model.levels) + 0.001 / (1 + np.exp(-np.clip(4 * (raw_all - 0.5), -30, 30))), 0, 1))
