@@ -1,8 +1,13 @@
 """Corpus pipeline: quality classifier, line dedup, near-duplicate join, suffix-array dedup, packing.
 
 Each stage works on all rows that its predecessor kept, and its decisions take effect. All but the last return
-the columns of ``documents``; packing returns one row for each piece. Labels are looked up by doc_id.
-Rows with a null doc_id or text pass every stage as their operators define it.
+the columns of ``documents`` (and any further ones, whatever their names); packing returns one row for each piece. Labels are
+looked up by doc_id.
+
+Cases, at every stage: an empty table gives an empty table. A null text is scored as an empty one, and otherwise stays null; an
+empty text has no line, shingle or byte to lose and is packed as one end id. Rows with a null doc_id are scored and packed; they
+match nothing. Repeated rows: the quality stage judges each alike, line and byte cuts treat rows of one doc_id as one document,
+the near-copy stage keeps one. Texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from freshet.llm import line_dedup, ngram_join, packing, quality, suffix_dedup
-from freshet.llm.common import read_table, write_scratch
+from freshet.llm.common import packed, read_table, unpacked, write_scratch
 from freshet.llm.queries import training_labels
 
 
@@ -24,8 +29,10 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def no_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of line runs leave their texts; n_chars follows. Documents stay, if empty."""
-    cut = line_dedup.drop_repeated_lines(docs)
-    return cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    cut = line_dedup.drop_repeated_lines(docs.select("doc_id", "text", packed(docs)))
+    fewer = F.col("n_removed") > 0
+    own = {"text": F.col("text"), "n_chars": F.when(fewer, F.length("text").cast("bigint")).otherwise(F.col("row.n_chars")).alias("n_chars")}
+    return cut.select(*(own.get(c, whole) for c, whole in zip(docs.columns, unpacked(docs), strict=True)))
 
 
 def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,11 +45,11 @@ def no_repeated_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return suffix_dedup.cut_texts(docs)
 
 
-def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def into_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs).drop("ids")
 
 
-STAGES = [("quality", good_quality), ("lines", no_repeated_lines), ("near_copies", no_near_copies), ("substrings", no_repeated_bytes), ("packing", packed)]
+STAGES = [("quality", good_quality), ("lines", no_repeated_lines), ("near_copies", no_near_copies), ("substrings", no_repeated_bytes), ("packing", into_sequences)]
 #: The classifier and the tokenizer have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
