@@ -5,7 +5,7 @@ goes to the posting list of its nearest centroid, and, near a boundary, to those
 distance is within ``1 + closure`` times the nearest's. A query searches the lists whose distance is within
 ``1 + prune`` times the nearest's, ``max_lists`` of them at most. Both bounds grow as
 far as it takes: up to ``held_out`` queries, left out of the sample, are first compared with every vector, and the lists
-that hold their true neighbours give the least prune and max_lists that find the share ``recall`` of them. Lists longer than ``part_rows`` are dealt out in parts, so tasks stay even. Scores are exact
+that hold their true neighbours give the least prune and max_lists that find the share ``recall`` of them. ``cell_lists`` lists are one group of the join, and groups of over ``part_rows`` rows are dealt out in parts, so tasks stay even. Scores are exact
 cosines of the original vectors in double precision. ``exact`` makes one list of all vectors, in parts, so that every
 query meets every vector.
 
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import write_scratch
+from .common import list_array, write_scratch
 from .topk_search import one_vector
 
 
@@ -194,7 +194,31 @@ def _lists(rows: DataFrame, shared, width: int, beam: int, ratio: float, least:
     return rows.mapInArrow(run, "id long, v array<double>, list long")
 
 
-def nearest(candidates: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", list_rows: int = 64, part_rows: int = 4096, sample_rows: int = 32_768, max_centroids: int = 16_384, closure: float = 0.1, replicas: int = 4, prune: float = 0.1, min_lists: int = 1, max_lists: int = 8, recall: float = 0.98, held_out: int = 256, exact: bool = False, seed: int = 5) -> DataFrame:
+def _probes(rows: DataFrame, shared, width: int, ratio: float, least: int, most: int, cell_lists: int) -> DataFrame:
+    """(id, v, cell, lists) of each query for each cell of ``cell_lists`` lists in which it searches some."""
+
+    def run(batches):
+        graph = shared.value
+        for batch in batches:
+            for i in range(0, batch.num_rows, 512):
+                part = batch.slice(i, 512)
+                nodes, cos = graph.search(_unit(_vectors(part.column(1), width)), most)
+                row, at = np.nonzero(_kept(nodes, cos, ratio, least, most))
+                node = nodes[row, at]
+                order = np.lexsort((node, row))
+                row, node = row[order], node[order]
+                cell = node // cell_lists
+                new = np.ones(len(row), bool)
+                new[1:] = (row[1:] != row[:-1]) | (cell[1:] != cell[:-1])
+                heads = np.flatnonzero(new)
+                sizes = np.diff(np.concatenate([heads, [len(row)]]))
+                own = pa.array(row[heads])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(own), part.column(1).take(own), pa.array(cell[heads]), list_array(node, sizes, pa.int64())], names=["id", "v", "cell", "lists"])
+
+    return rows.mapInArrow(run, "id long, v array<double>, cell long, lists array<long>")
+
+
+def nearest(candidates: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", list_rows: int = 64, part_rows: int = 4096, sample_rows: int = 32_768, max_centroids: int = 16_384, cell_lists: int = 32, closure: float = 0.1, replicas: int = 4, prune: float = 0.1, min_lists: int = 1, max_lists: int = 8, recall: float = 0.98, held_out: int = 256, exact: bool = False, seed: int = 5) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest candidates found for each query."""
     valid = lambda rows: one_vector(rows, key, vector).where(F.exists("v", lambda x: x != 0))
     rows, wanted = valid(candidates), valid(queries)
@@ -214,33 +238,41 @@ def nearest(candidates: DataFrame, queries: DataFrame, k: int, key: str = "vec_i
         true = true_neighbours(kept, tried_ids, tried_v, k)
         prune, max_lists = bounds_for_recall(graph, tried_v, np.array([r["query"] for r in true], np.int64), unit(true), (16, closure, replicas), prune, min_lists, max_lists, recall)
     postings = write_scratch(_lists(kept.select("id", "v"), shared, width, 16, closure, 1, replicas), "postings")
-    probes = _lists(wanted, shared, width, max_lists, prune, min_lists, max_lists)
-    # a list's rows lie in parts of about part_rows; its queries go to each part
-    parts = postings.groupBy("list").agg(F.ceil(F.count("*") / part_rows).alias("parts"))
-    left = postings.join(parts, "list").select("id", "v", "list", F.pmod(F.xxhash64("id"), "parts").alias("part"))
-    right = probes.join(parts, "list").select("id", "v", "list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    probes = _probes(wanted.select("id", "v"), shared, width, prune, min_lists, max_lists, cell_lists)
+    # neighbouring numbers of lists are one cell; a cell's rows lie in parts of about part_rows, its queries go to each part
+    cells = postings.withColumn("cell", F.floor(F.col("list") / cell_lists))
+    parts = cells.groupBy("cell").agg(F.ceil(F.count("*") / part_rows).alias("parts"))
+    left = cells.join(parts, "cell").select("id", "v", "list", "cell", F.pmod(F.xxhash64("id"), "parts").alias("part"))
+    right = probes.join(parts, "cell").select("id", "v", "lists", "cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
         if a.num_rows and b.num_rows:
-            ids, x = a.column("id").to_numpy(), _scaled(_vectors(a.column("v"), width))
+            order = np.argsort(a.column("list").to_numpy(), kind="stable")
+            lists, ids = a.column("list").to_numpy()[order], a.column("id").to_numpy()[order]
+            x = _scaled(_vectors(a.column("v"), width))[order]
             norm = _norms(x)
-            for own, q in zip(b.column("id").to_numpy(), _scaled(_vectors(b.column("v"), width)), strict=True):
-                score = (x * q).sum(axis=1) / (norm * np.sqrt((q * q).sum()))
-                score[ids == own] = -np.inf
+            names, rows = np.unique(lists, return_index=True)
+            held = dict(zip(names.tolist(), np.split(np.arange(len(ids)), rows[1:]), strict=True))
+            for own, q, wanted_lists in zip(b.column("id").to_numpy(), _scaled(_vectors(b.column("v"), width)), b.column("lists").to_pylist(), strict=True):
+                some = [held[n] for n in wanted_lists if n in held]
+                if not some:
+                    continue
+                rows = np.concatenate(some)
+                _, once = np.unique(ids[rows], return_index=True)  # a vector may lie in several lists
+                rows = rows[once]
+                rows = rows[ids[rows] != own]
+                score = (x[rows] * q).sum(axis=1) / (norm[rows] * np.sqrt((q * q).sum()))
+                best = np.arange(len(rows))
                 if len(score) > k:
-                    least = np.partition(score, len(score) - k)[len(score) - k]
-                    best = np.flatnonzero(score >= least)
-                    best = best[np.lexsort((ids[best], -score[best]))][:k]
-                else:
-                    best = np.arange(len(score))
-                best = best[score[best] > -np.inf]
+                    best = np.flatnonzero(score >= np.partition(score, len(score) - k)[len(score) - k])
+                    best = best[np.lexsort((ids[rows[best]], -score[best]))][:k]
                 out[0].append(np.full(len(best), own))
-                out[1].append(ids[best])
+                out[1].append(ids[rows[best]])
                 out[2].append(score[best])
         return pa.table({"query_id": np.concatenate(out[0]), "vec_id": np.concatenate(out[1]), "score": np.concatenate(out[2])})
 
-    found = left.groupBy("list", "part").cogroup(right.groupBy("list", "part")).applyInArrow(run, "query_id long, vec_id long, score double")
+    found = left.groupBy("cell", "part").cogroup(right.groupBy("cell", "part")).applyInArrow(run, "query_id long, vec_id long, score double")
     single = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return single.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
