@@ -170,16 +170,29 @@ def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame
     return both.mapInArrow(run, "a long, b long")
 
 
+def block_pairs(groups: DataFrame, block: int) -> DataFrame:
+    """(lead, i, j, doc_id, component_id): each document once for each pair of blocks that it takes part in."""
+    sizes = groups.groupBy("lead", "component_id").agg(F.count("*").alias("n")).groupBy("lead").agg(F.max(F.struct("n", "component_id")).alias("top"), F.sum("n").alias("n"))
+    blocks = lambda n: F.ceil(n / block)
+    cut = sizes.select("lead", F.col("top.component_id").alias("largest"), blocks(F.col("top.n")).alias("of_largest"), blocks(F.col("n") - F.col("top.n")).alias("of_others"))
+    mine = groups.join(cut, "lead").withColumn("in_largest", F.col("component_id") == F.col("largest"))
+    number = lambda n: F.pmod(F.xxhash64("doc_id"), n)
+    own = F.when(F.col("in_largest"), F.col("of_others") + number(F.col("of_largest"))).otherwise(number(F.col("of_others")))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    partners = F.when(F.col("in_largest"), upto(F.col("of_others"))).otherwise(upto(F.col("of_others") + F.col("of_largest")))
+    pairs = mine.where("of_others > 0").withColumn("own", own).withColumn("other", F.explode(partners))
+    return pairs.select("lead", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc_id", "component_id")
+
+
 def link_components(groups: DataFrame, docs: DataFrame, k: int, percent: int, block: int = 512) -> DataFrame:
     """Links (a, b) that join different components within groups (lead, doc_id, component_id).
 
-    A group is cut into blocks of about ``block`` documents and every pair of blocks is one unit of work, so a task holds
-    two blocks. Inside it, whole sets are compared by a product of their incidence matrices; pairs are not written out,
-    only the links that still join components.
+    Members of a group's largest component needn't meet each other. They and the others are cut into blocks of
+    about ``block`` documents each, and every pair of blocks that are not both of the largest component is one unit of work, so a
+    task holds two blocks, and a group with few others is sent about once. Inside a task, whole sets are compared by a product
+    of their incidence matrices; pairs are not written out, only the links that still join components.
     """
-    sizes = groups.groupBy("lead").agg(F.ceil(F.count("*") / block).alias("blocks"))
-    mine = groups.join(sizes, "lead").withColumn("own", F.pmod(F.xxhash64("doc_id"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    keyed = mine.select("lead", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc_id", "component_id")
+    keyed = block_pairs(groups, block)
     texts = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
     rows = keyed.join(texts, "doc_id").select("lead", "i", "j", "doc_id", "component_id", "text").repartition("lead", "i", "j").sortWithinPartitions("lead", "i", "j")
 

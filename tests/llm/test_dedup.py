@@ -102,6 +102,18 @@ def test_group_blocks(spark):
     assert {i: got.get(i, i) for i in want} == want
 
 
+def test_group_blocks_stay_linear(spark):
+    """A group of one large component and a few others is sent about once, and an outsider's link is found."""
+    base = [f"w{i}" for i in range(60)]
+    corpus = [(i, " ".join(base[:55] + [f"x{i}"] + base[56:])) for i in range(600)] + [(600, " ".join(base[:57] + ["a", "b", "c"])), (601, " ".join(f"q{i}" for i in range(40)))]
+    df = spark.createDataFrame(corpus, "doc_id long, text string")
+    groups = df.select(F.lit(0).cast("long").alias("lead"), "doc_id", F.when(F.col("doc_id") < 600, 0).otherwise(F.col("doc_id")).cast("long").alias("component_id"))
+    links = [(r.a, r.b) for r in ngram_join.link_components(groups, df, 5, 80, block=16).collect()]
+    assert links and all({a, b} & {600} for a, b in links)
+    sent = ngram_join.block_pairs(groups, 16).count()
+    assert sent <= 602 + 2 * (600 // 16 + 2)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 7), (50, 51), (51, 52), (60, 60)]
     got = {r.id: r.component_id for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
