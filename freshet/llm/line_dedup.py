@@ -27,33 +27,38 @@ n_removed or n_runs are replaced by its own.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import drop_scratch, packed, unpacked, write_scratch
 
-BLANK = r"^[ \t\r]*$"
+BLANKS = " \t\r"
 PLACE = ["doc_id", "th", "i"]
 
 
+def solid(line: Column) -> Column:
+    """Whether a line has more than blanks."""
+    return F.trim(line, F.lit(BLANKS)) != ""
+
+
 def line_positions(docs: DataFrame) -> DataFrame:
     """(doc_id, th, i, line, after): i-th non-blank line of a document, its hash and that of the next."""
-    lines = F.filter(F.transform(F.split("text", "\n", -1), lambda x: F.when(~x.rlike(BLANK), F.xxhash64(x))), lambda x: x.isNotNull())
+    lines = F.filter(F.transform(F.split("text", "\n", -1), lambda x: F.when(solid(x), F.xxhash64(x))), lambda x: x.isNotNull())
     rows = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("th"), lines.alias("x")).dropDuplicates(["doc_id", "th"])
     pairs = F.transform("x", lambda line, i: F.struct(line.alias("line"), F.try_element_at("x", (i + 2).cast("int")).alias("after")))
     return rows.select("doc_id", "th", pairs.alias("x")).select("doc_id", "th", F.posexplode("x").alias("i", "l")).select(*PLACE, "l.line", "l.after")
 
 
 def _ranked(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """``rows`` with rank, first and size of their class of equal ``keys``; ranks follow the order of the keys."""
-    classes = rows.groupBy(*keys).agg(F.min(F.struct(*PLACE)).alias("first"), F.count("*").alias("size"))
+    """``rows`` with rank and size of their class of equal ``keys``; ranks follow the order of the keys."""
+    classes = rows.groupBy(*keys).agg(F.count("*").alias("size"))
     named = classes.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("new", F.monotonically_increasing_id())
-    return write_scratch(rows.join(named, keys).select(*PLACE, F.col("new").alias("rank"), "first", "size"), "ranks")
+    return write_scratch(rows.join(named, keys).select(*PLACE, F.col("new").alias("rank"), "size"), "ranks")
 
 
 def suffix_ranks(positions: DataFrame, min_lines: int) -> list[tuple[int, DataFrame]]:
-    """(length, ranks) of each round: (doc_id, th, i, rank, first, size). Lengths double, from 1 to ``min_lines`` and on from
+    """(length, ranks) of each round: (doc_id, th, i, rank, size). Lengths double, from 1 to ``min_lines`` and on from
     there, until all ranks are unique. The last one's order is the suffix array's."""
     positions = write_scratch(positions, "positions")
     again = positions.groupBy("line").agg(F.count("*").alias("n")).where("n > 1").select("line")
@@ -82,14 +87,15 @@ def repeated_runs(docs: DataFrame, min_lines: int = 2) -> DataFrame:
     exclusive, and the earlier position. Runs inside another with the same earlier copy are left out."""
     rounds = suffix_ranks(line_positions(docs), min_lines)
     place = F.struct(*PLACE)
-    shared = [(length, ranks.where("size > 1").select(*PLACE, "rank", "first")) for length, ranks in rounds]
+    shared = [(length, ranks.where("size > 1").select(*PLACE, "rank")) for length, ranks in rounds]
     late = None
     for k, (length, ranks) in enumerate(shared):
         if length >= min_lines:
-            part = ranks.where(place != F.col("first")).select(*PLACE, F.struct(F.lit(k).alias("round"), F.lit(length).cast("long").alias("length"), "first").alias("top"))
+            earliest = ranks.groupBy("rank").agg(F.min(place).alias("first"))
+            part = ranks.join(earliest, "rank").where(place != F.col("first")).select(*PLACE, F.struct(F.lit(k).alias("round"), F.lit(length).cast("long").alias("length"), "first").alias("top"))
             late = part if late is None else late.unionByName(part)
     if late is None:
-        return shared[0][1].select("doc_id", "th", F.col("i").cast("long").alias("start"), F.col("i").cast("long").alias("stop"), "first").limit(0)
+        return shared[0][1].select("doc_id", "th", F.col("i").cast("long").alias("start"), F.col("i").cast("long").alias("stop"), place.alias("first")).limit(0)
     tops = late.groupBy(*PLACE).agg(F.max("top").alias("top")).select(*PLACE, "top.*")
     by_doc = W.partitionBy("doc_id", "th").orderBy("i")
     before = F.lag(F.struct("i", "first")).over(by_doc)
@@ -123,11 +129,11 @@ def drop_repeated_lines(docs: DataFrame, min_lines: int = 2) -> DataFrame:
     runs = merged_runs(repeated_runs(docs.select("doc_id", "text"), min_lines)).groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "stop")).alias("runs"))
     rows = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text"), F.xxhash64("text").alias("th"), packed(docs)).join(runs, ["doc_id", "th"], "left")
     lines = F.split("text", "\n", -1)
-    solid = F.filter(F.transform("lines", lambda x, i: F.when(~x.rlike(BLANK), i)), lambda i: i.isNotNull())
+    spots = F.filter(F.transform("lines", lambda x, i: F.when(solid(x), i)), lambda i: i.isNotNull())
     gone = F.flatten(F.transform("runs", lambda r: F.slice("solid", (r["start"] + 1).cast("int"), (r["stop"] - r["start"]).cast("int"))))
     kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
     text = F.when(F.col("runs").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.element_at("lines", i + 1)), "\n"))
-    out = rows.withColumn("lines", F.when(F.col("text").isNotNull(), lines)).withColumn("solid", F.when(F.col("runs").isNotNull(), solid)).withColumn("gone", F.when(F.col("runs").isNotNull(), gone))
+    out = rows.withColumn("lines", F.when(F.col("text").isNotNull(), lines)).withColumn("solid", F.when(F.col("runs").isNotNull(), spots)).withColumn("gone", F.when(F.col("runs").isNotNull(), gone))
     columns = dict(zip([c for c in docs.columns if c not in own], unpacked(docs, own), strict=True)) | {"text": text.alias("text")}
     count = lambda c: F.coalesce(F.when(F.col(c).isNotNull(), F.size(c)), F.lit(0)).cast("bigint")
     return out.select(*columns.values(), *(count(c).alias(n) for c, n in zip(("lines", "gone", "runs"), own, strict=True)))
