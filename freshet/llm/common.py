@@ -115,7 +115,27 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
-_BASE = np.uint64(0x100000001B3 | 1)
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_POWERS: list[tuple[np.ndarray, np.ndarray]] = []
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of an odd base and of its inverse modulo 2 ** 64; up to 4 million are kept."""
+    if _POWERS and len(_POWERS[0][0]) >= n:
+        return _POWERS[0][0][:n], _POWERS[0][1][:n]
+    size = max(n, 1 << 17)
+    both = tuple(np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, base)])) for base in (_BASE, _INVERSE))
+    if size <= 1 << 22:
+        _POWERS[:] = [both]
+    return both[0][:n], both[1][:n]
+
+
+def running_sums(values: np.ndarray, power: np.ndarray) -> np.ndarray:
+    """Sums of values times powers, from 0 on: the difference of two, times an inverse power, hashes what lies between."""
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * power, out=sums[1:])
+    return sums
 
 
 def text_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -151,15 +171,9 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     ends = np.flatnonzero(last) + 1
     if not len(starts):
         return np.zeros(0, np.uint64), starts, ends, np.zeros(n_docs + 1, np.int64)
-    lengths = ends - starts
-    which = np.repeat(np.arange(len(starts)), lengths)
-    at = np.flatnonzero(is_word)
-    power = np.ones(int(lengths.max()), np.uint64)
-    if len(power) > 1:
-        power[1:] = np.cumprod(np.full(len(power) - 1, _BASE, np.uint64))
-    terms = _BYTE[_LOWER[data[at]]] * power[at - starts[which]]
-    sums = np.add.reduceat(terms, np.concatenate([[0], np.cumsum(lengths)[:-1]]))
-    hashes = mix64(sums ^ mix64(lengths.astype(np.uint64)))
+    power, inverse = powers(len(data))
+    sums = running_sums(_BYTE[_LOWER][data], power)
+    hashes = mix64((sums[ends] - sums[starts]) * inverse[starts] ^ mix64((ends - starts).astype(np.uint64)))
     return hashes, starts, ends, np.searchsorted(starts, offsets).astype(np.int64)
 
 
