@@ -305,8 +305,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, frequent_
     likely = counted.where(F.col("c") >= enough).select("a", "b").join(tested, ["a", "b"], "left_anti")
     near = write_scratch(verify(filtered(likely), docs, k, percent), "links")
     groups = write_scratch(still.where(F.col("size") > small_bucket).select("lead", "doc_id", "component_id").distinct(), "groups")
-    more = near.unionByName(write_scratch(link_components(groups, docs, k, percent), "links"))
-    final = components(links.unionByName(more).unionByName(copies).distinct())
+    across = write_scratch(link_components(groups, docs, k, percent), "links")
+    final = components(links.unionByName(near).unionByName(across).unionByName(copies).distinct())
+    drop_scratch(tested, still, groups, links, near, across, copies)
     out = sets.select("doc_id", F.col("n").alias("n_shingles")).join(final.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
