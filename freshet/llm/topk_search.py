@@ -25,7 +25,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BLOCK_ROWS, BLOCK_QUERIES = 4096, 512
+from .common import write_scratch
+
+BLOCK_ROWS, BLOCK_QUERIES = 4096, 1024
 
 
 def finite(vector: str) -> Column:
@@ -93,7 +95,7 @@ def _matrix(table: pa.Table, width: int) -> np.ndarray:
 def top_inner_products(candidates: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", scale: float = 64.0) -> DataFrame:
     """query_id, rank (from 1), vec_id, score for each query's k highest integer inner products."""
     as_int = lambda rows: one_vector(rows, key, vector).select("id", F.transform("v", lambda x: F.floor(x * scale).cast("bigint")).alias("v"))
-    c, q = as_int(candidates), as_int(queries)
+    c, q = write_scratch(as_int(candidates), "vectors"), write_scratch(as_int(queries), "queries")
     largest = F.max(F.aggregate("v", F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x.cast("double")))))
     shape = [F.count("*").alias("n"), F.max(F.size("v")).alias("d"), largest.alias("most")]
     sizes, n_q = c.agg(*shape).first(), q.agg(*shape).first()
