@@ -35,7 +35,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _BYTE, byte_slices, drop_scratch, list_array, mix64, packed, signed, text_buffers, unpacked, write_scratch
+from .common import _BYTE, byte_slices, drop_scratch, list_array, mix64, packed, signed, text_buffers, write_scratch
 
 _MUL = mix64(np.arange(64, dtype=np.uint64)) | np.uint64(1)
 _SHIFT = np.uint64(31)
@@ -260,29 +260,36 @@ def _cut(raw: bytes, places: np.ndarray | None, span: int) -> tuple[bytes, int,
     return np.frombuffer(raw, np.uint8)[~gone].tobytes(), int(gone.sum()), runs
 
 
-def remove_repeats(docs: DataFrame, span: int = 50, k: int = 20) -> DataFrame:
-    """``docs`` (doc_id, text and any further columns) with kept_bytes, n_bytes, n_removed, n_spans."""
-    own = ("kept_bytes", "n_bytes", "n_removed", "n_spans")
+def _kept(docs: DataFrame, span: int, k: int, as_text: bool) -> DataFrame:
+    """(row: all columns but text, text, kept, n_bytes, n_removed, n_spans); kept is binary, or text without the characters
+    that a cut splits."""
     places = repeated_spans(docs.select("doc_id", "text"), span, k).groupBy("doc_id").agg(F.collect_list("place").alias("places"))
-    others = [c for c in docs.columns if c != "text"]
-    both = docs.select("doc_id", "text", packed(docs.select(*(F.col(f"`{c}`") for c in others)))).join(places, "doc_id", "left").select("row", "text", "places")
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    both = docs.select("doc_id", "text", packed(docs.select(*others))).join(places, "doc_id", "left").select("row", "text", "places")
+    names = ["row", "text", "kept", "n_bytes", "n_removed", "n_spans"]
 
     def run(batches):
         for batch in batches:
-            kept, n, gone, runs = [], [], [], []
-            texts, lists = batch.column(1), batch.column(2)
-            for i in range(batch.num_rows):
-                raw = (texts[i].as_py() or "").encode()
-                a, b, c = _cut(raw, lists[i].values.to_numpy() if lists[i].is_valid else None, span)
-                kept.append(a), n.append(len(raw)), gone.append(b), runs.append(c)
-            yield pa.RecordBatch.from_arrays([batch.column(0), texts, pa.array(kept, pa.binary()), *(pa.array(x, pa.int64()) for x in (n, gone, runs))], names=["row", "text", *own])
+            for part in byte_slices(batch, limit=8_000_000):
+                kept, n, gone, runs = [], [], [], []
+                texts, lists = part.column(1), part.column(2)
+                for i in range(part.num_rows):
+                    raw = (texts[i].as_py() or "").encode()
+                    a, b, c = _cut(raw, lists[i].values.to_numpy() if lists[i].is_valid else None, span)
+                    kept.append(a.decode("utf-8", "ignore") if as_text else a), n.append(len(raw)), gone.append(b), runs.append(c)
+                yield pa.RecordBatch.from_arrays([part.column(0), texts, pa.array(kept, pa.string() if as_text else pa.binary()), *(pa.array(x, pa.int64()) for x in (n, gone, runs))], names=names)
 
     out = T.StructType([both.schema["row"], both.schema["text"]])
-    for name, kind in zip(own, ("binary", "long", "long", "long"), strict=True):
+    for name, kind in zip(names[2:], ("string" if as_text else "binary", "long", "long", "long"), strict=True):
         out = out.add(name, kind)
-    done = both.mapInArrow(run, out)
+    return both.mapInArrow(run, out)
+
+
+def remove_repeats(docs: DataFrame, span: int = 50, k: int = 20) -> DataFrame:
+    """``docs`` (doc_id, text and any further columns) with kept_bytes, n_bytes, n_removed, n_spans."""
+    own = ("kept_bytes", "n_bytes", "n_removed", "n_spans")
     columns = [F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns if c not in own]
-    return done.select(*columns, *own)
+    return _kept(docs, span, k, as_text=False).select(*columns, F.col("kept").alias("kept_bytes"), *own[1:])
 
 
 def kept_digest(removed: DataFrame) -> DataFrame:
@@ -292,19 +299,10 @@ def kept_digest(removed: DataFrame) -> DataFrame:
 def cut_texts(docs: DataFrame, span: int = 50, k: int = 20) -> DataFrame:
     """``docs`` with their columns, where text is what :func:`remove_repeats` keeps, less characters that a cut
     splits; n_chars, if there is one, follows. A null text stays null."""
-    plain = docs.select("doc_id", "text", packed(docs))
-    removed = remove_repeats(plain, span, k).select("row", "text", "kept_bytes", "n_removed")
-
-    def run(batches):
-        for batch in batches:
-            kept = pa.array([x.decode("utf-8", "ignore") for x in batch.column(2).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), kept, batch.column(3)], names=["row", "text", "kept", "n_removed"])
-
-    schema = T.StructType([removed.schema["row"], removed.schema["text"], T.StructField("kept", T.StringType()), removed.schema["n_removed"]])
     cut = (F.col("n_removed") > 0) & F.col("text").isNotNull()
     own = {"text": F.when(cut, F.col("kept")).otherwise(F.col("text")).alias("text")}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         own["n_chars"] = F.when(cut, F.length("kept").cast(kind)).otherwise(F.col("row.n_chars")).alias("n_chars")
-    columns = dict(zip(docs.columns, unpacked(docs), strict=True)) | own
-    return removed.mapInArrow(run, schema).select(*columns.values())
+    columns = [own[c] if c in own else F.col("row").getField(c).alias(c) for c in docs.columns]
+    return _kept(docs, span, k, as_text=True).select(*columns)
