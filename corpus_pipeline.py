@@ -23,8 +23,9 @@ from freshet.llm.queries import training_labels
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score reaches 0.7; the rest go."""
     labels = training_labels(read_table(spark, sf_dir, "labels"))
-    rows = write_scratch(quality.with_statistics(docs), "quality")
-    return quality.keep_good(rows, quality.fit(rows.select("doc_id", "stats"), labels))
+    labelled = docs.join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
+    model = quality.fit(write_scratch(quality.document_statistics(labelled), "quality"), labels)
+    return quality.keep_good(quality.with_statistics(docs), model)
 
 
 def no_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
