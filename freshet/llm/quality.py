@@ -23,9 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+from pyspark.sql.types import StructType
 
-from .common import byte_slices, list_array, mix64, mix_pair, packed, text_buffers, word_hashes
+from .common import byte_slices, list_array, mix64, mix_pair, packed, text_buffers, unpacked, word_hashes
 
 TRAIN_PARTITIONS = 16
 FOLDS = 3
@@ -237,27 +237,15 @@ def score_statistics(stats: DataFrame, model: QualityModel, key: str = "doc_id")
     return stats.select(F.col(key).alias("key"), "stats").mapInArrow(run, f"key {kind}, score double").withColumnRenamed("key", key)
 
 
-def with_statistics(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, stats, row): the statistics of every row beside all its columns."""
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), packed(docs))
+def keep_good(docs: DataFrame, model: QualityModel, threshold: float = 0.7, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score at least ``threshold``, with all their columns; statistics and scores are made in
+    one pass, so a task needs one Python worker."""
+    rows = docs.select(F.col(f"`{text}`").alias("text"), packed(docs))
 
     def run(batches):
         for batch in batches:
             for part in byte_slices(batch, "text"):
-                stats = text_statistics(part.column(1))
-                yield pa.RecordBatch.from_arrays([part.column(0), list_array(stats.ravel(), np.full(len(stats), N_FEATURES), pa.float64()), part.column(2)], names=[key, "stats", "row"])
-
-    kind = StructType([StructField(key, rows.schema["key"].dataType), StructField("stats", ArrayType(DoubleType())), rows.schema["row"]])
-    return rows.mapInArrow(run, kind)
-
-
-def keep_good(rows: DataFrame, model: QualityModel, threshold: float = 0.7) -> DataFrame:
-    """Of rows of :func:`with_statistics`, those that score at least ``threshold``, with the columns they came with."""
-
-    def run(batches):
-        for batch in batches:
-            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, N_FEATURES)
-            yield batch.select(["row"]).filter(pa.array(model.score(x) >= threshold))
+                score = model.score(text_statistics(part.column(0)))
+                yield part.select(["row"]).filter(pa.array(score >= threshold))
 
-    kept = rows.select("stats", "row").mapInArrow(run, StructType([rows.schema["row"]]))
-    return kept.select(*(F.col("row").getField(c).alias(c) for c in rows.schema["row"].dataType.names))
+    return rows.mapInArrow(run, StructType([rows.schema["row"]])).select(*unpacked(docs))

@@ -42,7 +42,7 @@ def sentencepiece(docs):
     return read.select("doc_id", "text")
 
 
-KEEPS_ROWS = {"suffix": suffix_dedup.remove_repeats, "cut": suffix_dedup.cut_texts, "lines": line_dedup.drop_repeated_lines, "ngrams": ngram_join.jaccard_components, "statistics": quality.with_statistics, "sentencepiece": sentencepiece}
+KEEPS_ROWS = {"suffix": suffix_dedup.remove_repeats, "cut": suffix_dedup.cut_texts, "lines": line_dedup.drop_repeated_lines, "ngrams": ngram_join.jaccard_components, "statistics": quality.document_statistics, "sentencepiece": sentencepiece}
 
 
 @pytest.mark.parametrize("name", sorted(KEEPS_ROWS))
@@ -74,10 +74,10 @@ def test_copies_leave(odd, model):
     assert kept.columns == [*odd.columns, *NAMES]
     assert sorted(r.doc_id for r in kept.where("doc_id is not null and length(text) > 100").select("doc_id").collect()) == [*range(10), 20, 21]
     assert kept.where("doc_id is null").count() == 4
-    good = quality.keep_good(quality.with_statistics(with_names(odd, NAMES)), model, 0.0)
+    good = quality.keep_good(with_names(odd, NAMES), model, 0.0)
     assert good.columns == [*odd.columns, *NAMES] and good.count() == odd.count()
     assert ngram_join.keep_one(odd.limit(0)).count() == 0
-    assert quality.keep_good(quality.with_statistics(odd.limit(0)), model).count() == 0
+    assert quality.keep_good(odd.limit(0), model).count() == 0
 
 
 def test_packing_covers_all(odd):
