@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_search, chat_format, line_dedup, ngram_join, packing, quality, sentencepiece_viterbi, substring_dedup, suffix_dedup, topk_search
+from . import ann_search, chat_format, language_id, line_dedup, ngram_join, packing, quality, ranked_search, sentencepiece_viterbi, substring_dedup, suffix_dedup, topk_search, whitening
 from .common import read_table, write_scratch
 
 
@@ -72,6 +72,25 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "n_ids", F.crc32("ids").alias("ids_crc32"), F.length("text").cast("bigint").alias("decoded_chars"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.best_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), k=50)
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(True))
+    model = language_id.fit(docs.where(~held_out).select("text", "lang"))
+    found = language_id.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "margin", "rejected")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, model, error = whitening.whiten(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), components=4)
+    each = found.select("vec_id", "deviation", F.posexplode("whitened").alias("i", "whitened"))
+    explained = F.element_at(F.array(*(F.lit(float(v / model.trace)) for v in model.values[:4]), F.lit(0.0)), F.col("i") + 1)
+    return each.select("vec_id", (F.col("i") + 1).alias("component"), F.lit(model.n).cast("bigint").alias("n"), "deviation", "whitened", explained.alias("explained"), F.lit(error).alias("identity_error"))
+
+
 SQL: dict[str, str] = {}
 
 SQL["op2_topk_search"] = """
@@ -164,6 +183,24 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM w GROUP BY conv_id
 """
 
+SQL["op11_ranked_search"] = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+d AS (SELECT doc_id, len(w)::BIGINT AS n FROM w WHERE len(w) > 0),
+g AS (SELECT count(*)::BIGINT AS N, sum(n)::BIGINT AS L FROM d),
+q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark),
+p AS (SELECT doc_id, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, unnest(w) AS term FROM w) GROUP BY doc_id, term),
+f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+s AS (
+  SELECT q.item_id, p.doc_id, sum(floor(1000 * ln((2 * g.N + 2)::DOUBLE / (2 * f.df + 1)::DOUBLE))::BIGINT
+             * ((1000000000 * p.tf) // (1000 * p.tf + 20 * (100 - 50 + ((50 * d.n * g.N) // g.L)))))::BIGINT AS score
+  FROM q JOIN p ON q.term = p.term JOIN f ON f.term = p.term JOIN d ON d.doc_id = p.doc_id CROSS JOIN g GROUP BY q.item_id, p.doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 50
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
