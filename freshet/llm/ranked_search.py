@@ -2,7 +2,7 @@
 
 Terms are the maximal runs of characters other than ASCII punctuation, blanks and controls, A-Z lower-cased. One pass over the texts
 counts terms and leaves, for each document, its length and the items' terms in it; document frequencies are counted from that table. Each task then
-builds shards of its own documents, so no posting is shuffled: a posting list for each term, impacts in document order, and one
+builds shards of its own documents, in order of their lengths, so no posting is shuffled: a posting list for each term, impacts in document order, and one
 sparse table of range maxima over all lists. For an item the search starts with the interval of all documents in a shard. An interval's bound
 is the sum of its terms' range maxima; the intervals with the greatest bounds are split at the document of the greatest
 single impact, which is scored, until no bound reaches the k-th score so far (equal bounds go on, for ties). That score is
@@ -107,8 +107,6 @@ def _windows(data: np.ndarray) -> Iterator[tuple[int, int]]:
 
 def document_terms(docs: DataFrame, terms: list[str]) -> DataFrame:
     """(doc_id, n, terms, tf) for each document with a term: its number of terms, and which of ``terms`` it holds how often."""
-    id_type = docs.schema["doc_id"].dataType
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Vocabulary(terms)
         for batch in batches:
@@ -129,7 +127,6 @@ def document_terms(docs: DataFrame, terms: list[str]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(kept)), pa.array(n[kept]), list_array(key % max(1, len(terms)), sizes, pa.int32()), list_array(times, sizes, pa.int64())], names=["doc_id", "n", "terms", "tf"])
 
     schema = docs.select("doc_id", F.lit(0).cast("bigint").alias("n"), F.array().cast("array<int>").alias("terms"), F.array().cast("array<bigint>").alias("tf")).schema
-    assert schema["doc_id"].dataType == id_type
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
@@ -140,7 +137,7 @@ class Shard:
     """Posting lists of some documents, one after the other, with a sparse table of range maxima over all of them."""
 
     def __init__(self, ids: np.ndarray, doc: np.ndarray, term: np.ndarray, impact: np.ndarray) -> None:
-        """Postings (doc, term, impact); doc is a place in ``ids``, which ascend."""
+        """Postings (doc, term, impact); doc is a place in ``ids``."""
         self.ids, self.size = ids, len(ids)
         order = np.lexsort((doc, term))
         self.doc, self.impact = doc[order], impact[order]
@@ -228,7 +225,7 @@ def _answer(found: DataFrame, wanted: list[np.ndarray], weights: np.ndarray, doc
         def search() -> None:
             rows = pa.Table.from_batches(waiting).combine_chunks()
             waiting.clear()
-            rows = rows.take(pa.array(np.argsort(rows.column("doc_id").to_numpy(), kind="stable")))
+            rows = rows.take(pa.array(np.argsort(rows.column("n").to_numpy(), kind="stable")))  # near lengths have near impacts, so bounds are closer
             terms, times = (rows.column(c).combine_chunks() for c in ("terms", "tf"))
             sizes = np.diff(terms.offsets.to_numpy())
             doc = np.repeat(np.arange(rows.num_rows, dtype=np.int32), sizes)
