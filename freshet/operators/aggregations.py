@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from freshet import schemas as S
 from freshet.functions import scalars as X
+from freshet.operators.selection import exact_percentiles
 
 # Names of the stages of a run, in order
 STAGES = ["discovered", "raw_acquired", "artifact_prepared", "ingested", "summarized", "map_ready"]
@@ -107,13 +108,39 @@ def reach_summary(ts: DataFrame, rp: DataFrame, policy: str = "mean_first", requ
 
 def run_counts(ts: DataFrame, summaries: DataFrame, rp: DataFrame) -> DataFrame:
     """Per (provider, run_id): timeseries rows, their reaches, summaries, and the provider's supported reaches."""
-    rows = ts.groupBy(*S.REACH_KEYS).agg(F.count("*").alias("n")).groupBy(*S.RUN_KEYS).agg(F.sum("n").alias("timeseries_rows"), F.count("*").alias("reaches"))
+    return run_counts_of(ts.groupBy(*S.REACH_KEYS).agg(F.count("*").alias("n")), summaries, rp)
+
+
+def _run_counts(rows: DataFrame, summaries: DataFrame, rp: DataFrame) -> DataFrame:
     done = summaries.groupBy(*S.RUN_KEYS).agg(F.count("*").alias("summary_rows"))
     known = rp.groupBy("provider").agg(F.countDistinct("provider_reach_id").alias("supported_reaches"))
     both = rows.join(done, S.RUN_KEYS, "full").join(known, "provider", "left")
     return both.select(*S.RUN_KEYS, *(F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in ("timeseries_rows", "reaches", "summary_rows", "supported_reaches")))
 
 
+def timeseries_delta(target: DataFrame, updates: DataFrame) -> DataFrame:
+    """(provider, run_id, provider_reach_id, n): the rows that an upsert of ``updates`` adds to ``target``, by reach. Keys that are there already add none, so
+    a replay adds nothing; only runs of the updates are read."""
+    touched = target.select(*S.TIME_KEYS).join(updates.select(*S.RUN_KEYS).distinct(), S.RUN_KEYS, "left_semi").alias("t")
+    new = updates.select(*S.TIME_KEYS).distinct().alias("u")
+    added = new.join(touched, [F.col(f"u.{k}").eqNullSafe(F.col(f"t.{k}")) for k in S.TIME_KEYS], "left_anti")
+    return added.groupBy(*S.REACH_KEYS).agg(F.count("*").alias("n"))
+
+
+def merge_counts(*deltas: DataFrame) -> DataFrame:
+    """Counts by reach of any number of deltas; the order doesn't matter."""
+    rows = deltas[0]
+    for more in deltas[1:]:
+        rows = rows.unionByName(more)
+    return rows.groupBy(*S.REACH_KEYS).agg(F.sum("n").alias("n"))
+
+
+def run_counts_of(reach_counts: DataFrame, summaries: DataFrame, rp: DataFrame) -> DataFrame:
+    """As :func:`run_counts` from counts by reach that were kept up with each batch, without the timeseries."""
+    rows = reach_counts.where("n > 0").groupBy(*S.RUN_KEYS).agg(F.sum("n").alias("timeseries_rows"), F.count("*").alias("reaches"))
+    return _run_counts(rows, summaries, rp)
+
+
 def run_readiness(runs: DataFrame, counts: DataFrame, ops: DataFrame, artifacts: DataFrame) -> DataFrame:
     """Completed and missing stages and the current status of each run.
 
@@ -143,25 +170,30 @@ def provider_health(runs: DataFrame, counts: DataFrame, readiness: DataFrame) ->
 def crosswalk_report(crosswalk: DataFrame) -> DataFrame:
     """One row: matched and rejected shares, quantiles and outlier counts over valid matches."""
     ok = F.col("is_valid_match")
-    quantiles = {c: F.percentile(F.when(ok, F.col(c)), F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99))) for c in ("distance_km", "area_ratio", "match_score")}
+    measures, percents = ["distance_km", "area_ratio", "match_score"], (50, 90, 99)
     over = {f"{name}_over_{limit}": F.count_if(ok & (F.col(c) > limit)) for name, c, limits in (("ratio", "area_ratio", (2, 5)), ("distance", "distance_km", (5, 10))) for limit in limits}
-    rows = crosswalk.agg(F.count("*").alias("reaches"), F.count_if(ok).alias("matched"), *(q.alias(c) for c, q in quantiles.items()), *(v.alias(k) for k, v in over.items()))
+    rows = crosswalk.agg(F.count("*").alias("reaches"), F.count_if(ok).alias("matched"), *(v.alias(k) for k, v in over.items()))
+    quantiles = exact_percentiles(crosswalk.where(ok), measures, [p / 100 for p in percents])
     share = lambda c: 100.0 * c / F.nullif(F.col("reaches"), F.lit(0))
-    return rows.select("reaches", "matched", share(F.col("matched")).alias("matched_pct"), share(F.col("reaches") - F.col("matched")).alias("rejected_pct"), *(F.try_element_at(c, F.lit(i + 1)).alias(f"{c}_p{p}") for c in quantiles for i, p in enumerate((50, 90, 99))), *over)
+    return rows.join(quantiles).select("reaches", "matched", share(F.col("matched")).alias("matched_pct"), share(F.col("reaches") - F.col("matched")).alias("rejected_pct"), *(f"{c}_p{p}" for c in measures for p in percents), *over)
 
 
 def area_stats(df: DataFrame, column: str) -> DataFrame:
-    x = F.when(X.finite(column), F.col(column))
-    return df.agg(F.min(x).alias("min_area"), F.percentile(x, 0.5).alias("median_area"), F.max(x).alias("max_area"))
+    rows = df.select(F.when(X.finite(column), F.col(column)).alias("area"))
+    ends = rows.agg(F.min("area").alias("min_area"), F.max("area").alias("max_area"))
+    return ends.join(exact_percentiles(rows, ["area"], [0.5])).select("min_area", F.col("area_p50").alias("median_area"), "max_area")
 
 
 def request_rollup(samples: DataFrame) -> DataFrame:
     """Per (provider, endpoint): totals, errors, and latency and payload quantiles of successful requests."""
     ok = F.col("status_code") == 200
-    q = lambda c: F.percentile(F.when(ok, F.col(c)), F.array(F.lit(0.5), F.lit(0.95)))
-    rows = samples.groupBy("provider", "endpoint").agg(F.count("*").alias("total"), F.count_if(ok).alias("ok"), q("duration_ms").alias("d"), q("payload_bytes").alias("b"))
-    item = lambda c, i: F.try_element_at(c, F.lit(i))
-    return rows.select("provider", "endpoint", "total", "ok", (F.col("total") - F.col("ok")).alias("errors"), F.round(item("d", 1) + F.lit(1e-9), 2).alias("p50_ms"), F.round(item("d", 2) + F.lit(1e-9), 2).alias("p95_ms"), F.floor(item("b", 1)).alias("p50_bytes"), F.floor(item("b", 2)).alias("p95_bytes"))
+    keys = ["provider", "endpoint"]
+    rows = samples.groupBy(*keys).agg(F.count("*").alias("total"), F.count_if(ok).alias("ok")).alias("r")
+    found = exact_percentiles(samples.where(ok), ["duration_ms", "payload_bytes"], [0.5, 0.95], keys).alias("q")
+    both = rows.join(found, [F.col(f"r.{k}").eqNullSafe(F.col(f"q.{k}")) for k in keys], "left")
+    ms = lambda p: F.round(F.col(f"duration_ms_p{p}") + F.lit(1e-9), 2).alias(f"p{p}_ms")
+    size = lambda p: F.floor(f"payload_bytes_p{p}").alias(f"p{p}_bytes")
+    return both.select("r.provider", "r.endpoint", "total", "ok", (F.col("total") - F.col("ok")).alias("errors"), ms(50), ms(95), size(50), size(95))
 
 
 def prepare_stats(tagged: DataFrame, rp: DataFrame, provider: str) -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from freshet import schemas as S
 from freshet.functions import scalars as X
+from freshet.operators import nearest
+from freshet.sources.tables import write_scratch
 
 
 def join_reach_attributes(meta: DataFrame, attributes: DataFrame, key: str = "LINKNO") -> DataFrame:
@@ -44,15 +46,16 @@ def attach_thresholds(summaries: DataFrame, rp: DataFrame) -> DataFrame:
     return summaries.join(rp.select("provider", "provider_reach_id", *S.RUNGS), ["provider", "provider_reach_id"], "left")
 
 
-def enrich_streams(features: DataFrame, model: DataFrame) -> DataFrame:
+def enrich_streams(features: DataFrame, model: DataFrame, order: str | None = None) -> DataFrame:
     """(props, geometry) with order and drained area of the model table by numeric LINKNO.
 
     A hit takes the model's values (order 1 and area 0 where null), a miss the feature's own with the same
-    defaults. Features without an id are left out. Of repeated model ids the greatest row (order, area) counts.
+    defaults. Features without an id are left out. Of repeated model ids the row with the greatest ``order`` column, the later one, counts;
+    without one, and among equals, the greatest row (order, area).
     """
     number = X.safe_double("LINKNO").cast("bigint")
-    known = model.select(number.alias("link"), X.safe_double("strmOrder").cast("int").alias("o"), X.safe_double("DSContArea").alias("a")).where("link is not null")
-    known = known.groupBy("link").agg(F.max(F.struct("o", "a")).alias("m"))
+    known = model.select(number.alias("link"), X.safe_double("strmOrder").cast("int").alias("o"), X.safe_double("DSContArea").alias("a"), F.col(order).alias("at") if order else F.lit(0).alias("at")).where("link is not null")
+    known = known.groupBy("link").agg(F.max_by(F.struct("o", "a"), F.struct("at", "o", "a")).alias("m"))
     own = lambda name: F.get_json_object("props", f"$.{name}")
     rows = features.select(X.reach_id_fallback("props").alias("reach_id"), X.safe_double(own("strmOrder")).cast("int").alias("fo"), X.safe_double(own("DSContArea")).alias("fa"), "geometry").where("reach_id is not null")
     rows = rows.withColumn("link", F.col("reach_id").cast("bigint")).join(known, "link", "left")
@@ -95,18 +98,29 @@ def snap_irregular(df: DataFrame, column: str, axis: Sequence[float], out: str)
     return df.withColumn(out, F.nanvl(snap(F.col(column).cast("double")), F.lit(None).cast("double")))
 
 
-def _tile(c: Column, size: float) -> Column:
-    return F.floor(c / F.lit(size)).cast("bigint")
+def snap_to_axis(df: DataFrame, column: str, axis: DataFrame, value: str, out: str) -> DataFrame:
+    """``out``: the value of a table's axis that is nearest to ``column``; a tie takes the larger, outside takes the edge, null and NaN and
+    an empty axis give null.
 
-
-def _around(df: DataFrame, lat: str, lon: str, size: float) -> DataFrame:
-    """Each row once for each of the 3 x 3 tiles around its own."""
-    steps = lambda: F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))
-    rows = df.withColumn("ty", steps()).withColumn("tx", steps())
-    return rows.withColumn("ty", F.col("ty") + _tile(F.col(lat), size)).withColumn("tx", F.col("tx") + _tile(F.col(lon), size))
-
-
-def thresholds_for_reaches(crosswalk: DataFrame, grid: DataFrame, tolerance: float = 0.06) -> DataFrame:
+    An as-of join both ways: distinct points and axis values are sorted together in ranges, each range carries its last and next axis value along, and what
+    lies beyond a range's border comes from a table of one row for each range.
+    """
+    x = F.col(column).cast("double")
+    points = df.select(F.when(~F.isnan(x), x).alias("v")).where("v is not null").distinct().select("v", F.lit(None).cast("double").alias("a"))
+    marks = axis.select(F.col(value).cast("double").alias("a")).where("a is not null and not isnan(a)").distinct()
+    sorted_ = write_scratch(points.unionByName(marks.select(F.col("a").alias("v"), "a")).repartitionByRange("v").withColumn("part", F.spark_partition_id()), "axis")
+    ends = sorted_.groupBy("part").agg(F.min("a").alias("first"), F.max("a").alias("last"))
+    over = W.orderBy("part")  # a row for each range
+    ends = ends.select("part", F.max("last").over(over.rowsBetween(W.unboundedPreceding, -1)).alias("from"), F.min("first").over(over.rowsBetween(1, W.unboundedFollowing)).alias("to"))
+    own = W.partitionBy("part").orderBy("v")
+    carried = sorted_.withColumns({"low": F.last("a", ignorenulls=True).over(own), "high": F.first("a", ignorenulls=True).over(own.rangeBetween(0, W.unboundedFollowing))})
+    found = carried.where("a is null or low = a").join(ends, "part").select("v", F.coalesce("low", "from").alias("low"), F.coalesce("high", "to").alias("high"))
+    nearest_ = F.when(F.col("low").isNull(), F.col("high")).when(F.col("high").isNull() | (F.col("v") - F.col("low") < F.col("high") - F.col("v")), F.col("low")).otherwise(F.col("high"))
+    snapped = found.select("v", nearest_.alias("snapped")).groupBy("v").agg(F.max("snapped").alias("snapped"))
+    return df.withColumn("_v", x).join(snapped, F.col("_v") == F.col("v"), "left").select(*(F.col(f"`{c}`") for c in df.columns if c != out), F.col("snapped").alias(out))
+
+
+def thresholds_for_reaches(crosswalk: DataFrame, grid: DataFrame, tolerance: float = 0.06, leaf: int = nearest.LEAF) -> DataFrame:
     """Grid values for each matched reach: the cell equal at 4 decimals, else the nearest with an L1 distance below
     ``tolerance``. grid: lat, lon and value columns; of repeated cells the greatest values count. Unmatched reaches
     are left out."""
@@ -115,11 +129,12 @@ def thresholds_for_reaches(crosswalk: DataFrame, grid: DataFrame, tolerance: flo
     cells = grid.withColumn("ky", key("lat")).withColumn("kx", key("lon")).groupBy("ky", "kx").agg(F.max(F.struct("lat", "lon", *values)).alias("g"))
     points = crosswalk.select("reach_id", "grid_lat", "grid_lon").where("grid_lat is not null and grid_lon is not null")
     exact = points.withColumn("ky", key("grid_lat")).withColumn("kx", key("grid_lon")).join(cells, ["ky", "kx"]).select("reach_id", "g", F.lit(0.0).alias("l1"))
-    rest = _around(points.join(exact.select("reach_id"), "reach_id", "left_anti"), "grid_lat", "grid_lon", tolerance)
-    tiled = cells.withColumn("ty", _tile(F.col("g.lat"), tolerance)).withColumn("tx", _tile(F.col("g.lon"), tolerance))
-    l1 = F.abs(F.col("grid_lat") - F.col("g.lat")) + F.abs(F.col("grid_lon") - F.col("g.lon"))
-    near = rest.join(tiled, ["ty", "tx"]).withColumn("l1", l1).where(F.col("l1") < tolerance)
-    best = near.groupBy("reach_id").agg(F.min_by(F.struct("g", "l1"), F.struct(F.round("l1", 9), "g.lat", "g.lon")).alias("b")).select("reach_id", "b.g", "b.l1")
+    rest = points.join(exact.select("reach_id"), "reach_id", "left_anti")
+    sites = cells.select(F.col("g.lat").alias("y"), F.col("g.lon").alias("x"), F.col("g").alias("site"))
+    pairs = nearest.near_sites(rest.select(F.struct("reach_id", "grid_lat", "grid_lon").alias("id"), F.col("grid_lat").alias("y"), F.col("grid_lon").alias("x")), sites, 1, tolerance, nearest.city_block, leaf)
+    l1 = F.abs(F.col("id.grid_lat") - F.col("g.lat")) + F.abs(F.col("id.grid_lon") - F.col("g.lon"))
+    near = pairs.withColumnRenamed("site", "g").withColumn("l1", l1).where(F.col("l1") < tolerance)
+    best = near.groupBy("id.reach_id").agg(F.min_by(F.struct("g", "l1"), F.struct(F.round("l1", 9), "g.lat", "g.lon")).alias("b")).select("reach_id", "b.g", "b.l1")
     return exact.unionByName(best).select("reach_id", F.col("g.lat").alias("cell_lat"), F.col("g.lon").alias("cell_lon"), *(F.col(f"g.{v}").alias(v) for v in values), (F.col("l1") == 0).alias("exact"))
 
 
@@ -135,19 +150,26 @@ def threshold_grid_to_reaches(crosswalk: DataFrame, grid: DataFrame, lat_axis: t
     return out.select(F.lit(provider).alias("provider"), F.col("reach_id").alias("provider_reach_id"), *S.RUNGS)
 
 
-def knn_candidates(reaches: DataFrame, cells: DataFrame, k: int = 16, max_km: float = 20.0) -> DataFrame:
+def degrees(km: float) -> float:
+    return float(np.degrees(km / X.EARTH_KM))
+
+
+def knn_candidates(reaches: DataFrame, cells: DataFrame, k: int = 16, max_km: float = 20.0, leaf: int = nearest.LEAF) -> DataFrame:
     """The k nearest cells within ``max_km`` of each reach: (reach columns, cell columns, distance_km, nth).
 
-    Cells farther than max_km never match, so tiles a little larger than it and their neighbours hold all
-    candidates. Distances are compared at 9 decimals, ties by latitude, then longitude.
+    Cells are found through a quadtree whose tiles split where cells lie dense (see operators.nearest). Distances are compared at
+    9 decimals, ties by latitude, then longitude, then the cell's further columns.
     """
-    size = float(np.degrees(max_km / X.EARTH_KM)) * 1.0001
-    around = _around(reaches, "lat", "lon", size)
-    tiled = cells.withColumn("ty", _tile(F.col("grid_lat"), size)).withColumn("tx", _tile(F.col("grid_lon"), size))
-    km = X.distance_rad("lat", "lon", "grid_lat", "grid_lon") * X.EARTH_KM
-    near = around.join(tiled, ["ty", "tx"]).drop("ty", "tx").withColumn("distance_km", km).where(F.col("distance_km") <= max_km)
-    nth = F.row_number().over(W.partitionBy("reach_id").orderBy(F.round("distance_km", 9), "grid_lat", "grid_lon"))
-    return near.withColumn("nth", nth).where(F.col("nth") <= k)
+    if max_km <= 0:
+        raise ValueError("max_km must be positive")
+    cell = F.struct("grid_lat", "grid_lon", *(c for c in cells.columns if c not in ("grid_lat", "grid_lon")))
+    sites = cells.select(F.col("grid_lat").alias("y"), F.col("grid_lon").alias("x"), cell.alias("site"))
+    reach = F.struct(*reaches.columns)
+    points = reaches.select(reach.alias("id"), F.col("lat").alias("y"), F.col("lon").alias("x"))
+    pairs = nearest.near_sites(points, sites, k, degrees(max_km), nearest.euclid, leaf)
+    near = pairs.select("id.*", "site.*", "site").withColumn("distance_km", X.distance_rad("lat", "lon", "grid_lat", "grid_lon") * X.EARTH_KM).where(F.col("distance_km") <= max_km)
+    nth = F.row_number().over(W.partitionBy("reach_id").orderBy(F.round("distance_km", 9), "site"))
+    return near.withColumn("nth", nth).where(F.col("nth") <= k).select(*reaches.columns, *cells.columns, "distance_km", "nth")
 
 
 def score_crosswalk(reaches: DataFrame, candidates: DataFrame, target_provider: str, max_area_ratio: float = 10.0, area_weight: float = 20.0, max_km: float = 20.0) -> DataFrame:

@@ -6,11 +6,13 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from freshet import schemas as S
 from freshet.functions import scalars as X
+from freshet.sources.clustered import forget_clustered, read_clustered, write_clustered
+from freshet.sources.tables import drop_path, drop_scratch, scratch_path, write_scratch
 
 
 def annual_maxima(history: DataFrame, keys: Sequence[str] = ("lat", "lon"), flow: str = "flow_cms", time: str = "time") -> DataFrame:
@@ -86,24 +88,83 @@ def gumbel_thresholds(maxima: DataFrame, periods: Sequence[int] = (2, 5, 20), mi
     return rows.select(*(c for c in maxima.columns if c != samples), *quantiles, F.size(samples).alias("sample_count"))
 
 
+def gumbel_by_rounds(values: DataFrame, keys: Sequence[str], value: str, part_rows: int = 200_000, tolerance: float = 1e-11, max_rounds: int = 60) -> DataFrame:
+    """(keys, n, loc, scale): maximum-likelihood fits of all groups at once, without a group's values in one place.
+
+    The root of scale - mean + weighted mean, both above the least value, lies between 0 and the first mean. Each group's state (bracket, current scale) is joined with
+    the values, which lie in buckets by group; one partial aggregation gives the three sums of a Newton step, kept inside the
+    bracket, and groups that have converged drop out. Groups of over ``part_rows`` values are dealt to several
+    buckets. Groups of fewer than two different values have no fit and are left out. Values are finite.
+    """
+    spark = values.sparkSession
+    own = [f"k{i}" for i in range(len(keys))]
+    rows = write_scratch(values.select(*(F.col(k).alias(o) for k, o in zip(keys, own, strict=True)), F.col(value).alias("x")), "samples")
+    x = F.col("x")
+    groups = rows.groupBy(*own).agg(F.count("*").alias("n"), F.min(x).alias("low"), F.max(x).alias("high"), F.stddev_pop(x).alias("sd"))
+    groups = groups.where("low < high").withColumn("parts", F.ceil(F.col("n") / part_rows).cast("int"))
+    groups = write_scratch(groups, "groups")
+    dealt = F.floor(F.rand(17) * F.coalesce("parts", F.lit(1))).cast("int").alias("part")
+    path = scratch_path(spark, "samples")
+    write_clustered(rows.join(groups.where("parts > 1").select(*own, "parts"), own, "left").select(*own, dealt, "x"), path, [*own, "part"])
+    drop_scratch(rows)
+    table = read_clustered(spark, path)
+    width = F.col("high") - F.col("low")
+    state = groups.select(*own, "n", "parts", "low", F.lit(0.0).alias("a"), width.alias("b"), F.greatest(F.least(F.col("sd") * float(np.sqrt(6) / np.pi), width / 2), width * 1e-6).alias("s"))
+    done = []
+    for _ in range(max_rounds):
+        spread = state.select(*own, "low", "s", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        above = x - F.col("low")
+        w = F.exp(-above / F.col("s"))
+        sums = table.join(spread, [*own, "part"]).groupBy(*own).agg(F.sum(above).alias("span"), F.sum(w).alias("w0"), F.sum(above * w).alias("w1"), F.sum(above * above * w).alias("w2"))
+        tail = F.col("w1") / F.col("w0")
+        excess = F.col("s") - F.col("span") / F.col("n") + tail
+        slope = 1 + (F.col("w2") / F.col("w0") - tail * tail) / (F.col("s") * F.col("s"))
+        step = state.join(sums, own).withColumn("f", excess).withColumn("newton", F.col("s") - excess / slope)
+        step = step.withColumns({"a": F.when(F.col("f") < 0, F.col("s")).otherwise(F.col("a")), "b": F.when(F.col("f") > 0, F.col("s")).otherwise(F.col("b"))})
+        inside = (F.col("newton") >= F.col("a")) & (F.col("newton") <= F.col("b"))
+        step = step.withColumn("next", F.when(F.col("f") == 0, F.col("s")).when(inside, F.col("newton")).otherwise((F.col("a") + F.col("b")) / 2))
+        step = step.withColumn("settled", F.abs(F.col("next") - F.col("s")) <= tolerance * F.col("s"))
+        left = Observation()
+        step = step.observe(left, F.count_if(~F.col("settled")).alias("open"))
+        step = write_scratch(step.select(*own, "n", "parts", "low", "a", "b", "s", "next", "settled", "w0"), "step")
+        done.append(step.where("settled").select(*own, "n", (F.col("low") - F.col("s") * F.log(F.col("w0") / F.col("n"))).alias("loc"), F.col("s").alias("scale")))
+        if not left.get["open"]:
+            break
+        state = step.where("not settled").select(*own, "n", "parts", "low", "a", "b", F.col("next").alias("s"))
+    else:
+        raise ArithmeticError(f"Gumbel fits didn't settle in {max_rounds} rounds")
+    forget_clustered(table)
+    drop_path(spark, path)
+    drop_scratch(groups)
+    fits = done[0]
+    for more in done[1:]:
+        fits = fits.unionByName(more)
+    return fits.select(*(F.col(o).alias(k) for k, o in zip(keys, own, strict=True)), "n", "loc", "scale")
+
+
+def gumbel_thresholds_of_rows(peaks: DataFrame, keys: Sequence[str], value: str = "top", periods: Sequence[int] = (2, 5, 20), min_n: int = 5) -> DataFrame:
+    """As :func:`gumbel_thresholds` for one row for each maximum: (keys, rp_<period>, sample_count)."""
+    rows = peaks.where(X.finite(value))
+    enough = rows.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") >= min_n).select(*keys)
+    fits = gumbel_by_rounds(rows.join(enough, list(keys), "left_semi"), keys, value)
+    return fits.select(*keys, *(gumbel_quantile(F.col("loc"), F.col("scale"), p).alias(f"rp_{p}") for p in periods), F.col("n").cast("int").alias("sample_count"))
+
+
 def reach_thresholds_from_history(cells: DataFrame, history: DataFrame, provider: str, gumbel_from: int = 10) -> DataFrame:
-    """rp_2, rp_5, rp_25 of each reach from all values of its cell: a Gumbel fit from 10 values on, else percentiles.
+    """rp_2, rp_5, rp_25 of each reach from all values of its cell: a Gumbel fit from ``gumbel_from`` values on, else percentiles.
 
-    cells: (provider_reach_id, lat, lon) on the history's grid.
+    cells: (provider_reach_id, lat, lon) on the history's grid. Values are only summed and counted, wherever they lie.
     """
-    values = history.where(X.finite("flow_cms")).groupBy("lat", "lon").agg(F.collect_list("flow_cms").alias("x"))
-    rows = cells.select("provider_reach_id", "lat", "lon").join(values, ["lat", "lon"]).withColumn("n", F.size("x"))
-    many = rows.where(F.col("n") >= gumbel_from).withColumn("fit", _fit("x")).where((F.col("fit.scale") > 0) & ~F.isnan("fit.scale"))
-    fitted = many.select("provider_reach_id", "n", *(gumbel_quantile(F.col("fit.loc"), F.col("fit.scale"), 1 / (1 - p)).alias(r) for r, p in (("rp_2", 0.5), ("rp_5", 0.8), ("rp_25", 0.95))))
-    few = rows.where(F.col("n") < gumbel_from).withColumn("s", F.array_sort("x"))
-
-    def percentile(p: float) -> Column:
-        at = (F.col("n") - 1) * F.lit(p)
-        low = F.floor(at).cast("int")
-        a, b = F.element_at("s", low + 1), F.element_at("s", F.least(low + 2, F.col("n")))
-        return a + (b - a) * (at - low)
-
-    plain = few.select("provider_reach_id", "n", percentile(0.5).alias("rp_2"), percentile(0.8).alias("rp_5"), percentile(0.95).alias("rp_25"))
-    out = fitted.unionByName(plain)
+    at = ["lat", "lon"]
+    values = history.where(X.finite("flow_cms")).select(*at, "flow_cms").join(cells.select(*at).distinct(), at, "left_semi")
+    sizes = write_scratch(values.groupBy(*at).agg(F.count("*").alias("n")), "sizes")
+    many = values.join(sizes.where(F.col("n") >= gumbel_from).select(*at), at, "left_semi")
+    fits = gumbel_by_rounds(many, at, "flow_cms")
+    marks = (("rp_2", 0.5), ("rp_5", 0.8), ("rp_25", 0.95))
+    fitted = fits.select(*at, "n", *(gumbel_quantile(F.col("loc"), F.col("scale"), 1 / (1 - p)).alias(r) for r, p in marks))
+    few = values.join(sizes.where(F.col("n") < gumbel_from).select(*at), at, "left_semi")  # less than gumbel_from values each
+    plain = few.groupBy(*at).agg(F.count("*").alias("n"), F.percentile("flow_cms", F.array(*(F.lit(p) for _, p in marks))).alias("q"))
+    out = fitted.unionByName(plain.select(*at, "n", *(F.col("q")[i].alias(r) for i, (r, _) in enumerate(marks))))
     rung = lambda r: F.col(r) if r in ("rp_2", "rp_5", "rp_25") else F.lit(None).cast("double")
-    return out.select(F.lit(provider).alias("provider"), "provider_reach_id", *(rung(r).alias(r) for r in S.RUNGS), X.payload_json(sample_count=F.col("n")).alias("metadata_json"))
+    rows = cells.select("provider_reach_id", *at).join(out, at)
+    return rows.select(F.lit(provider).alias("provider"), "provider_reach_id", *(rung(r).alias(r) for r in S.RUNGS), X.payload_json(sample_count=F.col("n")).alias("metadata_json"))

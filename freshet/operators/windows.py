@@ -60,6 +60,24 @@ def severity_map(s: DataFrame, provider: str, run_id: str, min_severity: int = 1
     return worst_reaches(s, provider, run_id, min_severity=min_severity, limit=limit).select("provider_reach_id", "severity_score")
 
 
+def severity_map_pages(s: DataFrame, provider: str, run_id: str, min_severity: int = 1, page_reaches: int = 10_000) -> DataFrame:
+    """The severity map as pages in order of reach: (range, page, first_reach, last_reach, scores: map of reach to score), with at most
+    ``page_reaches`` entries each, so that no row holds all reaches. Of a reach's rows the highest score counts."""
+    rows = filter_summaries(s, provider, run_id, False, min_severity).where("provider_reach_id is not null")
+    one = rows.groupBy("provider_reach_id").agg(F.max("severity_score").alias("severity_score"))
+    ranged = one.repartitionByRange("provider_reach_id").withColumn("range", F.spark_partition_id())
+    nth = F.row_number().over(W.partitionBy("range").orderBy("provider_reach_id")) - 1
+    paged = ranged.withColumn("page", F.floor(nth / page_reaches).cast("int"))
+    entry = F.struct("provider_reach_id", "severity_score")
+    ends = [F.min("provider_reach_id").alias("first_reach"), F.max("provider_reach_id").alias("last_reach")]
+    return paged.groupBy("range", "page").agg(*ends, F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("scores"))
+
+
+def merge_pages(pages: DataFrame) -> DataFrame:
+    """(provider_reach_id, severity_score) of the pages of a severity map."""
+    return pages.select(F.explode("scores").alias("provider_reach_id", "severity_score"))
+
+
 def reach_timeseries(ts: DataFrame, provider: str, run_id: str, reach_id: str, limit: int) -> DataFrame:
     rows = ts.where((F.col("provider") == provider) & (F.col("run_id") == run_id) & (F.col("provider_reach_id") == reach_id))
     return rows.orderBy("forecast_time_utc").limit(limit)

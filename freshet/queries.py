@@ -22,6 +22,7 @@ from freshet.operators import thresholds as T
 from freshet.operators import upserts as U
 from freshet.operators import windows as N
 from freshet.plans import workflows as C
+from freshet.sources import clustered as K
 from freshet.sources import tables as R
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1068,6 +1069,133 @@ def _(spark, d):
     return C.hydrograph_series(stats(spark, d), ladders(spark, d))
 
 
+# --- jobs and operators for groups of any size ---------------------------------------------------
+
+
+@query("agg13_gumbel_thresholds_of_rows")
+def _(spark, d):
+    peaks = A_history(spark, d).where("flow_cms > 0").groupBy("provider_reach_id", F.year("time").alias("year")).agg(F.max("flow_cms").alias("top"))
+    rows = T.gumbel_thresholds_of_rows(peaks, ["provider_reach_id"])
+    return rows.withColumns({r: F.round(F.col(r) + F.lit(1e-9), 2) for r in ("rp_2", "rp_5", "rp_20")})
+
+
+SQL["agg13_gumbel_thresholds_of_rows"] = SQL["agg13_gumbel_thresholds"]
+
+
+@query("src1_line_numbers", """SELECT event_id::VARCHAR AS provider_reach_id, '2026010100' AS run_id,
+       (row_number() OVER o + count(*) FILTER (WHERE event_id % 10 = 0) OVER o - (event_id % 10 = 0)::INTEGER)::BIGINT AS line_number
+FROM events WINDOW o AS (PARTITION BY user_id % 8 ORDER BY event_id ROWS UNBOUNDED PRECEDING)""")
+def _(spark, d):
+    path = R.scratch_path(spark, "lines")
+    blank = F.col("event_id") % 10 == 0
+    lines = F.posexplode(F.when(blank, F.array(F.col("json"), F.lit(""))).otherwise(F.array("json"))).alias("nth", "value")
+    rows = table(spark, d, "events").select((F.col("user_id") % 8).alias("file"), "event_id", F.to_json(F.struct(F.col("event_id").cast("string").alias("provider_reach_id"))).alias("json"))
+    rows = rows.select("file", "event_id", lines).repartition("file").sortWithinPartitions("file", "event_id", "nth")
+    rows.select("file", "value").write.partitionBy("file").text(path)
+    return R.read_raw_forecast_jsonl(spark, path, "2026010100").select("provider_reach_id", "run_id", "line_number")
+
+
+def clustered(spark, d):
+    """Timeseries and ladders as clustered tables with buckets by reach."""
+    ts, rp = R.scratch_path(spark, "timeseries"), R.scratch_path(spark, "ladders")
+    K.write_clustered_timeseries(stats(spark, d).withColumn("raw_payload_json", F.lit(None).cast("string")), ts)
+    K.write_clustered_ladders(ladders(spark, d), rp)
+    return K.read_clustered(spark, ts), K.read_clustered(spark, rp)
+
+
+@query("snk1_clustered_artifacts", BASE + "\n---\nSELECT ts.*, NULL::VARCHAR AS raw_payload_json, " + ", ".join(S.RUNGS) + " FROM ts LEFT JOIN fx_ladders USING (provider, provider_reach_id)", FLOWS + " " + RUNGS)
+def _(spark, d):
+    return J.attach_thresholds(*clustered(spark, d))
+
+
+@query("srt3_clustered_timeseries", BASE + "\n---\nSELECT * FROM ts WHERE run_id = '1996010100' AND provider_reach_id = '7' ORDER BY forecast_time_utc LIMIT 5", FLOWS)
+def _(spark, d):
+    ts = clustered(spark, d)[0].drop("raw_payload_json")
+    return N.reach_timeseries(ts, "reach", "1996010100", "7", 5)
+
+
+@query("jn7_snap_to_axis", """WITH p AS (SELECT o_orderkey, o_totalprice::DOUBLE / 40 AS x FROM orders),
+axis AS (SELECT DISTINCT c_acctbal::DOUBLE AS a FROM customer WHERE c_acctbal IS NOT NULL),
+l AS (SELECT p.*, a AS low FROM p ASOF LEFT JOIN axis ON p.x >= axis.a),
+h AS (SELECT l.*, axis.a AS high FROM l ASOF LEFT JOIN axis ON l.x <= axis.a)
+---
+SELECT o_orderkey, CASE WHEN low IS NULL THEN high WHEN high IS NULL OR x - low < high - x THEN low ELSE high END AS snapped FROM h""", "snapped")
+def _(spark, d):
+    points = table(spark, d, "orders").select("o_orderkey", (F.col("o_totalprice").cast("double") / 40).alias("x"))
+    return J.snap_to_axis(points, "x", table(spark, d, "customer"), "c_acctbal", "snapped").drop("x")
+
+
+@query("cmp1_prepare_artifact", ctes("fx_ladders") + RAW + """
+---
+SELECT count(*) AS records_seen, count(*) FILTER (WHERE bad) AS invalid_dropped, count(*) FILTER (WHERE NOT bad AND NOT known) AS filtered_dropped, count(*) FILTER (WHERE NOT bad AND known) AS written,
+       count(*) FILTER (WHERE NOT bad AND known) AS stored
+FROM (SELECT event_id % 13 = 0 OR event_id % 17 = 0 OR value IS NULL OR (event_id % 7 = 0 AND event_id % 5 = 0) AS bad, trim(river_id) IN (SELECT provider_reach_id FROM fx_ladders) AS known FROM raw)""")
+def _(spark, d):
+    path = R.scratch_path(spark, "artifact")
+    counters = C.prepare_artifact(raw_records(spark, d).drop("event_id"), ladders(spark, d), "reach", path, "2026010100")
+    stored = R.read_timeseries_artifact(spark, path).agg(F.count("*").alias("stored"))
+    return stored.select(*(F.lit(counters[c]).cast("bigint").alias(c) for c in ("records_seen", "invalid_dropped", "filtered_dropped", "written")), "stored")
+
+
+def raw_crosswalk(spark, d):
+    """Metadata, attributes, cell areas and 2-year flows as four raw tables."""
+    r, c = view(spark, d, "fx_reaches"), view(spark, d, "fx_cells")
+    link = F.col("reach_id").cast("double").alias("LINKNO")
+    return r.select(link, "lat", "lon"), r.select(link, (F.col("reach_upstream_area_km2") * 1e6).alias("DSContArea")), c.drop("rp_2"), c.select("grid_lat", "grid_lon", "rp_2")
+
+
+@query("cmp8_crosswalk_from_raw", CROSSWALK + "\n---\nSELECT * FROM xw", XW)
+def _(spark, d):
+    reaches, cells = C.crosswalk_inputs(*raw_crosswalk(spark, d))
+    return C.refresh_crosswalk(spark.createDataFrame([], S.CROSSWALK), reaches, cells, "grid")[0]
+
+
+@query("cmp8_refresh_crosswalk", CROSSWALK + "\n---\nSELECT * FROM xw", XW)
+def _(spark, d):
+    reaches, cells = C.crosswalk_inputs(*raw_crosswalk(spark, d))
+    number = F.col("reach_id").cast("bigint")
+    # as they were before: other places and areas, one reach more for each tenth, cells of other areas in the south
+    old_reaches = reaches.withColumn("lat", F.when(number % 7 == 0, F.col("lat") + 0.3).otherwise(F.col("lat")))
+    old_reaches = old_reaches.unionByName(reaches.where(number % 10 == 0).withColumn("reach_id", F.concat(F.lit("gone"), "reach_id")))
+    old_cells = cells.withColumn("grid_upstream_area_km2", F.when(F.col("grid_lat") < 10.4, F.col("grid_upstream_area_km2") * 5).otherwise(F.col("grid_upstream_area_km2")))
+    old = C.build_crosswalk(old_reaches, old_cells, "grid")
+    return C.refresh_crosswalk(old, reaches, cells, "grid", before=(old_reaches, old_cells))[0]
+
+
+GRID_LADDERS = CROSSWALK + "\n---\nSELECT 'grid' AS provider, x.reach_id AS provider_reach_id, rp_2, rp_2 * 2 AS rp_5, rp_2 * 3 AS rp_10, rp_2 * 4 AS rp_25, rp_2 * 5 AS rp_50, rp_2 * 6 AS rp_100 FROM xw x JOIN fx_cells USING (grid_lat, grid_lon) WHERE is_valid_match"
+
+
+@query("cmp7_import_thresholds_grid", GRID_LADDERS, RUNGS)
+def _(spark, d):
+    grid = view(spark, d, "fx_cells").select(F.col("grid_lat").alias("lat"), F.col("grid_lon").alias("lon"), *((F.col("rp_2") * i).alias(r) for i, r in enumerate(S.RUNGS, 1)))
+    return C.import_grid_thresholds(spark.createDataFrame([], S.RETURN_PERIODS), "grid", crosswalk(spark, d), grid).drop("metadata_json")
+
+
+@query("cmp7_import_thresholds_long_grid", GRID_LADDERS, RUNGS)
+def _(spark, d):
+    # the provider's 20-year value fills the rung of 25 years
+    periods = F.explode(F.array(*(F.struct(F.lit(20 if p == 25 else p).alias("return_period"), F.lit(float(i)).alias("f")) for i, p in enumerate(S.PERIODS, 1))))
+    grid = view(spark, d, "fx_cells").select(F.col("grid_lat").alias("lat"), F.col("grid_lon").alias("lon"), "rp_2", periods.alias("p")).select("lat", "lon", "p.return_period", (F.col("rp_2") * F.col("p.f")).alias("threshold"))
+    axes = ((10.0, 0.05, 40), (20.0, 0.05, 1_000_000))
+    return C.import_grid_thresholds(spark.createDataFrame([], S.RETURN_PERIODS), "grid", crosswalk(spark, d), grid, axes).drop("metadata_json")
+
+
+@query("agg7_run_counts_of_deltas", FULL + COUNTS + "\n---\nSELECT * FROM counts")
+def _(spark, d):
+    ts = R.write_scratch(stats(spark, d), "timeseries")
+    batch = F.month("forecast_time_utc") % 3
+    deltas, target = [], ts.limit(0)
+    for i in (0, 1, 1, 2):  # one batch comes twice
+        deltas.append(R.write_scratch(A.timeseries_delta(target, ts.where(batch == i)), "delta"))
+        target = ts.where(batch <= i)
+    return A.run_counts_of(A.merge_counts(*deltas), some_summaries(spark, d), ladders(spark, d))
+
+
+@query("srt2_severity_map_pages", FULL + "\n---\nSELECT provider_reach_id, severity_score FROM sums WHERE run_id = '1996010100' AND severity_score >= 1")
+def _(spark, d):
+    return N.merge_pages(N.severity_map_pages(summaries(spark, d), "reach", "1996010100", page_reaches=16))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,8 +21,28 @@ def _json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value, source_path, line_number): every line of text files with its number from 1, blank lines counted.
+
+    Two passes over the file splits: the first counts the lines of each split, prefix sums give where a split begins, and the second numbers
+    the lines inside their split. A row for each split is all that is gathered; a file may have any number of them.
+    """
+    meta = F.col("_metadata")
+    lines = spark.read.text(path).select("value", meta.getField("file_path").alias("source_path"), meta.getField("file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    splits = lines.groupBy("source_path", "block").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    before = F.sum("n").over(W.partitionBy("source_path").orderBy("block").rowsBetween(W.unboundedPreceding, -1))
+    starts = splits.withColumn("before", F.coalesce(before, F.lit(0)))
+    both = lines.join(starts, ["source_path", "block"])
+    place = F.col("id") - F.col("first")  # lines of a split come one after the other; the second pass must have cut the files as the first did
+    number = F.when((place >= 0) & (place < F.col("n")), F.col("before") + place + 1).otherwise(F.raise_error(F.lit("files changed while they were read")).cast("bigint"))
+    return both.select("value", "source_path", number.alias("line_number"))
+
+
 def read_raw_forecast_jsonl(spark: SparkSession, path: str, run_id: str) -> DataFrame:
-    return _json(spark, path, S.RAW_FORECAST).select("*", F.lit(run_id).alias("run_id"), F.col("_metadata.file_path").alias("source_path"))
+    """Raw records with run_id, source_path and line_number; blank lines are skipped but counted, a malformed line fails the read."""
+    lines = numbered_lines(spark, path).where(F.trim("value") != "")
+    rows = lines.select(F.from_json("value", S.RAW_FORECAST, {"mode": "FAILFAST"}).alias("r"), "source_path", "line_number")
+    return rows.select("r.*", F.lit(run_id).alias("run_id"), "source_path", "line_number")
 
 
 def read_timeseries_artifact(spark: SparkSession, path: str) -> DataFrame:
@@ -79,13 +100,30 @@ def read_stream_features(spark: SparkSession, path: str) -> DataFrame:
 
 def write_timeseries_artifact(df: DataFrame, path: str, if_present: str = "skip", expected_reaches: int | None = None) -> None:
     """JSON lines. skip keeps a present artifact, unless it has fewer rows than ``expected_reaches``."""
-    mode = WRITE_MODES[if_present]
-    if if_present == "skip" and expected_reaches is not None and _present(df.sparkSession, path):
-        if df.sparkSession.read.text(path).count() < expected_reaches:
-            mode = "overwrite"
+    mode = _mode(df.sparkSession, path, if_present, expected_reaches)
     df.select(*S.TIMESERIES.names).write.mode(mode).json(path)
 
 
+def _mode(spark: SparkSession, path: str, if_present: str, expected_reaches: int | None) -> str:
+    if if_present == "skip" and expected_reaches is not None and _present(spark, path) and spark.read.text(path).count() < expected_reaches:
+        return "overwrite"
+    return WRITE_MODES[if_present]
+
+
+def write_counted_artifact(tagged: DataFrame, path: str, if_present: str = "overwrite", expected_reaches: int | None = None) -> dict[str, int] | None:
+    """Write the rows of ``tagged`` without a ``reason`` as JSON lines, and give the counters of that same pass: records_seen, invalid_dropped,
+    filtered_dropped ('unsupported') and written. None if a present artifact is kept."""
+    spark = tagged.sparkSession
+    mode = _mode(spark, path, if_present, expected_reaches)
+    if mode == "ignore" and _present(spark, path):
+        return None
+    why, seen = F.col("reason"), Observation()
+    unsupported = F.coalesce(why == "unsupported", F.lit(False))
+    counted = tagged.observe(seen, F.count(F.lit(1)).alias("records_seen"), F.count_if(why.isNotNull() & ~unsupported).alias("invalid_dropped"), F.count_if(unsupported).alias("filtered_dropped"), F.count_if(why.isNull()).alias("written"))
+    counted.where("reason is null").select(*S.TIMESERIES.names).write.mode(mode).json(path)
+    return dict(seen.get)
+
+
 def write_summary_artifact(df: DataFrame, path: str, if_present: str = "overwrite") -> None:
     """Zstandard Parquet, one folder for each (provider, run_id); only the runs in ``df`` are replaced."""
     rows = df.select(*(F.col(f.name).cast(f.dataType) for f in S.SUMMARY_ARTIFACT))
@@ -123,3 +161,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         top = "file://" + tempfile.mkdtemp(prefix="spark-freshet-")
     return f"{top}/freshet-{name}-{uuid.uuid4().hex}"
+
+
+def write_scratch(df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage of ``df`` with a Parquet table in the shared folder, and read it again."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._freshet_path = path
+    return out
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
+def drop_scratch(*tables: DataFrame) -> None:
+    """Delete scratch tables that nothing will read any more."""
+    for table in tables:
+        drop_path(table.sparkSession, table._freshet_path)
