@@ -37,6 +37,7 @@ def refine(a: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nda
     """One step of Ogita and Aishima: better eigenvectors of ``a``, eigenvalues, which pairs are too close, size of the correction."""
     r = np.eye(len(a), dtype=a.dtype) - x.T @ x
     s = x.T @ (a @ x)
+    s = (s + s.T) / 2  # so that the correction keeps the vectors orthogonal where gaps are tiny
     value = np.diag(s) / (1 - np.diag(r))
     off = s - np.diag(np.diag(s))
     delta = 2 * (np.sqrt((off**2).sum()) + np.abs(value).max() * np.sqrt((r**2).sum()))
