@@ -4,8 +4,9 @@ Centroids are fitted by k-means on a bounded sample of unit vectors and linked i
 goes to the posting list of its nearest centroid, and, near a boundary, to those of further centroids whose
 distance is within ``1 + closure`` times the nearest's. A query searches the lists whose distance is within
 ``1 + prune`` times the nearest's, ``max_lists`` of them at most. Both bounds grow as
-far as it takes: up to ``held_out`` queries, left out of the sample, are first compared with every vector, and the lists
-that hold their true neighbours give the least prune and max_lists that find the share ``recall`` of them. ``cell_lists`` lists are one group of the join, and groups of over ``part_rows`` rows are dealt out in parts, so tasks stay even. Scores are exact
+far as it takes: ``held_out`` candidates that are no queries, left out of the sample, are compared with every vector, and the lists
+that hold their true neighbours give the least prune and max_lists that find the share ``recall`` of them. No query takes part in the fit,
+unless every candidate is one. ``cell_lists`` lists are one group of the join, and groups of over ``part_rows`` rows are dealt out in parts, so tasks stay even. Scores are exact
 cosines of the original vectors in double precision. ``exact`` makes one list of all vectors, in parts, so that every
 query meets every vector.
 
@@ -227,9 +228,12 @@ def nearest(candidates: DataFrame, queries: DataFrame, k: int, key: str = "vec_i
     info = kept.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first()
     width = max(1, info["d"] or 0, wanted.agg(F.max(F.size("v"))).first()[0] or 0)
     share = min(1.0, sample_rows / max(1, info["n"]))
-    taken = kept.where((F.col("copy") == 1) & (F.xxhash64("id", F.lit(seed)) <= F.lit(int((2 * share - 1) * (2**63 - 1024)))))
+    single = kept.where("copy = 1")
+    others = single.join(wanted.select("id"), "id", "left_anti")
+    free = others if others.limit(1).count() else single
+    taken = free.where(F.xxhash64("id", F.lit(seed)) <= F.lit(int((2 * share - 1) * (2**63 - 1024))))
     unit = lambda found: _unit(_vectors(pa.array([r["v"] for r in found], pa.list_(pa.float64())), width))
-    tried = wanted.select("id", "v").orderBy(F.xxhash64("id", F.lit(seed + 1)), "id").limit(held_out).collect()
+    tried = free.select("id", "v").orderBy(F.xxhash64("id", F.lit(seed + 1)), "id").limit(held_out).collect()
     tried_ids, tried_v = np.array([r["id"] for r in tried], np.int64), unit(tried)
     sample = unit(taken.where(~F.col("id").isin(tried_ids.tolist())).select("v").collect())
     graph = CentroidGraph.build(sample, 1 if exact else min(max_centroids, max(1, info["n"] // list_rows)), seed=seed)
@@ -273,6 +277,6 @@ def nearest(candidates: DataFrame, queries: DataFrame, k: int, key: str = "vec_i
         return pa.table({"query_id": np.concatenate(out[0]), "vec_id": np.concatenate(out[1]), "score": np.concatenate(out[2])})
 
     found = left.groupBy("cell", "part").cogroup(right.groupBy("cell", "part")).applyInArrow(run, "query_id long, vec_id long, score double")
-    single = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return single.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return once.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
