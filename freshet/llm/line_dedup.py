@@ -3,9 +3,9 @@
 Each document is its sequence of non-blank lines, each named by a 64-bit hash. Lines that occur once end every repeat, so
 only positions of repeated lines, and those right after them, are suffixes that take part. Their ranks are
 found by prefix doubling: Spark joins each suffix's rank with the rank at the current offset, sorts the distinct
-pairs over range partitions, numbers them in that order and gives the numbers back as ranks of twice the length.
-A suffix whose rank is its own needs no further pair; the end of a document sorts before every line and equals
-nothing. Doubling stops when all ranks are unique, and the last ranks are the suffix array
+pairs over range partitions, and adds their numbers in that order to their ranks, which so become ranks of twice the length.
+A suffix whose rank is its own retires: its rank is final, and it is only looked up from then on. The end of a document sorts before every line and equals
+nothing. Doubling stops when all ranks are unique, and all ranks together are the suffix array
 (:func:`suffix_ranks`).
 
 The ranks of each round are the array's longest-common-prefix intervals of that length: suffixes of one rank share so many
@@ -27,7 +27,7 @@ n_removed or n_runs are replaced by its own.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -35,6 +35,8 @@ from .common import drop_scratch, packed, unpacked, write_scratch
 
 BLANKS = " \t\r"
 PLACE = ["doc_id", "th", "i"]
+#: Rounds whose lookups are one plan; then the runs are written.
+LOOKUPS = 3
 
 
 def solid(line: Column) -> Column:
@@ -43,72 +45,92 @@ def solid(line: Column) -> Column:
 
 
 def line_positions(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, i, line, after): i-th non-blank line of a document, its hash and that of the next."""
+    """(doc_id, th, i, line, after, rest): i-th non-blank line of a document, its hash and that of the next, and how many lines there are from it on."""
     lines = F.filter(F.transform(F.split("text", "\n", -1), lambda x: F.when(solid(x), F.xxhash64(x))), lambda x: x.isNotNull())
     rows = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("th"), lines.alias("x")).dropDuplicates(["doc_id", "th"])
-    pairs = F.transform("x", lambda line, i: F.struct(line.alias("line"), F.try_element_at("x", (i + 2).cast("int")).alias("after")))
-    return rows.select("doc_id", "th", pairs.alias("x")).select("doc_id", "th", F.posexplode("x").alias("i", "l")).select(*PLACE, "l.line", "l.after")
+    pairs = F.transform("x", lambda line, i: F.struct(line.alias("line"), F.try_element_at("x", (i + 2).cast("int")).alias("after"), (F.size("x") - i).alias("rest")))
+    return rows.select("doc_id", "th", pairs.alias("x")).select("doc_id", "th", F.posexplode("x").alias("i", "l")).select(*PLACE, "l.line", "l.after", "l.rest")
 
 
-def _ranked(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """``rows`` with rank and size of their class of equal ``keys``; ranks follow the order of the keys."""
-    classes = rows.groupBy(*keys).agg(F.count("*").alias("size"))
-    named = classes.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("new", F.monotonically_increasing_id())
-    return write_scratch(rows.join(named, keys).select(*PLACE, F.col("new").alias("rank"), "size"), "ranks")
+def suffix_rounds(positions: DataFrame, min_lines: int) -> tuple[list[tuple[int, DataFrame]], list[DataFrame]]:
+    """(length, active) of each round, and the tables of retired suffixes (doc_id, th, i, rank).
 
-
-def suffix_ranks(positions: DataFrame, min_lines: int) -> list[tuple[int, DataFrame]]:
-    """(length, ranks) of each round: (doc_id, th, i, rank, size). Lengths double, from 1 to ``min_lines`` and on from
-    there, until all ranks are unique. The last one's order is the suffix array's."""
+    active: (doc_id, th, i, rest, rank, size, first) of the suffixes that share their first ``length`` lines with others; size is the number of their
+    class's members and first the earliest of them. A rank is the list of the numbers that its class got in each round's sort, so ranks of different rounds
+    compare. A suffix whose class has no other member, or that ends, retires with its final rank; active ones
+    still look it up. Lengths double, from 1 to ``min_lines`` and on from there, until no suffix is active."""
+    place = F.struct(*PLACE)
     positions = write_scratch(positions, "positions")
     again = positions.groupBy("line").agg(F.count("*").alias("n")).where("n > 1").select("line")
-    repeated = write_scratch(positions.join(again, "line", "left_semi"), "repeated")
-    drop_scratch(positions)
-    here = repeated.select(*PLACE, "line")
-    after = repeated.where("after is not null").select("doc_id", "th", (F.col("i") + 1).alias("i"), F.col("after").alias("line"))
-    ranks, length, rounds = _ranked(here.unionByName(after).dropDuplicates(PLACE), ["line"]), 1, []
-    drop_scratch(repeated)
+    repeated = positions.join(again, "line", "left_semi")
+    here = repeated.select(*PLACE, "rest", "line")
+    after = repeated.where("after is not null").select("doc_id", "th", (F.col("i") + 1).alias("i"), (F.col("rest") - 1).alias("rest"), F.col("after").alias("line"))
+    rows = here.unionByName(after).dropDuplicates(PLACE).withColumn("rank", F.array().cast("array<bigint>"))
+    keys, length, rounds, retired = ["line"], 1, [], []
     while True:
-        rounds.append((length, ranks))
-        if ranks.where("size > 1").isEmpty():
-            return rounds
+        classes = rows.groupBy(*keys).agg(F.count("*").alias("size"), F.min(place).alias("first"))
+        numbered = classes.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("new", F.monotonically_increasing_id())
+        joined = rows.withColumnRenamed("rank", "old").join(numbered.withColumnRenamed("rank", "old"), ["old" if k == "rank" else k for k in keys])
+        shared = Observation()
+        ranked = joined.select(*PLACE, "rest", F.concat("old", F.array("new")).alias("rank"), "size", "first").observe(shared, F.count_if(F.col("size") > 1).alias("n"))
+        ranked = write_scratch(ranked, "ranks")
+        if length == 1:
+            drop_scratch(positions)
+        active = ranked.where("size > 1")
+        rounds.append((length, active))
+        retired.append(ranked.where("size = 1").select(*PLACE, "rank"))
+        if not shared.get["n"]:
+            return rounds, retired
         step = min(length, min_lines - length if length < min_lines else length)
-        later = ranks.select("doc_id", "th", (F.col("i") - step).alias("i"), F.col("rank").alias("next"))
-        both = ranks.join(later, PLACE, "left")
-        same = F.col("size") > 1
-        next_rank = F.when(same, F.coalesce("next", F.lit(-1))).otherwise(F.lit(-1))
-        end = F.when(same & F.col("next").isNull(), F.concat_ws("/", *PLACE)).otherwise(F.lit(""))
-        ranks = _ranked(both.select(*PLACE, "rank", next_rank.alias("next"), end.alias("end")), ["rank", "next", "end"])
-        length += step
+        known = active.select(*PLACE, "rank")
+        for part in retired:
+            known = known.unionByName(part)
+        later = known.select("doc_id", "th", (F.col("i") - step).alias("i"), F.col("rank").alias("next"))
+        goes_on = active.where(F.col("rest") > step).join(later, PLACE).select(*PLACE, "rest", "rank", "next", F.struct(*(F.lit(None).cast(t).alias(c) for c, t in active.select(*PLACE).dtypes)).alias("end"))
+        # an end is a class of its own, by place, before all others of its rank
+        ends = active.where(F.col("rest") <= step).select(*PLACE, "rest", "rank", F.array().cast("array<bigint>").alias("next"), place.alias("end"))
+        rows = goes_on.unionByName(ends)
+        keys, length = ["rank", "next", "end"], length + step
+
+
+def suffix_ranks(positions: DataFrame, min_lines: int) -> list[tuple[int, DataFrame]]:
+    """(length, ranks) of each round: (doc_id, th, i, rank, size) of all suffixes, the last one's order being the suffix array's; rank as text."""
+    rounds, retired = suffix_rounds(positions, min_lines)
+    text = F.array_join(F.transform("rank", lambda x: F.lpad(F.hex(x), 16, "0")), "").alias("rank")
+    out = []
+    for k, (length, active) in enumerate(rounds):
+        rows = active.select(*PLACE, text, "size")
+        for part in retired[: k + 1]:
+            rows = rows.unionByName(part.select(*PLACE, text, F.lit(1).cast("bigint").alias("size")))
+        out.append((length, rows))
+    return out
 
 
 def repeated_runs(docs: DataFrame, min_lines: int = 2) -> DataFrame:
     """Runs that an earlier position has too: (doc_id, th, start, stop, first), numbers of non-blank lines, stop
     exclusive, and the earlier position. Runs inside another with the same earlier copy are left out."""
-    rounds = suffix_ranks(line_positions(docs), min_lines)
+    rounds, _ = suffix_rounds(line_positions(docs), min_lines)
     place = F.struct(*PLACE)
-    shared = [(length, ranks.where("size > 1").select(*PLACE, "rank")) for length, ranks in rounds]
-    late = None
-    for k, (length, ranks) in enumerate(shared):
+    top = lambda k, length: F.struct(F.lit(k).alias("round"), F.lit(length).cast("long").alias("length"), "first").alias("top")
+    late = rounds[0][1].select(*PLACE, top(0, 0)).limit(0)
+    for k, (length, active) in enumerate(rounds):
         if length >= min_lines:
-            earliest = ranks.groupBy("rank").agg(F.min(place).alias("first"))
-            part = ranks.join(earliest, "rank").where(place != F.col("first")).select(*PLACE, F.struct(F.lit(k).alias("round"), F.lit(length).cast("long").alias("length"), "first").alias("top"))
-            late = part if late is None else late.unionByName(part)
-    if late is None:
-        return shared[0][1].select("doc_id", "th", F.col("i").cast("long").alias("start"), F.col("i").cast("long").alias("stop"), place.alias("first")).limit(0)
+            late = late.unionByName(active.where(place != F.col("first")).select(*PLACE, top(k, length)))
     tops = late.groupBy(*PLACE).agg(F.max("top").alias("top")).select(*PLACE, "top.*")
     by_doc = W.partitionBy("doc_id", "th").orderBy("i")
     before = F.lag(F.struct("i", "first")).over(by_doc)
     follows = (before["i"] == F.col("i") - 1) & (before["first"]["doc_id"] == F.col("first.doc_id")) & (before["first"]["th"] == F.col("first.th")) & (before["first"]["i"] == F.col("first.i") - 1)
     runs = write_scratch(tops.withColumn("inside", F.coalesce(follows, F.lit(False))).where("not inside").drop("inside"), "runs")
-    for k in range(len(shared) - 2, -1, -1):  # the longest common prefix with the earlier position, longest lengths first
-        length, ranks = shared[k]
+    for k in range(len(rounds) - 2, -1, -1):  # the longest common prefix with the earlier position, longest lengths first
+        length, ranks = rounds[k]
         own = ranks.select("doc_id", "th", F.col("i").alias("spot"), F.col("rank").alias("own"))
         other = ranks.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), F.col("i").alias("s"), F.col("rank").alias("other"))
         met = runs.withColumn("spot", F.when(F.col("round") > k, F.col("i") + F.col("length"))).join(own, ["doc_id", "th", "spot"], "left")
         met = met.join(other, (F.col("first.doc_id") == F.col("d")) & (F.col("first.th") == F.col("t")) & (F.col("first.i") + F.col("length") == F.col("s")), "left")
         longer = F.col("length") + F.when(F.col("own") == F.col("other"), F.lit(length)).otherwise(F.lit(0))
         runs = met.select(*PLACE, "round", longer.alias("length"), "first")
+        if k % LOOKUPS == 0:
+            runs = write_scratch(runs, "runs")
     return runs.select("doc_id", "th", F.col("i").cast("long").alias("start"), (F.col("i") + F.col("length")).cast("long").alias("stop"), "first")
 
 
