@@ -17,14 +17,14 @@ FROM {lineitem}""",
 SELECT 'reach' AS provider, provider_reach_id,
        CASE WHEN k % 17 = 0 THEN 0.001e0 ELSE p50 * f END AS rp_2, p80 * f AS rp_5,
        CASE WHEN k % 13 = 0 THEN NULL ELSE p90 * f END AS rp_10, p96 * f AS rp_25, p98 * f AS rp_50, p99 * f AS rp_100
-FROM (SELECT cast(l_suppkey AS STRING) AS provider_reach_id, l_suppkey AS k, 1e0 + (l_suppkey % 5) * 0.25e0 AS f,
+FROM (SELECT cast(l_suppkey + CASE WHEN l_suppkey % 11 = 0 THEN 1000000000 ELSE 0 END AS STRING) AS provider_reach_id, l_suppkey AS k, 1e0 + (l_suppkey % 5) * 0.25e0 AS f,
              percentile_cont(0.5) WITHIN GROUP (ORDER BY l_extendedprice / 1000e0) AS p50,
              percentile_cont(0.8) WITHIN GROUP (ORDER BY l_extendedprice / 1000e0) AS p80,
              percentile_cont(0.9) WITHIN GROUP (ORDER BY l_extendedprice / 1000e0) AS p90,
              percentile_cont(0.96) WITHIN GROUP (ORDER BY l_extendedprice / 1000e0) AS p96,
              percentile_cont(0.98) WITHIN GROUP (ORDER BY l_extendedprice / 1000e0) AS p98,
              percentile_cont(0.99) WITHIN GROUP (ORDER BY l_extendedprice / 1000e0) AS p99
-      FROM {lineitem} WHERE l_suppkey % 11 <> 0 GROUP BY l_suppkey) q""",
+      FROM {lineitem} GROUP BY l_suppkey) q""",
     "fx_runs": """
 SELECT DISTINCT 'reach' AS provider, concat(cast(year(o_orderdate) AS STRING), '010100') AS run_id,
        cast(date_trunc('year', o_orderdate) AS TIMESTAMP) AS run_date_utc

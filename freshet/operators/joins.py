@@ -22,19 +22,18 @@ def join_reach_attributes(meta: DataFrame, attributes: DataFrame, key: str = "LI
     return as_id(meta).join(as_id(attributes), "reach_id")
 
 
-def _supported(rp: DataFrame, provider: str | None) -> DataFrame:
+def _on_supported(df: DataFrame, rp: DataFrame, provider: str | None, how: str, trimmed: bool = False) -> DataFrame:
     rows = rp if provider is None else rp.where(F.col("provider") == provider)
-    return rows.select("provider", F.trim("provider_reach_id").alias("supported_id"))
-
-
-def _on_supported(df: DataFrame, rp: DataFrame, provider: str | None, how: str) -> DataFrame:
-    known = _supported(rp, provider)
+    if trimmed:
+        return df.join(rows.select("provider", "provider_reach_id"), ["provider", "provider_reach_id"], how)
+    known = rows.select("provider", F.trim("provider_reach_id").alias("supported_id"))
     return df.join(known, (F.trim(df["provider_reach_id"].cast("string")) == known["supported_id"]) & (df["provider"] == known["provider"]), how)
 
 
-def supported_only(df: DataFrame, rp: DataFrame, provider: str | None = None) -> DataFrame:
-    """Rows whose reach has a ladder of its provider; ids are compared as trimmed text."""
-    return _on_supported(df, rp, provider, "left_semi")
+def supported_only(df: DataFrame, rp: DataFrame, provider: str | None = None, trimmed: bool = False) -> DataFrame:
+    """Rows whose reach has a ladder of its provider; ids are compared as trimmed text. trimmed: ids are trimmed text on both sides already, as in
+    stored tables, so that clustered ones join in their buckets."""
+    return _on_supported(df, rp, provider, "left_semi", trimmed)
 
 
 def dropped_unsupported(df: DataFrame, rp: DataFrame, provider: str | None = None) -> DataFrame:
@@ -110,13 +109,13 @@ def snap_to_axis(df: DataFrame, column: str, axis: DataFrame, value: str, out: s
     marks = axis.select(F.col(value).cast("double").alias("a")).where("a is not null and not isnan(a)").distinct()
     sorted_ = write_scratch(points.unionByName(marks.select(F.col("a").alias("v"), "a")).repartitionByRange("v").withColumn("part", F.spark_partition_id()), "axis")
     ends = sorted_.groupBy("part").agg(F.min("a").alias("first"), F.max("a").alias("last"))
-    over = W.orderBy("part")  # a row for each range
-    ends = ends.select("part", F.max("last").over(over.rowsBetween(W.unboundedPreceding, -1)).alias("from"), F.min("first").over(over.rowsBetween(1, W.unboundedFollowing)).alias("to"))
-    own = W.partitionBy("part").orderBy("v")
-    carried = sorted_.withColumns({"low": F.last("a", ignorenulls=True).over(own), "high": F.first("a", ignorenulls=True).over(own.rangeBetween(0, W.unboundedFollowing))})
-    found = carried.where("a is null or low = a").join(ends, "part").select("v", F.coalesce("low", "from").alias("low"), F.coalesce("high", "to").alias("high"))
+    up, down = (W.orderBy(order).rowsBetween(W.unboundedPreceding, -1) for order in ("part", F.desc("part")))  # a row for each range
+    ends = ends.select("part", F.max("last").over(up).alias("from"), F.min("first").over(down).alias("to"))
+    last = lambda order: F.last("a", ignorenulls=True).over(W.partitionBy("part").orderBy(order))
+    carried = sorted_.withColumns({"low": last("v"), "high": last(F.desc("v"))})
+    found = carried.where("a is null").join(ends, "part").select("v", F.coalesce("low", "from").alias("low"), F.coalesce("high", "to").alias("high"))
     nearest_ = F.when(F.col("low").isNull(), F.col("high")).when(F.col("high").isNull() | (F.col("v") - F.col("low") < F.col("high") - F.col("v")), F.col("low")).otherwise(F.col("high"))
-    snapped = found.select("v", nearest_.alias("snapped")).groupBy("v").agg(F.max("snapped").alias("snapped"))
+    snapped = found.select("v", nearest_.alias("snapped"))
     return df.withColumn("_v", x).join(snapped, F.col("_v") == F.col("v"), "left").select(*(F.col(f"`{c}`") for c in df.columns if c != out), F.col("snapped").alias(out))
 
 

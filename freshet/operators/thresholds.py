@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from freshet import schemas as S
 from freshet.functions import scalars as X
 from freshet.sources.clustered import forget_clustered, read_clustered, write_clustered
-from freshet.sources.tables import drop_path, drop_scratch, scratch_path, write_scratch
+from freshet.sources.tables import drop_path, drop_scratch, observed, scratch_path, write_scratch
 
 
 def annual_maxima(history: DataFrame, keys: Sequence[str] = ("lat", "lon"), flow: str = "flow_cms", time: str = "time") -> DataFrame:
@@ -128,7 +128,7 @@ def gumbel_by_rounds(values: DataFrame, keys: Sequence[str], value: str, part_ro
         step = step.observe(left, F.count_if(~F.col("settled")).alias("open"))
         step = write_scratch(step.select(*own, "n", "parts", "low", "a", "b", "s", "next", "settled", "w0"), "step")
         done.append(step.where("settled").select(*own, "n", (F.col("low") - F.col("s") * F.log(F.col("w0") / F.col("n"))).alias("loc"), F.col("s").alias("scale")))
-        if not left.get["open"]:
+        if not observed(left).get("open"):
             break
         state = step.where("not settled").select(*own, "n", "parts", "low", "a", "b", F.col("next").alias("s"))
     else:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -75,6 +75,26 @@ def ingest_timeseries(artifact: DataFrame, rp: DataFrame, target: DataFrame, pro
     return merged, runs.select(*S.RUN_KEYS, done.alias("rows"), F.when(done > 0, "complete").otherwise("partial").alias("ingest_status"))
 
 
+def ingest_counted(artifact: DataFrame, rp: DataFrame, target: DataFrame, provider: str, counts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """As :func:`ingest_timeseries`, with the counts by reach after the batch: those before it and what the batch adds to its runs."""
+    merged, runs = ingest_timeseries(artifact, rp, target, provider)
+    return merged, runs, A.merge_counts(counts, A.timeseries_delta(target, J.supported_only(artifact, rp, provider)))
+
+
+def write_enriched_streams(features: DataFrame, model: DataFrame, path: str, order: str | None = None, mode: str = "overwrite") -> dict[str, int]:
+    """Enriched streams as Parquet, and processed, written, missing_id and missing_attributes counted in the pass that writes; an error if there
+    was nothing to write."""
+    read, done = Observation(), Observation()
+    rows = J.enrich_streams(features.observe(read, F.count(F.lit(1)).alias("processed")), model, order)
+    rows = rows.observe(done, F.count(F.lit(1)).alias("written"), F.count_if(~F.col("has_model")).alias("missing_attributes"))
+    rows.write.mode(mode).option("compression", "zstd").parquet(path)
+    processed, found = R.observed(read).get("processed", 0), R.observed(done)
+    written = found.get("written", 0)
+    if not written:
+        raise ValueError("no stream was written")
+    return {"processed": processed, "written": written, "missing_id": processed - written, "missing_attributes": found["missing_attributes"]}
+
+
 def summarize_run(ts: DataFrame, rp: DataFrame, target: DataFrame, policy: str = "mean_first", reaches: DataFrame | None = None) -> DataFrame:
     """The summaries table after full summaries of the timeseries' reaches (or the given ones) are upserted."""
     rows = A.reach_summary(ts, rp, policy, reaches)

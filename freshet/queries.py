@@ -219,16 +219,17 @@ def _(spark, d):
     return A.reach_summary(stats(spark, d), ladders(spark, d), "max_first", requested(spark, d))
 
 
-COUNTS = """, held AS (SELECT * FROM sums WHERE right(provider_reach_id, 1) <> '7' AND run_id <> '1996010100'),
+COUNTS = """, held AS (SELECT * REPLACE (CASE WHEN right(provider_reach_id, 1) = '7' OR run_id = '1996010100' THEN 'other' ELSE provider END AS provider) FROM sums),
 counts AS (
-  SELECT provider, run_id, coalesce(timeseries_rows, 0) AS timeseries_rows, coalesce(reaches, 0) AS reaches, coalesce(summary_rows, 0) AS summary_rows, supported_reaches
+  SELECT provider, run_id, coalesce(timeseries_rows, 0) AS timeseries_rows, coalesce(reaches, 0) AS reaches, coalesce(summary_rows, 0) AS summary_rows, coalesce(supported_reaches, 0) AS supported_reaches
   FROM (SELECT provider, run_id, count(*) AS timeseries_rows, count(DISTINCT provider_reach_id) AS reaches FROM ts GROUP BY ALL)
   FULL JOIN (SELECT provider, run_id, count(*) AS summary_rows FROM held GROUP BY ALL) USING (provider, run_id)
   LEFT JOIN (SELECT provider, count(DISTINCT provider_reach_id) AS supported_reaches FROM fx_ladders GROUP BY ALL) USING (provider))"""
 
 
 def some_summaries(spark, d):
-    return summaries(spark, d).where("right(provider_reach_id, 1) <> '7' AND run_id <> '1996010100'")
+    """Summaries of which a tenth and a whole run are another provider's."""
+    return summaries(spark, d).withColumn("provider", F.expr("CASE WHEN right(provider_reach_id, 1) = '7' OR run_id = '1996010100' THEN 'other' ELSE provider END"))
 
 
 def counts(spark, d):
@@ -485,7 +486,8 @@ def _(spark, d):
 def _(spark, d):
     s = table(spark, d, "supplier")
     meta = s.select(F.col("s_suppkey").cast("double").alias("LINKNO"), (F.col("s_suppkey") % 90).cast("double").alias("lat"))
-    attributes = s.where("s_suppkey % 4 <> 0").select(F.col("s_suppkey").alias("LINKNO"), F.col("s_acctbal").cast("double").alias("DSContArea"))
+    link = F.when(F.col("s_suppkey") % 4 == 0, -F.col("s_suppkey") - 1).otherwise(F.col("s_suppkey"))  # of no reach
+    attributes = s.select(link.alias("LINKNO"), F.col("s_acctbal").cast("double").alias("DSContArea"))
     return J.join_reach_attributes(meta, attributes)
 
 
@@ -518,7 +520,7 @@ def stream_features(spark, d):
 
 def stream_model(spark, d):
     k = F.col("p_partkey")
-    return table(spark, d, "part").where("p_partkey % 3 = 0").select(k.cast("string").alias("LINKNO"), F.col("p_size").alias("strmOrder"), F.when(k % 5 != 0, F.col("p_retailprice").cast("double")).alias("DSContArea"))
+    return table(spark, d, "part").select(F.when(k % 3 == 0, k).otherwise(-k).cast("string").alias("LINKNO"), F.col("p_size").alias("strmOrder"), F.when(k % 5 != 0, F.col("p_retailprice").cast("double")).alias("DSContArea"))
 
 
 @query("jn5_enrich_streams", STREAMS + "\n---\nSELECT * FROM e", '"DSContArea"')
@@ -633,7 +635,7 @@ def _(spark, d):
     return P.backfill_reach_area(rows).select("reach_id", "reach_upstream_area_km2")
 
 
-@query("jn11_runs_with_data", FULL + COUNTS + OPS + "\n---\nSELECT * FROM fx_runs WHERE run_id IN (SELECT run_id FROM held)")
+@query("jn11_runs_with_data", FULL + COUNTS + OPS + "\n---\nSELECT * FROM fx_runs WHERE run_id IN (SELECT run_id FROM held WHERE provider = 'reach')")
 def _(spark, d):
     return J.runs_with_data(runs(spark, d), some_summaries(spark, d))
 
@@ -653,14 +655,14 @@ def _(spark, d):
 @query("jn13_detail_with_fallback", BASE + "\n---\nSELECT * FROM ts WHERE run_id = '1997010100'", FLOWS)
 def _(spark, d):
     wanted = members(spark, d).where("run_id = '1997010100'").select(*S.REACH_KEYS)
-    stored = stats(spark, d).where("cast(provider_reach_id as int) % 2 = 0")
+    stored = stats(spark, d).withColumn("run_id", F.when(F.col("provider_reach_id").cast("int") % 2 == 0, F.col("run_id")).otherwise(F.lit("old")))
     return J.detail_with_fallback(stored, members(spark, d), wanted)
 
 
 # --- windows, top lists, sets -------------------------------------------------------------------
 
 
-@query("win2_latest_run", FULL + COUNTS + OPS + "\n---\nSELECT * FROM fx_runs WHERE run_id IN (SELECT run_id FROM held) ORDER BY run_date_utc DESC LIMIT 1")
+@query("win2_latest_run", FULL + COUNTS + OPS + "\n---\nSELECT * FROM fx_runs WHERE run_id IN (SELECT run_id FROM held WHERE provider = 'reach') ORDER BY run_date_utc DESC LIMIT 1")
 def _(spark, d):
     return N.latest_run(runs(spark, d), some_summaries(spark, d))
 
@@ -714,13 +716,15 @@ def held(spark, d):
 
 
 def updates(spark, d):
-    """Two batches of half of the reaches again: flows times three, later times two."""
+    """Two batches, flows times three, later times two: half of the reaches again, the other half under new ids."""
     batches = F.explode(F.array(*(F.struct(F.lit(b).alias("batch"), F.lit(f).alias("factor")) for b, f in ((1, 3), (2, 2))))).alias("b")
-    rows = held(spark, d).where("cast(provider_reach_id as int) % 2 = 0").select("*", batches)
+    again = F.col("provider_reach_id").cast("int") % 2 == 0
+    rows = held(spark, d).select("*", batches).withColumn("provider_reach_id", F.when(again, F.col("provider_reach_id")).otherwise(F.concat(F.lit("n"), "provider_reach_id")))
     return rows.select(*S.TIME_KEYS, *((F.col(f) * F.col("b.factor")).alias(f) for f in S.FLOWS), "b.batch")
 
 
-UPSERT = BASE + "\n---\nSELECT provider, CASE WHEN run_id <> '1996010100' THEN run_id END AS run_id, provider_reach_id, forecast_time_utc, " + ", ".join(f"{f} * CASE WHEN provider_reach_id::INTEGER % 2 = 0 THEN 2 ELSE 1 END AS {f}" for f in S.FLOWS) + " FROM ts"
+UPSERT = BASE + "\n---\nSELECT provider, CASE WHEN run_id <> '1996010100' THEN run_id END AS run_id, provider_reach_id, forecast_time_utc, " + ", ".join(f"{f} * CASE WHEN provider_reach_id::INTEGER % 2 = 0 THEN 2 ELSE 1 END AS {f}" for f in S.FLOWS) + """ FROM ts
+UNION ALL SELECT provider, CASE WHEN run_id <> '1996010100' THEN run_id END AS run_id, concat('n', provider_reach_id) AS provider_reach_id, forecast_time_utc, """ + ", ".join(f"{f} * 2 AS {f}" for f in S.FLOWS) + " FROM ts WHERE provider_reach_id::INTEGER % 2 <> 0"
 
 
 @query("set1_upsert", UPSERT, FLOWS)
@@ -872,11 +876,11 @@ def _(spark, d):
     return R.read_timeseries_artifact(spark, path)
 
 
-@query("src3_snk2_summary_artifact", FULL + "\n---\nSELECT * FROM sums WHERE run_id <> '1996010100'", PEAKS)
+@query("src3_snk2_summary_artifact", FULL + "\n---\nSELECT * FROM sums", PEAKS)
 def _(spark, d):
     path = R.scratch_path(spark, "summary")
     rows = summaries(spark, d)
-    R.write_summary_artifact(rows.where("run_id <> '1996010100'"), path)
+    R.write_summary_artifact(rows, path)
     R.write_summary_artifact(rows.where("run_id = '1997010100'"), path)  # replaces that run only
     return R.read_summary_artifact(spark, path).drop("first_exceedance_time_utc", "metadata_json")
 
@@ -1011,11 +1015,15 @@ def _(spark, d):
 
 @query("cmp4_ingest_summaries", FULL + """
 ---
-SELECT run_id, provider_reach_id, CASE WHEN run_id = '1998010100' OR provider_reach_id::INTEGER % 2 = 0 THEN severity_score ELSE 9 END AS severity_score FROM sums""")
+SELECT run_id, provider_reach_id, CASE WHEN run_id = '1998010100' OR provider_reach_id::INTEGER % 2 = 0 THEN severity_score ELSE 9 END AS severity_score FROM sums
+UNION ALL SELECT '2098010100', provider_reach_id, 9 FROM sums WHERE run_id = '1998010100'
+UNION ALL SELECT run_id, concat('n', provider_reach_id), 0 FROM sums WHERE run_id <> '1998010100' AND provider_reach_id::INTEGER % 2 <> 0""")
 def _(spark, d):
     s = summaries(spark, d)
-    target = s.where("run_id <> '1998010100'").withColumn("severity_score", F.lit(9)).withColumn("metadata_json", F.lit(None).cast("string"))
-    artifact = s.where("run_id = '1998010100' or cast(provider_reach_id as int) % 2 = 0")
+    last = F.col("run_id") == "1998010100"
+    target = s.withColumn("run_id", F.when(last, "2098010100").otherwise(F.col("run_id"))).withColumn("severity_score", F.lit(9)).withColumn("metadata_json", F.lit(None).cast("string"))
+    known = last | (F.col("provider_reach_id").cast("int") % 2 == 0)
+    artifact = s.withColumn("provider_reach_id", F.when(known, F.col("provider_reach_id")).otherwise(F.concat(F.lit("n"), "provider_reach_id")))  # new reaches, without a ladder
     return C.ingest_summaries(artifact, ladders(spark, d), target).select("run_id", "provider_reach_id", "severity_score")
 
 
@@ -1137,6 +1145,27 @@ def _(spark, d):
     return stored.select(*(F.lit(counters[c]).cast("bigint").alias(c) for c in ("records_seen", "invalid_dropped", "filtered_dropped", "written")), "stored")
 
 
+@query("jn5_write_enriched_streams", STREAMS + "\n---\nSELECT (SELECT count(*) FROM supplier) AS processed, count(*) AS written, (SELECT count(*) FROM supplier) - count(*) AS missing_id, count(*) FILTER (WHERE NOT has_model) AS missing_attributes, count(*) AS stored FROM e")
+def _(spark, d):
+    path = R.scratch_path(spark, "streams")
+    counters = C.write_enriched_streams(stream_features(spark, d), stream_model(spark, d), path)
+    stored = spark.read.parquet(path).agg(F.count("*").alias("stored"))
+    return stored.select(*(F.lit(n).cast("bigint").alias(c) for c, n in counters.items()), "stored")
+
+
+@query("cmp5_ingest_counted", BASE + """, x AS (SELECT * FROM ts WHERE provider_reach_id IN (SELECT provider_reach_id FROM fx_ladders))
+---
+SELECT provider, run_id, provider_reach_id, count(*) AS n FROM x GROUP BY provider, run_id, provider_reach_id""")
+def _(spark, d):
+    ts = R.write_scratch(stats(spark, d), "timeseries")
+    rp, counts, target = ladders(spark, d), ts.limit(0).select(*S.REACH_KEYS, F.lit(0).cast("bigint").alias("n")), ts.limit(0)
+    # even months, then all: what came before adds nothing
+    for batch in (ts.where(F.month("forecast_time_utc") % 2 == 0), ts):
+        target, _, counts = C.ingest_counted(batch, rp, target, "reach", counts)
+        target, counts = R.write_scratch(target, "target"), R.write_scratch(counts, "counts")
+    return counts
+
+
 def raw_crosswalk(spark, d):
     """Metadata, attributes, cell areas and 2-year flows as four raw tables."""
     r, c = view(spark, d, "fx_reaches"), view(spark, d, "fx_cells")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -121,7 +122,15 @@ def write_counted_artifact(tagged: DataFrame, path: str, if_present: str = "over
     unsupported = F.coalesce(why == "unsupported", F.lit(False))
     counted = tagged.observe(seen, F.count(F.lit(1)).alias("records_seen"), F.count_if(why.isNotNull() & ~unsupported).alias("invalid_dropped"), F.count_if(unsupported).alias("filtered_dropped"), F.count_if(why.isNull()).alias("written"))
     counted.where("reason is null").select(*S.TIMESERIES.names).write.mode(mode).json(path)
-    return dict(seen.get)
+    return {"records_seen": 0, "invalid_dropped": 0, "filtered_dropped": 0, "written": 0} | observed(seen)
+
+
+def observed(seen: Observation) -> dict[str, int]:
+    """The metrics of a pass that has run; none if its input was known to be empty, as then no observing step is left in its plan."""
+    try:
+        return dict(seen.get)
+    except Py4JJavaError:
+        return {}
 
 
 def write_summary_artifact(df: DataFrame, path: str, if_present: str = "overwrite") -> None:

@@ -179,12 +179,13 @@ def artifact(spark, tmp_path):
 
 def test_clustered_artifacts_come_back_whole(spark, artifact):
     ts, rp, path = artifact
+    known = {t.name for t in spark.catalog.listTables()}
     for want, name in ((ts, "ts"), (rp, "rp")):
         back = K.read_clustered(spark, str(path / name))
         assert back.schema.simpleString() == want.select(*back.columns).schema.simpleString()
         assert back.exceptAll(want.select(*back.columns)).count() == 0 and back.count() == want.count()
         K.forget_clustered(back)
-    assert not [t for t in spark.catalog.listTables() if t.name.startswith("freshet_")]
+    assert {t.name for t in spark.catalog.listTables()} == known
 
 
 def test_joins_of_clustered_artifacts_do_not_shuffle(spark, artifact):
@@ -198,6 +199,13 @@ def test_joins_of_clustered_artifacts_do_not_shuffle(spark, artifact):
         both = J.attach_thresholds(ts, rp)
         assert "Exchange" not in plan(both) and "Join" in plan(both)
         assert both.where("rp_100 = 5").count() == 4000
+        assert "Exchange" not in plan(J.supported_only(ts, rp, trimmed=True)) and "Join" in plan(J.supported_only(ts, rp, trimmed=True))
+        assert J.supported_only(ts, rp, trimmed=True).count() == 4000
+        per_reach = ts.groupBy(*S.REACH_KEYS).agg(F.max("flow_max_cms"))
+        assert "Exchange" not in plan(per_reach)
+        wanted = ts.select(*S.REACH_KEYS).where("provider_reach_id in ('3', '7')").distinct()
+        detail = J.detail_with_fallback(ts, ts.limit(0).select(*S.TIME_KEYS, F.lit(0).alias("member"), F.col("flow_max_cms").alias("flow_cms")), wanted)
+        assert detail.count() == 160
         one = N.reach_timeseries(ts, "reach", "2026030200", "7", 500)
         assert "PartitionFilters: [" in plan(one)
         spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")  # so that the plan names the buckets that are read
@@ -321,3 +329,15 @@ def test_later_model_rows_win(spark):
     model = spark.createDataFrame([("5", "9", "9.0", 1), ("5", "2", "1.0", 2)], "LINKNO string, strmOrder string, DSContArea string, at int")
     assert J.enrich_streams(features, model, "at").first()["strmOrder"] == 2
     assert J.enrich_streams(features, model).first()["strmOrder"] == 9
+
+
+def test_enriched_streams_count_as_they_are_written(spark, tmp_path):
+    from freshet.plans import workflows as C
+
+    features = spark.createDataFrame([('{"LINKNO": %d}' % i if i else "{}", "{}") for i in range(5)], "props string, geometry string")
+    model = spark.createDataFrame([("1", "2", "3.0"), ("2", None, "1.0")], "LINKNO string, strmOrder string, DSContArea string")
+    path = str(tmp_path / "streams")
+    assert C.write_enriched_streams(features, model, path) == {"processed": 5, "written": 4, "missing_id": 1, "missing_attributes": 2}
+    assert spark.read.parquet(path).count() == 4
+    with pytest.raises(ValueError, match="no stream"):
+        C.write_enriched_streams(features.limit(0), model, path)
