@@ -6,7 +6,7 @@ found by prefix doubling: Spark joins each suffix's rank with the rank at the cu
 pairs over range partitions, and adds their numbers in that order to their ranks, which so become ranks of twice the length.
 A suffix whose rank is its own retires: its rank is final, and it is only looked up from then on. The end of a document sorts before every line and equals
 nothing. Doubling stops when all ranks are unique, and all ranks together are the suffix array
-(:func:`suffix_ranks`).
+(:func:`suffix_ranks`). The runs need the ranks' classes only, so there suffixes that retire are not kept.
 
 The ranks of each round are the array's longest-common-prefix intervals of that length: suffixes of one rank share so many
 lines, and the interval knows its earliest member. A later suffix is compared with the earliest member of the
@@ -31,6 +31,8 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from freshet.sources.tables import observed
+
 from .common import drop_scratch, packed, unpacked, write_scratch
 
 BLANKS = " \t\r"
@@ -52,51 +54,60 @@ def line_positions(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "th", pairs.alias("x")).select("doc_id", "th", F.posexplode("x").alias("i", "l")).select(*PLACE, "l.line", "l.after", "l.rest")
 
 
-def suffix_rounds(positions: DataFrame, min_lines: int) -> tuple[list[tuple[int, DataFrame]], list[DataFrame]]:
+def suffix_rounds(positions: DataFrame, min_lines: int, ordered: bool = False) -> tuple[list[tuple[int, DataFrame]], list[DataFrame]]:
     """(length, active) of each round, and the tables of retired suffixes (doc_id, th, i, rank).
 
     active: (doc_id, th, i, rest, rank, size, first) of the suffixes that share their first ``length`` lines with others; size is the number of their
     class's members and first the earliest of them. A rank is the list of the numbers that its class got in each round's sort, so ranks of different rounds
-    compare. A suffix whose class has no other member, or that ends, retires with its final rank; active ones
-    still look it up. Lengths double, from 1 to ``min_lines`` and on from there, until no suffix is active."""
+    compare; the first number is the line's hash. A suffix whose class has no other member, or that ends, retires with its final rank; active ones
+    still look it up. Without ``ordered`` none is looked up: a suffix whose next rank isn't active is alone in its class, whatever the order, so
+    each round's work is its active suffixes only, and no table of retired ones is kept. Lengths double, from 1 to ``min_lines`` and on from there, until no suffix is active."""
     place = F.struct(*PLACE)
     positions = write_scratch(positions, "positions")
-    again = positions.groupBy("line").agg(F.count("*").alias("n")).where("n > 1").select("line")
-    repeated = positions.join(again, "line", "left_semi")
-    here = repeated.select(*PLACE, "rest", "line")
-    after = repeated.where("after is not null").select("doc_id", "th", (F.col("i") + 1).alias("i"), (F.col("rest") - 1).alias("rest"), F.col("after").alias("line"))
-    rows = here.unionByName(after).dropDuplicates(PLACE).withColumn("rank", F.array().cast("array<bigint>"))
-    keys, length, rounds, retired = ["line"], 1, [], []
-    while True:
+    # the first ranks are the lines' hashes: they sort, and equal lines have equal ones
+    lines = positions.groupBy("line").agg(F.count("*").alias("size"), F.min(place).alias("first")).where("size > 1")
+    shared = Observation()
+    active = positions.join(lines, "line").select(*PLACE, "rest", "after", F.array("line").alias("rank"), "size", "first").observe(shared, F.count(F.lit(1)).alias("n"))
+    active = write_scratch(active, "ranks")
+    drop_scratch(positions)
+    retired = []
+    if ordered:  # lines that occur once, right after a repeated one
+        repeated = active.groupBy(F.col("rank")[0].alias("after")).agg(F.count("*").alias("n")).select("after")
+        last = active.where("after is not null").select("doc_id", "th", (F.col("i") + 1).alias("i"), "after").join(repeated, "after", "left_anti")
+        retired.append(write_scratch(last.select(*PLACE, F.array("after").alias("rank")), "ranks"))
+    rounds, length, open_ = [(1, active)], 1, observed(shared).get("n")
+    while open_:
+        step = min(length, min_lines - length if length < min_lines else length)
+        goes_on = active.where(F.col("rest") > step)
+        if length == 1:
+            goes_on = goes_on.withColumn("next", F.array("after"))
+        else:
+            known = active.select(*PLACE, "rank")
+            for part in retired:
+                known = known.unionByName(part)
+            goes_on = goes_on.join(known.select("doc_id", "th", (F.col("i") - step).alias("i"), F.col("rank").alias("next")), PLACE)
+        goes_on = goes_on.select(*PLACE, "rest", "rank", "next", F.struct(*(F.lit(None).cast(t).alias(c) for c, t in active.select(*PLACE).dtypes)).alias("end"))
+        # an end is a class of its own, by place, before all others of its rank
+        ends = active.where(F.col("rest") <= step).select(*PLACE, "rest", "rank", F.array().cast("array<bigint>").alias("next"), place.alias("end"))
+        rows, keys = (goes_on.unionByName(ends), ["rank", "next", "end"]) if ordered else (goes_on.drop("end"), ["rank", "next"])
         classes = rows.groupBy(*keys).agg(F.count("*").alias("size"), F.min(place).alias("first"))
         numbered = classes.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("new", F.monotonically_increasing_id())
-        joined = rows.withColumnRenamed("rank", "old").join(numbered.withColumnRenamed("rank", "old"), ["old" if k == "rank" else k for k in keys])
         shared = Observation()
-        ranked = joined.select(*PLACE, "rest", F.concat("old", F.array("new")).alias("rank"), "size", "first").observe(shared, F.count_if(F.col("size") > 1).alias("n"))
-        ranked = write_scratch(ranked, "ranks")
-        if length == 1:
-            drop_scratch(positions)
-        active = ranked.where("size > 1")
+        if not ordered:
+            numbered = numbered.where("size > 1")
+        ranked = rows.join(numbered, keys).select(*PLACE, "rest", (F.concat("rank", F.array("new")) if ordered else F.array("new")).alias("rank"), "size", F.when(F.col("size") > 1, F.col("first")).alias("first"))
+        ranked = write_scratch(ranked.observe(shared, F.count_if(F.col("size") > 1).alias("n")), "ranks")
+        active, length, open_ = ranked.where("size > 1"), length + step, observed(shared).get("n")
         rounds.append((length, active))
-        retired.append(ranked.where("size = 1").select(*PLACE, "rank"))
-        if not shared.get["n"]:
-            return rounds, retired
-        step = min(length, min_lines - length if length < min_lines else length)
-        known = active.select(*PLACE, "rank")
-        for part in retired:
-            known = known.unionByName(part)
-        later = known.select("doc_id", "th", (F.col("i") - step).alias("i"), F.col("rank").alias("next"))
-        goes_on = active.where(F.col("rest") > step).join(later, PLACE).select(*PLACE, "rest", "rank", "next", F.struct(*(F.lit(None).cast(t).alias(c) for c, t in active.select(*PLACE).dtypes)).alias("end"))
-        # an end is a class of its own, by place, before all others of its rank
-        ends = active.where(F.col("rest") <= step).select(*PLACE, "rest", "rank", F.array().cast("array<bigint>").alias("next"), place.alias("end"))
-        rows = goes_on.unionByName(ends)
-        keys, length = ["rank", "next", "end"], length + step
+        if ordered:
+            retired.append(ranked.where("size = 1").select(*PLACE, "rank"))
+    return rounds, retired
 
 
 def suffix_ranks(positions: DataFrame, min_lines: int) -> list[tuple[int, DataFrame]]:
     """(length, ranks) of each round: (doc_id, th, i, rank, size) of all suffixes, the last one's order being the suffix array's; rank as text."""
-    rounds, retired = suffix_rounds(positions, min_lines)
-    text = F.array_join(F.transform("rank", lambda x: F.lpad(F.hex(x), 16, "0")), "").alias("rank")
+    rounds, retired = suffix_rounds(positions, min_lines, ordered=True)
+    text = F.array_join(F.transform("rank", lambda x: F.lpad(F.hex(x.bitwiseXOR(F.lit(-(2**63)))), 16, "0")), "").alias("rank")
     out = []
     for k, (length, active) in enumerate(rounds):
         rows = active.select(*PLACE, text, "size")
