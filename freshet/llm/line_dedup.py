@@ -91,10 +91,10 @@ def suffix_rounds(positions: DataFrame, min_lines: int, ordered: bool = False) -
         ends = active.where(F.col("rest") <= step).select(*PLACE, "rest", "rank", F.array().cast("array<bigint>").alias("next"), place.alias("end"))
         rows, keys = (goes_on.unionByName(ends), ["rank", "next", "end"]) if ordered else (goes_on.drop("end"), ["rank", "next"])
         classes = rows.groupBy(*keys).agg(F.count("*").alias("size"), F.min(place).alias("first"))
+        if not ordered:
+            classes = classes.where("size > 1")
         numbered = classes.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("new", F.monotonically_increasing_id())
         shared = Observation()
-        if not ordered:
-            numbered = numbered.where("size > 1")
         ranked = rows.join(numbered, keys).select(*PLACE, "rest", (F.concat("rank", F.array("new")) if ordered else F.array("new")).alias("rank"), "size", F.when(F.col("size") > 1, F.col("first")).alias("first"))
         ranked = write_scratch(ranked.observe(shared, F.count_if(F.col("size") > 1).alias("n")), "ranks")
         active, length, open_ = ranked.where("size > 1"), length + step, observed(shared).get("n")
