@@ -72,6 +72,18 @@ def test_quality_stage_is_the_classifier(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.STAGES[0][1](spark, docs, d).collect()) == want
 
 
+def test_training_ids_are_bounded(spark):
+    """No more than about the bound, the same ones that fit() takes, and all where they are few."""
+    from freshet.llm import quality
+
+    labels = spark.range(4000).selectExpr("id doc_id", "cast(if(id % 10 = 0, null, id % 2) as int) quality").union(spark.createDataFrame([(None, 1), (7, 0)], "doc_id long, quality int"))
+    every = {r.doc_id for r in quality.training_ids(labels).collect()}
+    assert every == {i for i in range(4000) if i % 10}
+    few = [r.doc_id for r in quality.training_ids(labels, max_train_rows=600).collect()]
+    assert len(few) == len(set(few)) and set(few) <= every and 500 < len(few) < 700
+    assert quality.training_ids(labels.limit(0)).count() == 0
+
+
 def test_run_is_the_stages(spark):
     d = f"{DATA}/sf0.001"
     assert corpus_pipeline.run(spark, d).where("length > 0").count() > 0
@@ -92,5 +104,5 @@ def test_query_against_sql(spark, name):
     assert sorted(tuple(str(r[c]) for c in columns) for r in df.collect()) == want
 
 
-def test_all_ten_are_registered():
-    assert {n.split("_")[0] for n in Q.queries()} == {f"op{i}" for i in range(1, 11)}
+def test_all_thirteen_are_registered():
+    assert {n.split("_")[0] for n in Q.queries()} == {f"op{i}" for i in range(1, 14)}
