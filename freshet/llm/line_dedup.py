@@ -156,11 +156,12 @@ def merged_runs(runs: DataFrame) -> DataFrame:
 def drop_repeated_lines(docs: DataFrame, min_lines: int = 2) -> DataFrame:
     """``docs`` with its columns, text cut, and new columns n_lines, n_removed, n_runs.
 
-    The text of rows without a later copy is as it was; a text whose lines all go is empty.
+    The text of rows without a later copy is as it was; a text whose lines all go is empty. Texts meet their runs in a hash
+    join at every size: the runs of a partition are hashed, the texts pass by and aren't sorted.
     """
     own = ("n_lines", "n_removed", "n_runs")
     runs = merged_runs(repeated_runs(docs.select("doc_id", "text"), min_lines)).groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "stop")).alias("runs"))
-    rows = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text"), F.xxhash64("text").alias("th"), packed(docs.drop("text"))).join(runs, ["doc_id", "th"], "left")
+    rows = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text"), F.xxhash64("text").alias("th"), packed(docs.drop("text"))).join(runs.hint("shuffle_hash"), ["doc_id", "th"], "left")
     lines = F.split("text", "\n", -1)
     spots = F.filter(F.transform("lines", lambda x, i: F.when(solid(x), i)), lambda i: i.isNotNull())
     gone = F.flatten(F.transform("runs", lambda r: F.slice("solid", (r["start"] + 1).cast("int"), (r["stop"] - r["start"]).cast("int"))))
