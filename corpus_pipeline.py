@@ -23,14 +23,14 @@ from freshet.llm.queries import training_labels
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score reaches 0.7; the rest go."""
     labels = training_labels(read_table(spark, sf_dir, "labels"))
-    labelled = docs.join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
+    labelled = docs.join(F.broadcast(quality.training_ids(labels)), "doc_id", "left_semi")  # about 200,000 ids at most
     model = quality.fit(write_scratch(quality.document_statistics(labelled), "quality"), labels)
     return quality.keep_good(docs, model)
 
 
 def no_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of line runs leave their texts; n_chars follows. Documents stay, if empty."""
-    cut = line_dedup.drop_repeated_lines(docs.select("doc_id", "text", packed(docs)))
+    cut = line_dedup.drop_repeated_lines(docs.select("doc_id", "text", packed(docs.drop("text"))))
     fewer = F.col("n_removed") > 0
     own = {"text": F.col("text"), "n_chars": F.when(fewer, F.length("text").cast("bigint")).otherwise(F.col("row.n_chars")).alias("n_chars")}
     return cut.select(*(own.get(c, whole) for c, whole in zip(docs.columns, unpacked(docs), strict=True)))

@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -167,13 +167,18 @@ def pooled_adjacent_violators(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tu
     return np.array([b[2] / b[1] for b in blocks]), np.array([b[0] for b in blocks])
 
 
+def _chosen(h: Column, wanted: int, total: int) -> Column:
+    """Whether a row with hash h is among the about ``wanted`` of ``total`` rows with the smallest hashes of it."""
+    return F.xxhash64(h) <= F.lit(int((2 * wanted / total - 1) * (2**63 - 1024)))
+
+
 def fit(stats: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality", n_features: int = 192, gamma: float = 0.02, ridge: float = 3.0, max_train_rows: int = 200_000, seed: int = 11) -> QualityModel:
     """Fit on the rows of ``stats`` (key, stats) that ``labels`` (key, label 0/1) marks."""
     truth = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.avg(F.col(label).cast("double")).alias("y"))
     rows = stats.join(truth, key).select(F.xxhash64(key).alias("h"), "stats", "y")
     total = rows.count()
     if total > max_train_rows:
-        rows = rows.where(F.xxhash64("h") <= F.lit(int((2 * max_train_rows / total - 1) * (2**63 - 1024))))
+        rows = rows.where(_chosen(F.col("h"), max_train_rows, total))
     rows = rows.repartition(TRAIN_PARTITIONS, "h").persist()
     rng = np.random.default_rng(seed)
     moments = rows.select(F.posexplode("stats").alias("k", "x")).groupBy("k").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s")).orderBy("k").collect()
@@ -225,6 +230,16 @@ def fit(stats: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "
     return model
 
 
+def training_ids(labels: DataFrame, key: str = "doc_id", label: str = "quality", max_train_rows: int = 200_000) -> DataFrame:
+    """(key) of the labelled documents that may train: all, or about ``max_train_rows`` of them by the hash that :func:`fit`
+    orders them by. So bounded, they can be sent to every task, and texts need no shuffle to meet their labels."""
+    ids = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(key).distinct()
+    total = ids.count()
+    if total > max_train_rows:
+        ids = ids.where(_chosen(F.xxhash64(key), max_train_rows, total))
+    return ids
+
+
 def score_statistics(stats: DataFrame, model: QualityModel, key: str = "doc_id") -> DataFrame:
     """(key, score) of rows of :func:`document_statistics`."""
 
