@@ -793,8 +793,8 @@ def _(spark, d):
 # --- scalar functions ---------------------------------------------------------------------------
 
 
-@query("scl_parsing", """SELECT event_id, CASE event_id % 6 WHEN 0 THEN NULL WHEN 1 THEN NULL WHEN 2 THEN NULL WHEN 3 THEN 'Infinity'::DOUBLE ELSE value::DOUBLE END AS number,
-       CASE event_id % 3 WHEN 0 THEN user_id::VARCHAR WHEN 1 THEN NULL ELSE concat('r', user_id) END AS reach_id, CASE event_id % 3 WHEN 0 THEN strftime(ts, '%Y-%m-%d') WHEN 1 THEN strftime(ts, '%Y-%m-%d') END AS tile_date,
+@query("scl_parsing", """SELECT event_id, CASE event_id % 6 WHEN 0 THEN NULL WHEN 1 THEN NULL WHEN 2 THEN NULL WHEN 3 THEN 'Infinity'::DOUBLE ELSE CASE WHEN NOT isnan(value) THEN value::DOUBLE END END AS number,
+       CASE event_id % 3 WHEN 0 THEN CASE WHEN user_id >= 0 THEN user_id::VARCHAR ELSE user_id::VARCHAR || '.00' END WHEN 1 THEN NULL ELSE 'r' || user_id::VARCHAR END AS reach_id, CASE event_id % 3 WHEN 0 THEN strftime(ts, '%Y-%m-%d') WHEN 1 THEN strftime(ts, '%Y-%m-%d') END AS tile_date,
        date_trunc('hour', ts)::TIMESTAMP AS run_time, concat(strftime(ts, '%Y%m%d'), '00') AS grid_run, ts::TIMESTAMP + to_hours(event_id % 720) AS valid_time FROM events""")
 def _(spark, d):
     e, day = F.col("event_id"), F.date_format("ts", "yyyyMMdd")

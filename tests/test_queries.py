@@ -47,3 +47,14 @@ def test_cell_histories_read_every_row(spark):
     counts = [json.loads(r.metadata_json)["sample_count"] for r in rows]
     assert sum(counts) == spark.read.parquet(f"{d}/lineitem.parquet").count()
     assert min(counts) < 10 <= max(counts)
+
+
+def test_parsing_of_odd_events_against_sql(spark, tmp_path):
+    """Events without a user, with a negative one, a NaN or an infinite value: the SQL has the query's rule."""
+    con = duckdb.connect()
+    users, values = "[NULL, -7, 0, 9000000000]", "['NaN'::DOUBLE, NULL, '-Infinity'::DOUBLE, -0.0, 1e-7]"
+    con.execute(f"COPY (SELECT i AS event_id, TIMESTAMP '2024-02-28 23:59:59.5' + to_days(i::INTEGER) AS ts, {users}[1 + abs(i) % 4]::BIGINT AS user_id, {values}[1 + abs(i) % 5] AS value FROM range(-60, 120) r(i)) TO '{tmp_path}/events.parquet'")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    df = Q.queries()["scl_parsing"](spark, str(tmp_path))
+    got = sorted(tuple(norm(v) for v in r) for r in df.collect())
+    assert got == sorted(tuple(norm(v) for v in r) for r in con.execute(Q.oracle_sql()["scl_parsing"]).fetchall())
