@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from freshet import schemas as S
 from freshet.functions import scalars as X
@@ -51,6 +56,8 @@ def gumbel_fits(values: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.n
         middle = (a + b) / 2
         up = excess(middle) > 0
         a, b = np.where(up, a, middle), np.where(up, middle, b)
+        if (b - a <= 1e-15 * b).all():
+            break
     scale = (a + b) / 2
     loc, out = np.full(len(sizes), np.nan), np.full(len(sizes), np.nan)
     out[fits] = scale
@@ -142,27 +149,92 @@ def gumbel_by_rounds(values: DataFrame, keys: Sequence[str], value: str, part_ro
     return fits.select(*(F.col(o).alias(k) for k, o in zip(keys, own, strict=True)), "n", "loc", "scale")
 
 
+def large_groups(values: DataFrame, keys: Sequence[str], part_rows: int, bins: int = 1 << 16) -> DataFrame:
+    """The keys of groups of over ``part_rows`` values. Bins of keys are counted first, which sends ``bins`` rows a task at most;
+    only groups of bins that hold so many values are counted one by one."""
+    spark = values.sparkSession
+    at = F.pmod(F.xxhash64(*keys), F.lit(bins)).alias("bin")
+    full = write_scratch(values.select(at).groupBy("bin").agg(F.count("*").alias("n")).where(F.col("n") > part_rows).select("bin"), "bins")
+    if full.isEmpty():
+        drop_scratch(full)
+        return spark.createDataFrame([], values.select(*keys).schema)
+    counted = values.select(*keys, at).join(full, "bin", "left_semi").groupBy(*keys).agg(F.count("*").alias("n"))
+    found = write_scratch(counted.where(F.col("n") > part_rows).select(*keys), "large")
+    drop_scratch(full)
+    return found
+
+
+def fits_of_groups(rows: DataFrame, keys: Sequence[str], value: str, size: str, place: str) -> DataFrame:
+    """(keys, n, loc, scale) of groups that lie one after the other, each with its ``size`` and every row's ``place`` from 1; groups
+    without a fit are left out. A task holds the groups of one batch, and the one that is not yet whole."""
+    names = [*keys, "n", "loc", "scale"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def fits() -> pa.RecordBatch:
+            whole = pa.Table.from_batches(held)
+            head = np.flatnonzero(whole.column(place).to_numpy() == 1)
+            first = whole.take(pa.array(head))
+            loc, scale = gumbel_fits(whole.column(value).to_numpy(), np.diff(np.append(head, whole.num_rows)))
+            columns = [*(first.column(k).combine_chunks() for k in keys), first.column(size).combine_chunks(), pa.array(loc), pa.array(scale)]
+            return pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(np.isfinite(scale)))
+
+        for batch in batches:
+            heads = np.flatnonzero(batch.column(batch.schema.get_field_index(place)).to_numpy() == 1)
+            cut = int(heads[-1]) if len(heads) else 0
+            if len(heads):
+                held.append(batch.slice(0, cut))
+                if sum(b.num_rows for b in held):
+                    yield fits()
+                held.clear()
+            held.append(batch.slice(cut))
+        if held and sum(b.num_rows for b in held):
+            yield fits()
+
+    fields = [rows.schema[k] for k in keys]
+    schema = T.StructType([*fields, T.StructField("n", T.LongType()), T.StructField("loc", T.DoubleType()), T.StructField("scale", T.DoubleType())])
+    return rows.select(*keys, size, place, value).mapInArrow(run, schema)
+
+
+def sized(values: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """``values`` (keys, value) by group and value, with the group's ``n`` and each row's ``place`` in it from 1: one shuffle by group."""
+    group = W.partitionBy(*keys)
+    rows = values.select(*keys, value).where(reduce(and_, (F.col(k).isNotNull() for k in keys)))
+    return rows.withColumn("place", F.row_number().over(group.orderBy(value))).withColumn("n", F.count("*").over(group))
+
+
+def gumbel_by_groups(values: DataFrame, keys: Sequence[str], value: str, least: int = 1, part_rows: int = 200_000) -> tuple[DataFrame, DataFrame]:
+    """Fits (keys, n, loc, scale) of the groups of at least ``least`` values, and the values of smaller ones (keys, value, place, n).
+
+    Values are shuffled once, by group, for both results, and a group of up to ``part_rows`` values is fitted where it lies. Larger groups are
+    fitted in rounds (:func:`gumbel_by_rounds`), never in one place.
+    """
+    large = large_groups(values, keys, part_rows)
+    none = large.isEmpty()
+    rows = sized(values if none else values.join(large, list(keys), "left_anti"), keys, value)
+    fits = fits_of_groups(rows.where(F.col("n") >= least), keys, value, "n", "place")
+    if not none:
+        fits = fits.unionByName(gumbel_by_rounds(values.join(large, list(keys), "left_semi"), keys, value, part_rows))
+    return fits, rows.where(F.col("n") < least)
+
+
 def gumbel_thresholds_of_rows(peaks: DataFrame, keys: Sequence[str], value: str = "top", periods: Sequence[int] = (2, 5, 20), min_n: int = 5) -> DataFrame:
     """As :func:`gumbel_thresholds` for one row for each maximum: (keys, rp_<period>, sample_count)."""
-    rows = peaks.where(X.finite(value))
-    enough = rows.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") >= min_n).select(*keys)
-    fits = gumbel_by_rounds(rows.join(enough, list(keys), "left_semi"), keys, value)
+    fits, _ = gumbel_by_groups(peaks.where(X.finite(value)), keys, value, min_n)
     return fits.select(*keys, *(gumbel_quantile(F.col("loc"), F.col("scale"), p).alias(f"rp_{p}") for p in periods), F.col("n").cast("int").alias("sample_count"))
 
 
 def reach_thresholds_from_history(cells: DataFrame, history: DataFrame, provider: str, gumbel_from: int = 10) -> DataFrame:
     """rp_2, rp_5, rp_25 of each reach from all values of its cell: a Gumbel fit from ``gumbel_from`` values on, else percentiles.
 
-    cells: (provider_reach_id, lat, lon) on the history's grid. Values are only summed and counted, wherever they lie.
+    cells: (provider_reach_id, lat, lon) on the history's grid. Values go once through a shuffle, by cell; see :func:`gumbel_by_groups`.
     """
     at = ["lat", "lon"]
-    values = history.where(X.finite("flow_cms")).select(*at, "flow_cms").join(cells.select(*at).distinct(), at, "left_semi")
-    sizes = write_scratch(values.groupBy(*at).agg(F.count("*").alias("n")), "sizes")
-    many = values.join(sizes.where(F.col("n") >= gumbel_from).select(*at), at, "left_semi")
-    fits = gumbel_by_rounds(many, at, "flow_cms")
+    values = history.where(X.finite("flow_cms")).select(*at, "flow_cms")
+    fits, few = gumbel_by_groups(values, at, "flow_cms", gumbel_from)
     marks = (("rp_2", 0.5), ("rp_5", 0.8), ("rp_25", 0.95))
     fitted = fits.select(*at, "n", *(gumbel_quantile(F.col("loc"), F.col("scale"), 1 / (1 - p)).alias(r) for r, p in marks))
-    few = values.join(sizes.where(F.col("n") < gumbel_from).select(*at), at, "left_semi")  # less than gumbel_from values each
     plain = few.groupBy(*at).agg(F.count("*").alias("n"), F.percentile("flow_cms", F.array(*(F.lit(p) for _, p in marks))).alias("q"))
     out = fitted.unionByName(plain.select(*at, "n", *(F.col("q")[i].alias(r) for i, (r, _) in enumerate(marks))))
     rung = lambda r: F.col(r) if r in ("rp_2", "rp_5", "rp_25") else F.lit(None).cast("double")

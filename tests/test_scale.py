@@ -1,6 +1,7 @@
 """Operators whose groups may be of any size: selection, grouped fits, dense tiles, clustered tables."""
 
 import datetime as dt
+import json
 import random
 
 import numpy as np
@@ -75,6 +76,33 @@ def test_fits_by_rounds_equal_fits_of_lists(spark):
     assert T.gumbel_by_rounds(df.limit(0), ["cell"], "v").count() == 0
 
 
+def test_fits_by_groups_equal_fits_of_lists(spark):
+    """Groups of up to part_rows values are fitted where they lie, others in rounds; small groups come back as values."""
+    rng = np.random.default_rng(6)
+    samples = {k: 50 * k - (k + 1) * np.log(-np.log(rng.uniform(size=10 + 30 * k))) for k in range(8)}
+    samples |= {20: np.full(30, 4.0), 21: np.array([1.0]), 22: np.array([1.0] * 50 + [1e6]), 24: rng.uniform(size=9)}
+    rows = [(k, float(v)) for k, x in samples.items() for v in x] + [(None, float(v)) for v in range(20)]
+    df = spark.createDataFrame(rows, "cell int, v double").repartition(4)
+    for part_rows in (40, 100_000):
+        fits, few = T.gumbel_by_groups(df, ["cell"], "v", least=10, part_rows=part_rows)
+        got = {r.cell: (r.n, r["loc"], r.scale) for r in fits.collect()}
+        assert set(got) == {*range(8), 22}
+        for k, (n, loc, scale) in got.items():
+            assert n == len(samples[k]) and (loc, scale) == pytest.approx(T.gumbel_fit(samples[k]), rel=1e-6)
+        assert sorted((r.cell, r.v) for r in few.collect()) == sorted((k, float(v)) for k in (21, 24) for v in samples[k])
+    assert T.gumbel_by_groups(df.limit(0), ["cell"], "v")[0].count() == 0
+
+
+def test_history_is_shuffled_once(spark):
+    """Fits and percentiles read one shuffle of the values."""
+    history = spark.range(20_000).select((F.col("id") % 900).cast("double").alias("lat"), (F.col("id") % 7).cast("double").alias("lon"), F.sqrt("id").alias("flow_cms"))
+    cells = history.select("lat", "lon").distinct().withColumn("provider_reach_id", F.concat_ws("-", "lat", "lon"))
+    out = T.reach_thresholds_from_history(cells, history, "grid", gumbel_from=4)
+    assert {json.loads(r.metadata_json)["sample_count"] for r in out.collect()} == {3, 4}
+    text = plan(out).split("Initial Plan")[0]
+    assert "ReusedExchange" in text and "SortMergeJoin [lat" not in text
+
+
 def test_a_hot_cell(spark):
     """A cell of a million values, dealt to several tasks: no list of them anywhere in the plan."""
     hot = spark.range(1_000_000, numPartitions=8).select(F.lit(1.0).alias("lat"), F.lit(2.0).alias("lon"), (100 - 20 * F.log(-F.log((F.col("id") + 0.5) / 1_000_000))).alias("flow_cms"))
