@@ -31,6 +31,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import byte_slices, components, drop_scratch, list_array, mix64, mix_pair, signed, text_buffers, word_hashes, write_scratch
@@ -170,6 +171,12 @@ def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame
     return both.mapInArrow(run, "a long, b long")
 
 
+def of_pairs(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows whose doc_id is an end of a pair (a, b)."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    return rows.join(ends, "doc_id", "left_semi")
+
+
 def block_pairs(groups: DataFrame, block: int) -> DataFrame:
     """(lead, i, j, doc_id, component_id): each document once for each pair of blocks that it takes part in."""
     sizes = groups.groupBy("lead", "component_id").agg(F.count("*").alias("n")).groupBy("lead").agg(F.max(F.struct("n", "component_id")).alias("top"), F.sum("n").alias("n"))
@@ -267,8 +274,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, frequent_
     rep = usable.where(F.size("first") > 0)
     band = F.floor(F.log("n") / F.log(F.lit(100 / percent))).cast("int")
     rows = rep.select("doc_id", "n", band.alias("band"), F.explode("first").alias("h"))
-    buckets = rows.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("h")
-    shared = write_scratch(rows.join(buckets, "h"), "shared")  # rows of shingles that at least two documents select
+    bucket = W.partitionBy("h")
+    met = rows.withColumns({"low": F.min("doc_id").over(bucket), "high": F.max("doc_id").over(bucket)}).where("low < high")
+    shared = write_scratch(met.select("h", "doc_id", "n", "band"), "shared")  # rows of shingles that at least two documents select
     # a set's partners have sizes in its own band or a neighbouring one
     leaders = shared.groupBy("h", "band").agg(F.min_by(F.struct("doc_id", "n"), F.xxhash64("doc_id")).alias("leader"))
     near = leaders.select("h", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), "leader")
@@ -278,7 +286,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, frequent_
 
     orders = [c for c in rep.columns if c.startswith("p")]
 
-    def filtered(pairs: DataFrame) -> DataFrame:
+    def filtered(pairs: DataFrame, rep: DataFrame = rep) -> DataFrame:
         side = lambda end: rep.select(F.col("doc_id").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in orders))
         out = pairs.join(side("a"), "a").join(side("b"), "b")
         for c in orders:
@@ -291,8 +299,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, frequent_
     found = components(links.unionByName(copies))
     # documents of one bucket whose components still differ
     named = shared.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    mixed = named.groupBy("h").agg(F.min("component_id").alias("low"), F.max("component_id").alias("high"), F.min_by("doc_id", F.xxhash64("doc_id")).alias("lead"), F.count("*").alias("size")).where("low < high").select("h", "lead", "size")
-    still = write_scratch(named.join(mixed, "h").select("h", "lead", "size", "doc_id", "n", "component_id"), "mixed")
+    whole = {"low": F.min("component_id"), "high": F.max("component_id"), "lead": F.min_by("doc_id", F.xxhash64("doc_id")), "size": F.count("*")}
+    mixed = named.withColumns({c: x.over(bucket) for c, x in whole.items()}).where("low < high")
+    still = write_scratch(mixed.select("h", "lead", "size", "doc_id", "n", "component_id"), "mixed")
     drop_scratch(shared)
     small = still.where(F.col("size") <= small_bucket)
     x, y = small.alias("x"), small.alias("y")
@@ -302,12 +311,14 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, frequent_
     overlap = F.ceil(percent * (F.col("n") + F.col("m")) / (100 + percent))
     prefix = lambda n: n - F.ceil(percent * n / 100) + 1
     enough = F.least(prefix(F.col("n")) - F.col("n") + overlap, prefix(F.col("m")) - F.col("m") + overlap)
-    likely = counted.where(F.col("c") >= enough).select("a", "b").join(tested, ["a", "b"], "left_anti")
-    near = write_scratch(verify(filtered(likely), docs, k, percent), "links")
+    likely = write_scratch(counted.where(F.col("c") >= enough).select("a", "b").join(tested, ["a", "b"], "left_anti"), "pairs")
+    # few documents are left to compare, so only their prefixes and texts move
+    close = write_scratch(filtered(likely, of_pairs(rep, likely)), "pairs")
+    near = write_scratch(verify(close, of_pairs(docs, close), k, percent), "links")
     groups = write_scratch(still.where(F.col("size") > small_bucket).select("lead", "doc_id", "component_id").distinct(), "groups")
     across = write_scratch(link_components(groups, docs, k, percent), "links")
     final = components(links.unionByName(near).unionByName(across).unionByName(copies).distinct())
-    drop_scratch(tested, still, groups, links, near, across, copies)
+    drop_scratch(tested, likely, close, still, groups, links, near, across, copies)
     out = sets.select("doc_id", F.col("n").alias("n_shingles")).join(final.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 

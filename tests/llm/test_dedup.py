@@ -326,3 +326,11 @@ def test_fuzzy_recall_and_precision(spark):
     recall = sum(pair in found for pair in want.items()) / len(want)
     precision = sum(b == a - 1 for a, b in found) / len(found)
     assert len(want) > 80 and recall >= 0.95 and precision == 1, (recall, precision)
+
+
+def test_ngram_join_moves_only_documents_of_pairs(spark):
+    """Prefixes and texts of the last comparison are those of its pairs; rows without an id or a pair stay behind."""
+    rows = spark.createDataFrame([(i, f"text {i}") for i in range(10)] + [(None, "none"), (4, "again")], "doc_id long, text string")
+    pairs = spark.createDataFrame([(1, 4), (4, 7), (1, 99)], "a long, b long")
+    got = sorted((r.doc_id, r.text) for r in ngram_join.of_pairs(rows, pairs).collect())
+    assert got == [(1, "text 1"), (4, "again"), (4, "text 4"), (7, "text 7")]
