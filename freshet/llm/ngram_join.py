@@ -2,11 +2,11 @@
 
 A document's set holds the distinct hashes of its 5-word shingles. Two documents link when the Jaccard
 similarity of their sets reaches the threshold. Under any total order of all shingles, two such sets share
-a shingle among their first ``n - ceil(t * n) + 1``. Several orders are used; all put shingles that many
-documents have last, and differ in a hash:
+a shingle among their first ``n - ceil(t * n) + 1``, and at least as many as ``enough_shared`` says. Two orders are used;
+both put shingles that many documents have last, and differ in a hash:
 
 1. the first order's prefixes are joined shingle by shingle;
-2. a candidate pair must also share a shingle within its prefixes under every other order;
+2. a candidate pair must also share enough shingles within its prefixes under every other order;
 3. what is left is verified on the whole sets, recomputed from the whole texts.
 
 No bucket is expanded into all its pairs. First every member of a bucket is paired with the bucket's
@@ -30,13 +30,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import byte_slices, components, drop_scratch, list_array, mix64, mix_pair, signed, text_buffers, word_hashes, write_scratch
 
-ORDER_SALTS = (101, 202, 303)
+ORDER_SALTS = (101, 202)
 
 
 def shingle_sets(texts: pa.Array, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -77,6 +77,14 @@ def needed(n: np.ndarray, percent: int) -> np.ndarray:
     return np.where(n > 0, n - (percent * n + 99) // 100 + 1, 0)
 
 
+def enough_shared(n: Column, m: Column, percent: int) -> Column:
+    """Shingles that the prefixes of two sets of this similarity share at least: of all that both sets hold, those beyond
+    the prefix that reaches less far can be missing."""
+    overlap = F.ceil(percent * (n + m) / (100 + percent))
+    prefix = lambda n: n - F.ceil(percent * n / 100) + 1
+    return F.least(prefix(n) - n + overlap, prefix(m) - m + overlap)
+
+
 def _set_hash(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     ends = np.cumsum(sizes)
     sums = np.concatenate([[0], np.cumsum(mix64(h ^ np.uint64(77)), dtype=np.uint64)]).astype(np.uint64)
@@ -171,10 +179,20 @@ def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame
     return both.mapInArrow(run, "a long, b long")
 
 
+def near_ids(rows: DataFrame, ids: DataFrame, bits: int = 1 << 25) -> DataFrame:
+    """The rows with a doc_id of ``ids``, and a few more: hashes of ``ids`` are marked in a bitmap of ``bits`` bits, 4 MB
+    however many there are, which goes to the rows, so that these needn't move. A join has to follow."""
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    width = 1 << 15  # of Spark's bitmaps
+    marks = ids.select(at.alias("at")).groupBy(F.floor(F.col("at") / width).alias("bucket")).agg(F.bitmap_construct_agg(F.col("at") % width).alias("marks"))
+    near = rows.where(F.col("doc_id").isNotNull()).withColumn("at", at).withColumn("bucket", F.floor(F.col("at") / width)).join(F.broadcast(marks), "bucket")
+    byte = F.conv(F.hex(F.substring("marks", (F.floor(F.col("at") % width / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    return near.where(F.getbit(byte, (F.col("at") % 8).cast("int")) == 1).select(*rows.columns)
+
+
 def of_pairs(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The rows whose doc_id is an end of a pair (a, b)."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    return rows.join(ends, "doc_id", "left_semi")
+    """The rows whose doc_id is an end of a pair (a, b), and a few more."""
+    return near_ids(rows, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
 
 
 def block_pairs(groups: DataFrame, block: int) -> DataFrame:
@@ -200,7 +218,7 @@ def link_components(groups: DataFrame, docs: DataFrame, k: int, percent: int, bl
     of their incidence matrices; pairs are not written out, only the links that still join components.
     """
     keyed = block_pairs(groups, block)
-    texts = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
+    texts = near_ids(docs.where("text is not null").select("doc_id", "text"), groups)
     rows = keyed.join(texts, "doc_id").select("lead", "i", "j", "doc_id", "component_id", "text").repartition("lead", "i", "j").sortWithinPartitions("lead", "i", "j")
 
     def links(group: pa.Table) -> tuple[list[int], list[int]]:
@@ -287,14 +305,15 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, frequent_
     orders = [c for c in rep.columns if c.startswith("p")]
 
     def filtered(pairs: DataFrame, rep: DataFrame = rep) -> DataFrame:
-        side = lambda end: rep.select(F.col("doc_id").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in orders))
+        side = lambda end: rep.select(F.col("doc_id").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in ("n", *orders)))
         out = pairs.join(side("a"), "a").join(side("b"), "b")
         for c in orders:
-            out = out.where(F.arrays_overlap(f"{c}_a", f"{c}_b"))
+            alike = F.size(f"{c}_a") - F.size(F.array_distinct(f"{c}_a"))  # shingles whose 32 bits another one has
+            out = out.where(F.size(F.array_intersect(f"{c}_a", f"{c}_b")) + alike >= enough_shared(F.col("n_a"), F.col("n_b"), percent))
         return out.select("a", "b").distinct()
 
     tested = write_scratch(filtered(star), "pairs")
-    links = write_scratch(verify(tested, docs, k, percent), "links")
+    links = write_scratch(verify(tested, of_pairs(docs, tested), k, percent), "links")  # only texts of pairs move
     copies = write_scratch(copies, "copies")
     found = components(links.unionByName(copies))
     # documents of one bucket whose components still differ
@@ -307,12 +326,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, frequent_
     x, y = small.alias("x"), small.alias("y")
     met = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component_id") != F.col("y.component_id")) & fits(F.col("x.n"), F.col("y.n")))
     counted = met.groupBy(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).agg(F.count("*").alias("c"), F.max("x.n").alias("n"), F.max("y.n").alias("m"))
-    # two sets of this similarity share so many of the shorter-reaching prefix; pairs of a large bucket are compared below
-    overlap = F.ceil(percent * (F.col("n") + F.col("m")) / (100 + percent))
-    prefix = lambda n: n - F.ceil(percent * n / 100) + 1
-    enough = F.least(prefix(F.col("n")) - F.col("n") + overlap, prefix(F.col("m")) - F.col("m") + overlap)
-    likely = write_scratch(counted.where(F.col("c") >= enough).select("a", "b").join(tested, ["a", "b"], "left_anti"), "pairs")
-    # few documents are left to compare, so only their prefixes and texts move
+    # pairs of a large bucket are compared below
+    likely = write_scratch(counted.where(F.col("c") >= enough_shared(F.col("n"), F.col("m"), percent)).select("a", "b").join(tested, ["a", "b"], "left_anti"), "pairs")
+    # only prefixes and texts of documents that are left to compare move
     close = write_scratch(filtered(likely, of_pairs(rep, likely)), "pairs")
     near = write_scratch(verify(close, of_pairs(docs, close), k, percent), "links")
     groups = write_scratch(still.where(F.col("size") > small_bucket).select("lead", "doc_id", "component_id").distinct(), "groups")

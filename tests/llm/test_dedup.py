@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 from collections import defaultdict
 
@@ -334,3 +335,21 @@ def test_ngram_join_moves_only_documents_of_pairs(spark):
     pairs = spark.createDataFrame([(1, 4), (4, 7), (1, 99)], "a long, b long")
     got = sorted((r.doc_id, r.text) for r in ngram_join.of_pairs(rows, pairs).collect())
     assert got == [(1, "text 1"), (4, "again"), (4, "text 4"), (7, "text 7")]
+
+
+def test_ngram_join_compares_likely_pairs_only(spark, monkeypatch):
+    """Texts that share a third share too little of their prefixes to be read again."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(400)]
+    corpus = []
+    for i in range(0, 120, 2):
+        own = [rng.choice(words) + str(i) for _ in range(200)]
+        near = i % 6 == 0
+        other = own[:195] + ["x"] * 5 if near else own[:60] + [rng.choice(words) + "y" for _ in range(140)]
+        corpus += [(i, " ".join(own)), (i + 1, " ".join(other))]
+    asked = []
+    whole = ngram_join.verify
+    monkeypatch.setattr(ngram_join, "verify", lambda pairs, docs, *rest: (asked.append((pairs.count(), docs.count())), whole(pairs, docs, *rest))[1])
+    got = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(spark.createDataFrame(corpus, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 if i % 6 in (0, 1) else i for i in range(120)}
+    assert asked[0][0] <= 25 and asked[0][1] <= 50, asked
