@@ -365,3 +365,32 @@ def test_fuzzy_passage_whose_seeds_have_other_documents_around_it(spark):
     rows = spark.createDataFrame([(doc, " ".join(words)) for doc, words in corpus.items()], "doc_id long, text string").coalesce(1)  # one slice: what is found would else depend on the slices
     found = {(r.doc_id, r.first_doc_id) for r in substring_dedup.fuzzy_passages(rows).collect()}
     assert found == {(50, 20)}
+
+
+def test_fuzzy_passages_compare_likely_pairs_only(spark, monkeypatch):
+    """A line that opens and ends a text, 50 words apart, isn't taken for two seeds of documents that have it once."""
+    line = [f"l{i}" for i in range(13)]
+    fill = lambda doc, n: [f"f{doc}x{i}" for i in range(n)]
+    corpus = {i: fill(i, 40) + line + fill(1000 + i, 40) for i in range(30)} | {i: line + fill(i, 37) + line for i in range(100, 105)}
+    asked = []
+    whole = substring_dedup.asking_pairs
+    monkeypatch.setattr(substring_dedup, "asking_pairs", lambda *args: (whole(*args), asked.append(whole(*args).count()))[0])
+    rows = spark.createDataFrame([(i, " ".join(words)) for i, words in corpus.items()], "doc_id long, text string").coalesce(1)
+    assert substring_dedup.fuzzy_passages(rows).count() == 0
+    assert asked == [10]  # those that have it twice
+
+
+def test_may_extend():
+    """Whenever the words around two seeds extend them, six bits of each of five words tell so."""
+    import numpy as np
+
+    rng, hits = np.random.default_rng(3), 0
+    for _ in range(2000):
+        a, b = rng.integers(0, 12, 14).astype(np.uint64), rng.integers(0, 12, 14).astype(np.uint64)
+        i, j = int(rng.integers(0, 10)), int(rng.integers(0, 10))
+        x, y = (substring_dedup.flanks(w, np.array([0]), np.array([14]), np.array([at]), 5, none) for w, at, none in ((a, i, 0), (b, j, 1)))
+        for left, grown in ((False, substring_dedup._extend(a[i + 5 :], b[j + 5 :], 64)), (True, substring_dedup._extend(a[:i][::-1], b[:j][::-1], 64))):
+            may = bool(substring_dedup.may_extend(x >> 30, y >> 30)[0] if left else substring_dedup.may_extend(x, y)[0])
+            assert may or grown == (0, 0, 0)
+            hits += not may
+    assert hits > 500
