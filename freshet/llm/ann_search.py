@@ -11,7 +11,7 @@ cosines of the original vectors in double precision. ``exact`` makes one list of
 query meets every vector.
 
 Bounds: the sample has about ``sample_rows`` rows and the graph at most ``max_centroids`` nodes; they go to the
-driver and the tasks. Beyond ``list_rows * max_centroids`` vectors the lists grow with the table. Every vector is indexed. Of equal vectors the k + 1 smallest ids are kept in the lists: no
+driver and the tasks. The driver works out about 1,000,000 cosines at a time. Beyond ``list_rows * max_centroids`` vectors the lists grow with the table. Every vector is indexed. Of equal vectors the k + 1 smallest ids are kept in the lists: no
 query's k nearest can hold another.
 
 Cases: components of any finite size count (a vector is scaled by a power of two first, which changes no digit of a
@@ -58,6 +58,12 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return (x / np.maximum(_norms(x), 1e-300)[:, None]).astype(np.float32)
 
 
+def _blocks(rows: int, width: int, cells: int = 1_000_000):
+    """Slices of ``rows`` rows with about ``cells`` values each, of ``width`` in a row: what is worked out for all of them has bounded memory."""
+    step = max(1, cells // max(1, width))
+    return (slice(i, i + step) for i in range(0, rows, step))
+
+
 @dataclass
 class CentroidGraph:
     """Centroids on the unit sphere, each linked to its nearest others and a few random ones."""
@@ -73,7 +79,7 @@ class CentroidGraph:
         n = max(1, min(n, len(x)))
         centers = x[np.sort(rng.choice(len(x), n, replace=False))] if len(x) else np.zeros((1, sample.shape[1] or 1), np.float32)
         for _ in range(rounds if len(x) > n else 0):
-            nearest = np.concatenate([np.argmax(x[i : i + 4096] @ centers.T, axis=1) for i in range(0, len(x), 4096)])
+            nearest = np.concatenate([np.argmax(x[rows] @ centers.T, axis=1) for rows in _blocks(len(x), n)])
             size = np.bincount(nearest, minlength=n)
             sums = np.zeros_like(centers)
             np.add.at(sums, nearest, x)
@@ -85,7 +91,8 @@ class CentroidGraph:
                 if size[b] > 2 * len(x) / n:
                     centers[a] = x[rng.choice(np.flatnonzero(nearest == b))]
         degree = min(degree, n - 1)
-        near = np.concatenate([np.argsort(-(centers[i : i + 1024] @ centers.T), axis=1)[:, 1 : degree + 1] for i in range(0, n, 1024)]) if n > 1 else np.zeros((1, 0), np.int64)
+        # copies: a view would keep the order of all centroids for each of them
+        near = np.concatenate([np.argsort(-(centers[rows] @ centers.T), axis=1)[:, 1 : degree + 1].copy() for rows in _blocks(n, n)]) if n > 1 else np.zeros((1, 0), np.int64)
         far = rng.integers(0, n, (n, min(4, n)))
         return cls(centers.astype(np.float32), np.hstack([near, far]).astype(np.int64), rng.choice(n, min(n, 32), replace=False))
 
@@ -166,14 +173,18 @@ def bounds_for_recall(graph: CentroidGraph, queries: np.ndarray, query: np.ndarr
     if not len(query) or n <= least:
         return prune, most
     beam, ratio, replicas = postings
-    cos = queries @ graph.centroids.T
-    order = np.argsort(-cos, axis=1, kind="stable")
-    place = np.argsort(order, axis=1)
-    dist = np.take_along_axis(_distance(cos), order, 1)
     nodes, near = graph.search(neighbours, beam)
     held = _kept(nodes, near, ratio, 1, replicas)
-    rank = np.where(held, place[query[:, None], np.maximum(nodes, 0)], n).min(1)  # of the nearest list with the neighbour
-    need = np.where(rank < least, 0, dist[query, np.minimum(rank, n - 1)] / np.maximum(dist[query, 0], 1e-9) - 1)
+    rank, need = np.zeros(len(query), np.int64), np.zeros(len(query), np.float32)
+    for rows in _blocks(len(queries), n):
+        cos = queries[rows] @ graph.centroids.T
+        order = np.argsort(-cos, axis=1, kind="stable")
+        place = np.argsort(order, axis=1)
+        dist = np.take_along_axis(_distance(cos), order, 1)
+        some = np.flatnonzero((query >= rows.start) & (query < rows.stop))
+        own = query[some] - rows.start
+        rank[some] = np.where(held[some], place[own[:, None], np.maximum(nodes[some], 0)], n).min(1)  # of the nearest list with the neighbour
+        need[some] = np.where(rank[some] < least, 0, dist[own, np.minimum(rank[some], n - 1)] / np.maximum(dist[own, 0], 1e-9) - 1)
     spare = (1 + recall) / 2  # each bound takes half of what may be lost
     quantile = lambda x: np.sort(x)[min(len(x), int(np.ceil(spare * len(x)))) - 1]
     return max(prune, float(quantile(need)) + 1e-6), max(most, int(quantile(rank)) + 1)
@@ -233,9 +244,16 @@ def nearest(candidates: DataFrame, queries: DataFrame, k: int, key: str = "vec_i
     free = others if others.limit(1).count() else single
     taken = free.where(F.xxhash64("id", F.lit(seed)) <= F.lit(int((2 * share - 1) * (2**63 - 1024))))
     unit = lambda found: _unit(_vectors(pa.array([r["v"] for r in found], pa.list_(pa.float64())), width))
+
+    def units(batches):
+        for batch in batches:
+            x = _unit(_vectors(batch.column(0), width))
+            yield pa.RecordBatch.from_arrays([pa.array([row.tobytes() for row in x], pa.binary())], names=["unit"])
+
     tried = free.select("id", "v").orderBy(F.xxhash64("id", F.lit(seed + 1)), "id").limit(held_out).collect()
     tried_ids, tried_v = np.array([r["id"] for r in tried], np.int64), unit(tried)
-    sample = unit(taken.where(~F.col("id").isin(tried_ids.tolist())).select("v").collect())
+    sample = taken.where(~F.col("id").isin(tried_ids.tolist())).select("v").mapInArrow(units, "unit binary").toArrow().column(0)
+    sample = np.frombuffer(b"".join(x.as_py() for x in sample), np.float32).reshape(-1, width)
     graph = CentroidGraph.build(sample, 1 if exact else min(max_centroids, max(1, info["n"] // list_rows)), seed=seed)
     shared = kept.sparkSession.sparkContext.broadcast(graph)
     if len(tried) and len(graph.centroids) > min_lists:

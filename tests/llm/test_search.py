@@ -1,5 +1,6 @@
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -88,6 +89,21 @@ def test_ann_edges(table, spark):
     assert [r.vec_id for r in got] == [0, 1, 3, 4, 5]
 
 
+def test_centroids_are_fitted_in_little_memory():
+    """The driver's blocks don't grow with the number of centroids: n * n orders of 8 bytes would be 128 MB here."""
+    x = np.random.default_rng(3).normal(size=(6000, 8)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    tracemalloc.start()
+    graph = ann_search.CentroidGraph.build(x, 4000)
+    ann_search.bounds_for_recall(graph, x[:1000], np.repeat(np.arange(1000), 2), x[:2000], (16, 0.1, 4), 0.1, 1, 8, 0.98)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 72e6
+    cos = graph.centroids @ graph.centroids.T
+    np.fill_diagonal(cos, -2)
+    assert (graph.links[:, 0] == cos.argmax(1)).mean() > 0.99
+
+
 def test_graph_finds_the_nearest_centroid():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(3000, 16)).astype(np.float32)
