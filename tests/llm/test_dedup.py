@@ -394,3 +394,32 @@ def test_may_extend():
             assert may or grown == (0, 0, 0)
             hits += not may
     assert hits > 500
+
+
+def test_seeds_meet_in_blocks(spark):
+    """A document's seeds go once to each block, not once for each document it is compared with; what meets there is what meets pair by pair."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    text = {i: rng.integers(0, 12, 30).astype(np.int64) for i in range(300)} | {1000: np.arange(40) % 9, 1001: np.repeat(3, 40), 7: np.repeat(3, 30)}
+    flank = lambda i, at: i * 1000 + at
+    row = lambda i: (i, text[i].tolist(), list(range(len(text[i]))), [flank(i, at) for at in range(len(text[i]))])
+    kind = "doc_id long, seeds array<long>, at array<int>, flanks array<long>"
+    held = spark.createDataFrame([row(i) for i in range(300)], kind).repartition(3)
+    asks = spark.createDataFrame([(*row(i), list(range(300))) for i in (1000, 1001)], kind + ", others array<long>")
+    spread = substring_dedup.spread_seeds(held, 4).unionByName(substring_dedup.spread_seeds(asks, 4)).sort("block", "kind").toArrow()
+    assert sum(len(x.as_py()) for x, k in zip(spread["seeds"], spread["kind"], strict=True) if k.as_py()) == 4 * 80 * 8
+    got = []
+    for pair, doc, place, near, around in substring_dedup.shared_seeds(spread.to_batches(), 5, 30):
+        got += zip(substring_dedup._pair(doc, pair).tolist(), doc.tolist(), (place >> 32).tolist(), (place & (1 << 32) - 1).tolist(), near.tolist(), around.tolist(), strict=True)
+    want = []
+    for doc in (1000, 1001):
+        for other in range(300):
+            for seed in np.unique(text[doc]):
+                a, b = np.flatnonzero(text[doc] == seed), np.flatnonzero(text[other] == seed)
+                if len(a) * len(b) > substring_dedup.REPEATS:
+                    twos = [(x, b[0]) for x in a] + [(x, y) for n, (x, y) in enumerate(zip(a, b, strict=False)) if n]
+                else:
+                    twos = [(x, y) for x in a for y in b]
+                want += [(other, doc, x, y, flank(doc, x), flank(other, y)) for x, y in twos]
+    assert sorted(got) == sorted(want)
